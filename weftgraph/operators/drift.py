@@ -76,7 +76,8 @@ def _overlaps(values: DataFrame, what: str) -> DataFrame:
 def _stock(candidates: DataFrame, cat: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
     """(pair, side, half, value, form, n) of the two fields of each candidate pair, over the whole lives of both."""
     sides = F.array(F.struct(F.lit("r").alias("side"), F.col("old").alias("field"), F.col("old_life").alias("life")), F.struct(F.lit("a").alias("side"), F.col("new").alias("field"), F.col("new_life").alias("life")))
-    wanted = candidates.select("pair", "series", F.explode(sides).alias("s")).select("pair", "series", "s.*").join(cat.select("series", "field", "life", "file_no"), ["series", "field", "life"]).select("pair", "side", "field", "file_no")
+    lives = candidates.select("pair", "series", F.explode(sides).alias("s")).select("pair", "series", "s.*")
+    wanted = stored(lives.join(cat.select("series", "field", "life", "file_no"), ["series", "field", "life"]).select("pair", "side", "field", "file_no"), "wanted")
     cells = (
         parse_records(lines.join(wanted.select("file_no").distinct(), "file_no", "left_semi"), files, failed=False)
         .select("line_id", "file_no", F.explode(F.arrays_zip("fields", "cells")).alias("c"))
@@ -89,7 +90,8 @@ def _stock(candidates: DataFrame, cat: DataFrame, lines: DataFrame, files: DataF
     form = F.col("value")
     for pattern, mark in ((r"[\p{Lu}]", "A"), (r"[\p{Ll}]+", "a"), (r"[0-9]+", "9"), (r"\s+", " ")):
         form = F.regexp_replace(form, pattern, mark)
-    return counted.join(wanted, ["file_no", "field"]).withColumn("form", form)
+    per_pair = counted.join(wanted, ["file_no", "field"]).groupBy("pair", "side", "half", "value").agg(F.sum("n").alias("n"))
+    return per_pair.withColumn("form", form)
 
 
 def renames(cat: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -103,8 +105,9 @@ def renames(cat: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
     pairs = ended.select("series", "seq", "file_no", F.col("field").alias("old"), F.col("life").alias("old_life")).join(
         started.select("file_no", F.col("field").alias("new"), F.col("life").alias("new_life")), "file_no"
     )
-    candidates = pairs.withColumn("pair", F.to_json(F.struct("file_no", "old", "new")))
-    stock = _stock(candidates, cat, lines, files)
+    # candidates: one row per pair of an ended and a begun field of one file; stock: the different values of these fields
+    candidates = stored(pairs.withColumn("pair", F.to_json(F.struct("file_no", "old", "new"))), "pairs")
+    stock = stored(_stock(candidates, cat, lines, files), "stock")
     judged = candidates.join(_overlaps(stock, "value"), "pair").join(_overlaps(stock, "form"), "pair")
     enough = (F.col("form_both") >= SAME_FORM) & (F.col("value_both") >= SAME_STOCK * F.least("value_old", "value_new") - SLACK)
     score = F.struct(F.col("value_both") + F.col("form_both"), F.col("pair"))

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHARED_KEY = "spark.checkpoint.dir"
 _made: list[tuple[SparkSession, str]] = []
@@ -48,11 +50,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    hollow = [f for f in df.schema if f.dataType == T.StructType([])]  # Parquet has no struct without fields
+    kept = df.drop(*[f.name for f in hollow])
+    kept.write.parquet(path)
     if not _made:
         atexit.register(_drop_stored)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).cast("struct<>").alias(f.name) if f in hollow else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def _drop_stored() -> None:
