@@ -9,6 +9,7 @@ calibrated on pages that the models did not see: a page gets every subject whose
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,9 +33,9 @@ _WINDOW = 8
 
 @dataclass(frozen=True)
 class Settings:
-    """``pages``: most labelled pages that are collected for training, those of the lowest hash of doc_id. The other bounds are of the models' size."""
+    """``pages``: about as many labelled pages are collected for training, chosen by a hash of doc_id. The other bounds are of the models' size."""
 
-    pages: int = 8000
+    pages: int = 4000
     words: int = 30_000
     pairs: int = 60_000
     least: int = 2
@@ -250,11 +251,18 @@ def fit(texts: list[str], langs: list[str | None], votes: list[dict[str, float]]
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, cfg: Settings | None = None) -> Classifier:
-    """Fit on at most ``cfg.pages`` labelled pages. Collects these and the subject list (a table that people write)."""
+    """Fit on about ``cfg.pages`` labelled pages at most. Collects these and the subject list (a table that people write).
+
+    Pages are chosen by a hash of doc_id before any text is moved, so what reaches the driver doesn't grow with the corpus or with the number of tasks.
+    """
     cfg = cfg or Settings()
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
-    per = labels.groupBy("doc_id").agg(F.count_distinct("annotator").alias("annotators"), F.collect_set(F.struct("subject", "annotator")).alias("given"))
-    pages = docs.select("doc_id", "text", "lang").where(F.trim("text") != "").join(per, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.pages).collect()
+    labelled = labels.select("doc_id").distinct().count()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    chosen = labels.where(draw < math.ceil((1 << 20) * min(1.0, cfg.pages / max(labelled, 1))))
+    per = chosen.groupBy("doc_id").agg(F.count_distinct("annotator").alias("annotators"), F.collect_set(F.struct("subject", "annotator")).alias("given"))
+    pages = docs.select("doc_id", "text", "lang").where(F.trim("text") != "").join(per, "doc_id").collect()
+    pages.sort(key=lambda r: (r.doc_id, r.text))
     votes = [{s: n / max(r.annotators, 1) for s, n in Counter(g.subject for g in r.given if g.subject is not None).items()} for r in pages]
     return fit([r.text for r in pages], [r.lang for r in pages], votes, names, cfg)
 
