@@ -55,26 +55,34 @@ FORMS = {"whole": r"\A[+-]?[0-9]+\z", "real": r"\A[+-]?[0-9]*[.,][0-9]+\z", "day
 _SUMS = ("n_rows", "n_blank", "n_good", "n_in", "total")
 
 
-def _states_of(check: Check, sketch: bool) -> dict[str, Column]:
-    raw = F.col(f"`{check.field}`")
-    cell = raw.cast("string")
+def _facts_of(check: Check, sketch: bool) -> dict[str, Column]:
+    """What the aggregates need to know of a cell, worked out once per cell. ``number`` is null outside the range."""
+    cell = F.col(f"`{check.field}`").cast("string")
     filled = ~is_blank(cell)
     good = filled & F.coalesce(check.well_formed(cell), F.lit(False))
     within = good & F.coalesce(check.in_range(cell), F.lit(False))
+    number = F.when(within, check.number(cell).cast("bigint"))
+    facts = {"cell": F.when(filled, cell), "good": good, "within": within, "number": number}
+    if sketch:
+        facts["form"] = reduce(lambda w, f: w.when(cell.rlike(f[1][1]), f[0]), enumerate(FORMS.items()), F.when(~filled, None)).otherwise(len(FORMS))
+    return facts
+
+
+def _states_of(check: Check, sketch: bool, at: str) -> dict[str, Column]:
+    cell, form = F.col(f"{at}cell"), F.col(f"{at}form")
     aggs = {
         "n_rows": F.count("*"),
-        "n_blank": F.count_if(~filled),
-        "n_good": F.count_if(good),
-        "n_in": F.count_if(within),
-        "total": F.sum(F.when(within, check.number(cell).cast("bigint"))),
+        "n_blank": F.count_if(cell.isNull()),
+        "n_good": F.count_if(F.col(f"{at}good")),
+        "n_in": F.count_if(F.col(f"{at}within")),
+        "total": F.sum(f"{at}number"),
     }
     if check.exact_distinct:
-        aggs["n_distinct"] = F.count_distinct(F.when(filled, cell))
+        aggs["n_distinct"] = F.count_distinct(cell)
     if sketch:
-        form = reduce(lambda w, f: w.when(cell.rlike(f[1]), f[0]), FORMS.items(), F.when(~filled, None)).otherwise("other")
-        aggs |= {"lowest": F.min(F.when(filled, cell)), "highest": F.max(F.when(filled, cell))}
-        aggs |= {f"form_{f}": F.count_if(form == f) for f in (*FORMS, "other")}
-        aggs["sketch"] = F.hll_sketch_agg(F.when(filled, cell))
+        aggs |= {"lowest": F.min(cell), "highest": F.max(cell)}
+        aggs |= {f"form_{f}": F.count_if(form == i) for i, f in enumerate((*FORMS, "other"))}
+        aggs["sketch"] = F.hll_sketch_agg(cell)
     return aggs
 
 
@@ -85,16 +93,17 @@ def scan_states(table: DataFrame, tbl: str, checks: list[Check], by: str = "load
     without load have the load null. An empty table has no states.
     """
     exact = any(c.exact_distinct for c in checks)
-    every, packed = [], []
+    facts, every, packed = [], [], []
     for i, check in enumerate(checks):
-        aggs = _states_of(check, sketch)
+        facts += [c.alias(f"f{i}_{n}") for n, c in _facts_of(check, sketch).items()]
+        aggs = _states_of(check, sketch, f"f{i}_")
         every += [a.alias(f"s{i}_{n}") for n, a in aggs.items()]
         cells = {n: F.col(f"s{i}_{n}") for n in aggs}
         if exact:
             cells.setdefault("n_distinct", F.lit(None).cast("bigint"))
         packed.append(F.struct(F.lit(tbl).alias("tbl"), F.lit(check.field).alias("field_name"), *[cells[n].alias(n) for n in sorted(cells)]))
-    one = table.groupBy(by).agg(*every)
-    return one.select(F.col(by).alias("load_no"), F.explode(F.array(*packed)).alias("s")).select("load_no", "s.*")
+    one = table.select(F.col(by).alias("load"), *facts).groupBy("load").agg(*every)
+    return one.select(F.col("load").alias("load_no"), F.explode(F.array(*packed)).alias("s")).select("load_no", "s.*")
 
 
 def merge_states(states: DataFrame) -> DataFrame:
