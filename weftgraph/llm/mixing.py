@@ -52,7 +52,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
         if r.source in wanted:
             raise ValueError(f"source {r.source} is listed twice")
         wanted[r.source] = r
-    filled = sizes.where("n_tokens > 0")
+    filled = sizes.select("doc_id", "source", "n_tokens").where("n_tokens > 0")
     totals = {r.source: r for r in filled.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect() if r.source in wanted}
     columns = "doc_id bigint, source string, copy_no int, n_tokens bigint, finish double"
     if not totals:

@@ -29,6 +29,7 @@ MISREAD = str.maketrans({"0": "o", "1": "l", "5": "s", "4": "a", "9": "g", "6":
 _BROKEN = re.compile(r"[-­‐‑–—¬]+[ \t\r]*\n\s*")
 _WORD = re.compile(r"[^\W\d_]+")
 _WINDOW = 8
+_BLOCK = 150  # lines; a longer page is judged block by block and has what any block has
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,13 @@ def lines_of(text: str | None) -> list[list[str]]:
 
 @dataclass
 class Batch:
-    """Pages as flat arrays: word ids (-1: unknown), the pair id of each word with the one before it, and where lines and pages begin."""
+    """Pages as flat arrays: word ids (-1: unknown), the pair id of each word with the one before it, where lines and blocks begin, and each block's page."""
 
     words: np.ndarray
     pairs: np.ndarray
     line_at: np.ndarray
     page_at: np.ndarray
+    owner: np.ndarray
 
 
 @dataclass
@@ -69,7 +71,12 @@ class Vocabulary:
     pairs: np.ndarray  # sorted keys: first * len(words) + second
 
     def batch(self, texts: list[str | None]) -> Batch:
-        pages = [lines_of(t) or [[""]] for t in texts]
+        pages, owner = [], []
+        for i, t in enumerate(texts):
+            lines = lines_of(t) or [[""]]
+            for at in range(0, len(lines), _BLOCK):
+                pages.append(lines[at : at + _BLOCK])
+                owner.append(i)
         lines = list(chain.from_iterable(pages))
         get = self.words.get
         words = np.fromiter((get(w, -1) for w in chain.from_iterable(lines)), np.int64)
@@ -83,7 +90,7 @@ class Vocabulary:
         if len(self.pairs):
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             pairs = np.where(self.pairs[at] == key, at, -1)
-        return Batch(words, pairs, line_at, page_at)
+        return Batch(words, pairs, line_at, page_at, np.array(owner, np.int64))
 
 
 def vocabulary(texts: list[str], cfg: Settings) -> Vocabulary:
@@ -151,8 +158,9 @@ def train_models(texts: list[str], langs: list[str | None], labels: list[set[int
     b = vocab.batch(texts)
     names = sorted(set(LANGUAGES.values()))
     per_page = np.append(b.page_at, len(b.line_at))
-    known = np.array([names.index(LANGUAGES[x.lower()]) if x and x.lower() in LANGUAGES else -1 for x in langs])
-    word_page = np.repeat(np.repeat(np.arange(len(texts)), np.diff(per_page)), np.diff(np.append(b.line_at, len(b.words))))
+    known = np.array([names.index(LANGUAGES[x.lower()]) if x and x.lower() in LANGUAGES else -1 for x in langs], np.int64)
+    line_page = np.repeat(b.owner, np.diff(per_page))
+    word_page = np.repeat(line_page, np.diff(np.append(b.line_at, len(b.words))))
     counts = np.stack([np.bincount(b.words[known[word_page] == g] + 1, minlength=len(vocab.words) + 1) for g in range(len(names))], 1) + 0.1
     counts[0] = 1
     lang = np.log(counts / counts.sum(0)).astype(np.float32)
@@ -162,7 +170,6 @@ def train_models(texts: list[str], langs: list[str | None], labels: list[set[int
     for i, s in enumerate(labels):
         allowed[i, list(s)] = 0.7 / max(len(s), 1)
         allowed[i, subjects] = 0.3 if s else 1.0
-    line_page = np.repeat(np.arange(len(texts)), np.diff(per_page))
     prior = allowed[line_page]
     share = prior
     for _ in range(cfg.rounds):
@@ -176,7 +183,7 @@ def train_models(texts: list[str], langs: list[str | None], labels: list[set[int
 
 
 def features(models: Models, b: Batch) -> np.ndarray:
-    """[page, subject, 5]: expected and clear lines of the subject, their part of the page, the strongest window of lines, the evidence per line."""
+    """[block, subject, 5]: expected and clear lines of the subject, their part of the page, the strongest window of lines, the evidence per line."""
     evidence = models.evidence(b, models.languages(b))
     odds = np.exp(np.clip(evidence, -30, 30))
     share = odds / (1 + odds.sum(1, keepdims=True))
@@ -195,18 +202,20 @@ def features(models: Models, b: Batch) -> np.ndarray:
 class Classifier:
     subjects: list[str]
     vocab: Vocabulary
-    models: Models
+    models: Models | None
     weights: np.ndarray
     threshold: float
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        x = features(self.models, self.vocab.batch(texts))
-        return 1 / (1 + np.exp(-(x @ self.weights[:-1] + self.weights[-1])))
+        b = self.vocab.batch(texts)
+        score = features(self.models, b) @ self.weights[:-1] + self.weights[-1]
+        best = np.maximum.reduceat(score, np.flatnonzero(np.diff(b.owner, prepend=-1)), axis=0)
+        return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
 
     def accepted(self, texts: list[str | None]) -> np.ndarray:
         """[page, subject]; blank pages have none."""
-        if not texts:
-            return np.zeros((0, len(self.subjects)), bool)
+        if not texts or self.models is None:
+            return np.zeros((len(texts), len(self.subjects)), bool)
         blank = np.array([not t or not t.strip() for t in texts])
         return (self.probabilities(texts) >= self.threshold) & ~blank[:, None]
 
@@ -224,8 +233,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str | None], votes: list[dict[str, float]], subjects: list[str], cfg: Settings | None = None) -> Classifier:
-    """``votes``: per page the share of its annotators that gave each subject. Half or more counts as a label for calibration, any for training."""
+    """``votes``: per page the share of its annotators that gave each subject. Half or more counts as a label for calibration, any for training. Without labels nothing is accepted."""
     cfg = cfg or Settings()
+    if not any(votes):
+        return Classifier(subjects, Vocabulary({}, np.empty(0, np.int64)), None, np.zeros(6), 1.0)
     place = {s: i for i, s in enumerate(subjects)}
     labels = [{place[s] for s in v if s in place} for v in votes]
     truth = np.zeros((len(texts), len(subjects)))
@@ -240,7 +251,8 @@ def fit(texts: list[str], langs: list[str | None], votes: list[dict[str, float]]
         seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(seen) and len(unseen):
             part = train_models([texts[i] for i in seen], [langs[i] for i in seen], [labels[i] for i in seen], len(subjects), vocab, cfg)
-            x[unseen] = features(part, vocab.batch([texts[i] for i in unseen]))
+            b = vocab.batch([texts[i] for i in unseen])
+            x[unseen] = features(part, b)[np.flatnonzero(np.diff(b.owner, prepend=-1))]  # a page's first block stands for it
     flat, y = x.reshape(-1, x.shape[2]), truth.reshape(-1)
     weights = _logistic(flat, y)
     p = 1 / (1 + np.exp(-(flat @ weights[:-1] + weights[-1])))
