@@ -41,7 +41,7 @@ def test_labels(spark):
     assert [x.labels for x in r] == [["Q"], None] and r[0].props.asDict() == {"a": "v"}
 
 
-@pytest.mark.parametrize("kind,bad", [("int", "foo"), ("int", " 1"), ("int", "2147483648"), ("byte", "128"), ("double", "x"), ("int_array", "1,,2"), ("char_array", "a,,b"), ("id", "x")])
+@pytest.mark.parametrize("kind,bad", [("int", "foo"), ("int", " 1"), ("int", "2147483648"), ("int", "1 "), ("int", "12.5"), ("int", ".5"), ("int", "12."), ("int", "1e3"), ("int", "+"), ("int", "1\n"), ("int", "--1"), ("int", "0x1"), ("long", "9223372036854775808"), ("int", "١"), ("byte", "128"), ("double", "x"), ("int_array", "1,,2"), ("char_array", "a,,b"), ("id", "x")])
 def test_bad_cells_abort(spark, kind, bad):
     with pytest.raises(Exception, match=rf"Error converting value row 1 column 1\. b type: {kind.upper()} value"):
         _convert_b(spark, kind, bad)

@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftgraph.functions.cells import INT_FORM
 from weftgraph.schema import SCALARS, HeaderField
 
 _WHOLE = {"ID", "INT", "LONG", "BYTE", "SHORT"}
@@ -22,7 +21,9 @@ def as_scalar(cell: Column, kind: str) -> Column:
     if kind == "CHAR":
         return F.nullif(F.substring(cell, 1, 1), F.lit(""))
     if kind in _WHOLE:
-        return F.when(cell.rlike(INT_FORM), cell.try_cast(SCALARS[kind]))
+        # a cast trims blanks: the first sign must be one of + - 0-9 (or . / which no number begins with) and the last a digit
+        tight = F.ascii(cell).between(43, 57) & F.ascii(F.right(cell, F.lit(1))).between(48, 57)
+        return F.when(tight, cell.try_cast(SCALARS[kind]))
     return cell.try_cast(SCALARS[kind])
 
 

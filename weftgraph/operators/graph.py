@@ -15,6 +15,7 @@ from weftgraph.schema import HeaderField, has_explicit_ids
 from weftgraph.sources.cells import CellFile
 
 REL_OFFSET = 3
+INDEX_SCHEMA = "kind string, entity_id bigint, property string, value_type string, value string, index_name string"
 
 
 def node_rows(files: list[CellFile], separator: str = ",", regex: bool = False, clash: str = "raise") -> DataFrame:
@@ -93,7 +94,8 @@ class Graph:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Graph:
-        return cls(*(spark.read.option("mergeSchema", "true").parquet(f"{path}/{t}") for t in ("nodes", "relationships", "index")))
+        tables = [spark.read.option("mergeSchema", "true").parquet(f"{path}/{t}") for t in ("nodes", "relationships")]
+        return cls(*tables, spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index"))
 
     def write(self, path: str, keep: bool = False) -> None:
         """Write the three tables. All are written beside the target first and moved there when complete, so a failed load leaves it as it was.
@@ -112,7 +114,7 @@ class Graph:
         if keep and fs.exists(target):
             for name in ("nodes", "relationships"):
                 spark.read.parquet(f"{fresh}/{name}").write.mode("append").parquet(f"{path}/{name}")
-            spark.read.parquet(f"{fresh}/index").write.mode("append").partitionBy("index_name").parquet(f"{path}/index")
+            spark.read.schema(INDEX_SCHEMA).parquet(f"{fresh}/index").write.mode("append").partitionBy("index_name").parquet(f"{path}/index")
             fs.delete(fs_path(fresh), True)
             return
         fs.delete(target, True)

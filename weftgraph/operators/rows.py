@@ -24,7 +24,7 @@ def stop_at_blank(cells: DataFrame, width: int) -> DataFrame:
 
     One row per file is aggregated and joined back; the rows themselves aren't shuffled where Catalyst broadcasts that.
     """
-    blank = ~F.exists(F.slice("cells", 1, width), lambda c: F.coalesce(c != "", F.lit(False)))
+    blank = F.array_join(F.slice("cells", 1, width), "") == ""
     stops = cells.where(blank).groupBy("file_no").agg(F.min("line_no").alias("stop"))
     before = F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))
     # the guard keeps rows after the stop from being converted whatever order Catalyst picks
