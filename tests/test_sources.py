@@ -20,7 +20,9 @@ def test_plain_file_and_crlf(spark, tmp_path, quotes):
     p = tmp_path / "a.csv"
     p.write_bytes("a,b,c:int\r\n1,2,3\r\n\r\n4,5,6".encode())
     fields, rows = read(spark, p, ",", quotes)
-    assert fields[2].type == "INT" and rows == [["1", "2", "3"], [""], ["4", "5", "6"]]
+    assert fields[2].type == "INT" and rows == [["1", "2", "3"]]  # the blank line ends the file
+    p.write_bytes("a,b,c:int\r\n1,2,3\r\n,5\r\n4,5,6".encode())
+    assert read(spark, p, ",", quotes)[1] == [["1", "2", "3"], ["", "5"], ["4", "5", "6"]]
 
 
 def test_non_ascii(spark, tmp_path):
@@ -35,7 +37,7 @@ def test_quoted_file(spark, tmp_path):
     p.write_text('"a"\tb\tc\n"1\n2"\t2\t3\n"x""y"\t"\\""\t""\n\nlast\t', encoding="utf-8")
     fields, rows = read(spark, p)
     assert fields[0].name == "a"
-    assert rows == [["1\n2", "2", "3"], ['x"y', '"', ""], [""], ["last", ""]]
+    assert rows == [["1\n2", "2", "3"], ['x"y', '"', ""]]  # the blank record ends the file
     f = read_cells(spark, [str(p)])[0]
     assert typed_rows(f.rows, f.fields).where("line_no = 2").first().props.c is None
 
@@ -57,6 +59,18 @@ def test_empty_files(spark, tmp_path):
     assert read(spark, tmp_path / "e.csv")[1] == []
 
 
+def test_files_of_one_header_share_a_scan(spark, tmp_path):
+    texts = ["a\tb\n1\t2\n\n9\t9\n", "a\n5\n", "a\tb\n3\t4\n5\t6", 'a\tb\n"7"\t8', "a\tb"]
+    paths = []
+    for i, t in enumerate(texts):
+        paths.append(str(tmp_path / f"f {i}.csv"))
+        (tmp_path / f"f {i}.csv").write_text(t)
+    files = read_cells(spark, paths)
+    got = sorted((r.file_no, r.line_no, r.cells) for f in files for r in f.rows.collect())
+    assert got == [(1, 1, ["1", "2"]), (2, 1, ["5"]), (3, 1, ["3", "4"]), (3, 2, ["5", "6"]), (4, 1, ["7", "8"])]
+    assert {k: v for f in files for k, v in f.kept.items()} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 0} and len(files) == 3
+
+
 def test_missing_files_are_skipped(tmp_path):
     p = tmp_path / "there.csv"
     p.write_text("a")

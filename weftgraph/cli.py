@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import logging
-import os
 import sys
 import time
 
 from pyspark.sql import SparkSession
 
 from weftgraph.config import ConfigError, LoadConfig
-from weftgraph.operators.graph import Graph, load
+from weftgraph.operators.graph import Graph, known_rows, load
 from weftgraph.sources.cells import read_cells, usable_paths
 
 log = logging.getLogger("weftgraph")
@@ -23,11 +22,15 @@ def run(spark: SparkSession, config: LoadConfig) -> dict[str, int | float]:
     node_files = read_cells(spark, usable_paths(config.nodes), config.delim, config.quotes)
     rel_files = read_cells(spark, usable_paths(config.rels), config.delim, config.quotes)
     index_files = {s.name: read_cells(spark, usable_paths(s.file), config.delim, config.quotes)[0] for s in config.indexes if s.file and usable_paths(s.file)}
-    earlier = Graph.read(spark, config.graph) if config.keep and os.path.isdir(config.graph) else None
+    earlier = Graph.read(spark, config.graph) if config.keep and Graph.exists(spark, config.graph) else None
+    before = [t.count() for t in (earlier.nodes, earlier.relationships)] if earlier else [0, 0]
     graph, counts = load(spark, node_files, rel_files, config.indexes, index_files, earlier, config.separator, regex=False)
     graph.write(config.graph, config.keep)
-    seen = counts.first()
-    total = {"nodes": graph.nodes.count(), "relationships": seen.imported, "skipped": seen.skipped, "seconds": round(time.monotonic() - began, 1)}
+    written = Graph.read(spark, config.graph)
+    nodes, rels = written.nodes.count() - before[0], written.relationships.count() - before[1]  # of Parquet's own counts
+    rows = known_rows(rel_files)
+    skipped = rows - rels if rows is not None else counts.first().skipped
+    total = {"nodes": nodes, "relationships": rels, "skipped": skipped, "seconds": round(time.monotonic() - began, 1)}
     log.info("%s", total)
     return total
 

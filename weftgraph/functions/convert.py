@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftgraph.functions.cells import INT_FORM
 from weftgraph.schema import SCALARS, HeaderField
 
 _WHOLE = {"ID", "INT", "LONG", "BYTE", "SHORT"}
@@ -21,9 +22,7 @@ def as_scalar(cell: Column, kind: str) -> Column:
     if kind == "CHAR":
         return F.nullif(F.substring(cell, 1, 1), F.lit(""))
     if kind in _WHOLE:
-        # a cast trims blanks: the first sign must be one of + - 0-9 (or . / which no number begins with) and the last a digit
-        tight = F.ascii(cell).between(43, 57) & F.ascii(F.right(cell, F.lit(1))).between(48, 57)
-        return F.when(tight, cell.try_cast(SCALARS[kind]))
+        return F.when(cell.rlike(INT_FORM), cell.try_cast(SCALARS[kind]))  # a cast alone would trim blanks
     return cell.try_cast(SCALARS[kind])
 
 
@@ -65,8 +64,10 @@ def message(cell: Column, field: HeaderField, row: Column) -> Column:
 def convert(cell: Column, field: HeaderField, row: Column, separator: str = ",", regex: bool = False) -> Column:
     """The typed value of a cell; null stays null, a bad cell raises with its row (data rows count from 1), column, type and value."""
     value, bad = value_of(cell, field, separator, regex)
-    checked = F.when(cell.isNull(), F.lit(None)).when(bad, F.raise_error(message(cell, field, row))).otherwise(value)
-    return checked.cast(field.spark_type)
+    error = F.raise_error(message(cell, field, row))
+    if field.type in SCALARS:  # the value stands once in the expression: its generated code stays small enough to be compiled
+        return F.coalesce(value, F.when(cell.isNotNull(), error.cast(field.spark_type)))
+    return F.when(cell.isNull(), F.lit(None)).when(bad, error).otherwise(value).cast(field.spark_type)
 
 
 def fails(cell: Column, field: HeaderField, separator: str = ",", regex: bool = False) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.error_parse import parse_records
-from weftgraph.session import stored
+from weftgraph.session import small_table, stored
 
 SAME_FORM, SAME_STOCK, SLACK = 0.5, 0.4, 0.05
 
@@ -192,7 +192,7 @@ def one_table(files: DataFrame, lines: DataFrame, loaded: dict[str, tuple[DataFr
     """
     spark = lines.sparkSession
     alias, types = alias_table(files, lines, series, fixed or {"name": "string"})
-    pairs = spark.createDataFrame([(f, c, a) for (f, c), a in alias.items()], "file_no int, field string, col string")
+    pairs = small_table(spark, [(f, c, a) for (f, c), a in alias.items()], "file_no int, field string, col string")
     names = pairs.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("alias"))
     parsed = parse_records(lines, files.where(F.col("series").isin(*series)), failed=False).join(names, "file_no")
     cells = F.transform("cells", lambda x, i: F.struct(F.element_at("alias", F.get("fields", i)).alias("col"), F.get("kinds", i).endswith("_array").alias("listed"), F.nullif(x, F.lit("")).alias("text")))

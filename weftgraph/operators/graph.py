@@ -5,39 +5,55 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.convert import as_scalar
 from weftgraph.operators import index as ix
-from weftgraph.operators.ids import assign_ids, next_id
+from weftgraph.operators.ids import assign_ids, next_id, number_by_line
 from weftgraph.operators.rows import prop_names, stop_at_blank, typed_rows, union_rows
 from weftgraph.schema import HeaderField, has_explicit_ids
+from weftgraph.session import small_table
 from weftgraph.sources.cells import CellFile
 
 REL_OFFSET = 3
 INDEX_SCHEMA = "kind string, entity_id bigint, property string, value_type string, value string, index_name string"
 
 
+def _cut(file: CellFile) -> DataFrame:
+    return file.rows if file.kept is not None else stop_at_blank(file.rows, len(file.fields))
+
+
 def node_rows(files: list[CellFile], separator: str = ",", regex: bool = False, clash: str = "raise") -> DataFrame:
-    """Typed rows of node files up to each file's first blank row."""
-    return union_rows([typed_rows(stop_at_blank(f.rows, len(f.fields)), f.fields, 0, separator, regex) for f in files], clash)
+    """Typed rows of node files up to each file's first blank row, with ``own``: whether the file has an ID column."""
+    parts = [typed_rows(_cut(f), f.fields, 0, separator, regex).withColumn("own", F.lit(has_explicit_ids(f.fields))) for f in files]
+    return union_rows(parts, clash)
 
 
 def with_ids(rows: DataFrame, files: list[CellFile], base: int = 0) -> DataFrame:
-    """Nodes (id, labels, props) in file order. Files with an ID column keep their ids, the rows of other files are numbered from ``base``."""
-    explicit = [i for i, f in enumerate(files, 1) if has_explicit_ids(f.fields)]
-    labels = F.coalesce("labels", F.array().cast("array<string>")).alias("labels")
-    if len(explicit) == len(files):
-        return rows.select("id", labels, "props", "file_no")
-    own = F.col("file_no").isin(explicit)
-    numbered = assign_ids(rows.where(~own).drop("id"), ["file_no", "line_no"], base).select("id", labels, "props", "file_no")
-    return numbered.unionByName(rows.where(own).select("id", labels, "props", "file_no")) if explicit else numbered
+    """Nodes (id, labels, props, file_no) in file order. Files with an ID column keep their ids, the rows of other files are numbered from ``base``.
 
-
-def literal_id(text, what: str):
-    """A cell as an id; null and anything but a whole number abort the load."""
-    number = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))
-    return F.when(number.isNull(), F.raise_error(F.concat(F.lit(f"{what} is no id: "), F.coalesce(text, F.lit("null")))).cast("bigint")).otherwise(number)
+    Where the files' row counts are known an id is the file's first one plus the line number: no shuffle and no sort.
+    """
+    columns = ["id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "props", "file_no"]
+    implicit = [f for f in files if not has_explicit_ids(f.fields)]
+    if not implicit:
+        return rows.select(*columns)
+    if all(f.kept is not None for f in implicit):
+        starts, at = [], base
+        for number, n in sorted(x for f in implicit for x in f.kept.items()):
+            starts.append((number, at - 1))
+            at += n
+        first = small_table(rows.sparkSession, starts, "file_no int, _first bigint")
+        return rows.join(first, "file_no", "left").withColumn("id", F.coalesce("id", F.col("_first") + F.col("line_no"))).select(*columns)
+    numbered = assign_ids(rows.where(~F.col("own")).drop("id"), ["file_no", "line_no"], base).select(*columns)
+    return numbered.unionByName(rows.where("own").select(*columns)) if len(implicit) < len(files) else numbered
+
+
+def literal_id(text: Column, what: str, asked: Column | None = None) -> Column:
+    """A cell as an id; null and anything but a whole number abort the load, except in rows that aren't ``asked`` for."""
+    error = F.raise_error(F.concat(F.lit(f"{what} is no id: "), F.coalesce(text, F.lit("null")))).cast("bigint")
+    return F.coalesce(as_scalar(text, "LONG"), error if asked is None else F.when(asked, error))
 
 
 def with_endpoints(cells: DataFrame, fields: list[HeaderField], index: DataFrame | None) -> DataFrame:
@@ -50,24 +66,32 @@ def with_endpoints(cells: DataFrame, fields: list[HeaderField], index: DataFrame
                 raise ValueError(f"index {f.index} isn't configured")
             out = ix.lookup(out.withColumn(f"_{name}", text), f"_{name}", index, f.index, f.name, name).drop(f"_{name}")
         else:
-            out = out.withColumn(name, literal_id(text, name))
+            # rows beyond a file's end have no cells: whenever Catalyst looks at them, they don't abort
+            out = out.withColumn(f"_{name}", text).withColumn(name, literal_id(F.col(f"_{name}"), name, F.col("cells").isNotNull())).drop(f"_{name}")
     return out
 
 
-def resolved_rows(cells: DataFrame, fields: list[HeaderField], index: DataFrame | None, separator: str = ",", regex: bool = False) -> DataFrame:
-    """(file_no, line_no, start, end, type, props) of all rows up to the blank one, unresolved ones with -1. Cells convert before rows are dropped."""
-    placed = with_endpoints(stop_at_blank(cells, len(fields)), fields, index)
+def resolved_rows(cells: DataFrame, fields: list[HeaderField], index: DataFrame | None, separator: str = ",", regex: bool = False, cut: bool = False) -> DataFrame:
+    """(file_no, line_no, start, end, type, props) of all rows up to the blank one, unresolved ones with -1. Cells convert before rows are dropped.
+
+    ``cut``: the rows end before the blank one already.
+    """
+    placed = with_endpoints(cells if cut else stop_at_blank(cells, len(fields)), fields, index)
     typed = typed_rows(placed, fields, REL_OFFSET, separator, regex, keep=("start", "end"))
     return typed.select("file_no", "line_no", "start", "end", F.col("cell_type").alias("type"), "props")
 
 
-def is_resolved():
+def is_resolved() -> Column:
     return (F.col("start") != ix.UNRESOLVED) & (F.col("end") != ix.UNRESOLVED)
 
 
-def relationships_of(rows: DataFrame, base: int = 0) -> DataFrame:
-    """(id, start, end, type, props) of the resolved rows, ids in file order after the skips. A resolved row without type aborts."""
-    kept = assign_ids(rows.where(is_resolved()), ["file_no", "line_no"], base)
+def relationships_of(rows: DataFrame, base: int = 0, total: int | None = None) -> DataFrame:
+    """(id, start, end, type, props) of the resolved rows, ids in file order after the skips. A resolved row without type aborts.
+
+    ``total``: the number of rows, where line numbers count them without gaps.
+    """
+    kept = rows.where(is_resolved())
+    kept = assign_ids(kept, ["file_no", "line_no"], base) if total is None else number_by_line(kept, total, base)
     kind = F.coalesce("type", F.raise_error(F.concat(F.lit("relationship without type, row "), F.col("line_no").cast("string"))))
     return kept.select("id", "start", "end", kind.alias("type"), "props")
 
@@ -97,6 +121,11 @@ class Graph:
         tables = [spark.read.option("mergeSchema", "true").parquet(f"{path}/{t}") for t in ("nodes", "relationships")]
         return cls(*tables, spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index"))
 
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def write(self, path: str, keep: bool = False) -> None:
         """Write the three tables. All are written beside the target first and moved there when complete, so a failed load leaves it as it was.
 
@@ -122,6 +151,15 @@ class Graph:
             raise OSError(f"{fresh} can't be moved to {path}")
 
 
+def _numbers(file: CellFile, place: int) -> list[int]:
+    return sorted(file.kept) if file.kept is not None else [place]
+
+
+def known_rows(files: list[CellFile]) -> int | None:
+    """Rows of all files before their blank ones, or None where they weren't counted."""
+    return sum(sum(f.kept.values()) for f in files) if all(f.kept is not None for f in files) else None
+
+
 def load(
     spark: SparkSession,
     node_files: list[CellFile],
@@ -139,19 +177,19 @@ def load(
     """
     named = ix.check_names(specs)
     nodes = with_ids(node_rows(node_files, separator, regex, clash), node_files, next_id(earlier.nodes) if earlier else 0)
-    parts = [ix.entries(nodes.where(F.col("file_no") == i), f.fields, "node_index", 0, named) for i, f in enumerate(node_files, 1)]
+    parts = [ix.entries(nodes.where(F.col("file_no").isin(_numbers(f, i))), f.fields, "node_index", 0, named) for i, f in enumerate(node_files, 1)]
     index = parts[0]
     for p in parts[1:]:
         index = index.unionByName(p)
     probed = index.unionByName(earlier.index.select(*ix.ENTRY)) if earlier else index
-    rows = [resolved_rows(f.rows, f.fields, probed, separator, regex) for f in rel_files]
+    rows = [resolved_rows(f.rows, f.fields, probed, separator, regex, f.kept is not None) for f in rel_files]
     united = union_rows(rows, clash)
-    rels = relationships_of(united, next_id(earlier.relationships) if earlier else 0)
+    rels = relationships_of(united, next_id(earlier.relationships) if earlier else 0, known_rows(rel_files))
     marked = [f for f in rel_files if any(c.index for c in f.fields[REL_OFFSET:])]
     for f in marked:
         index = index.unionByName(ix.entries(rels, [c for c in f.fields if c.position < REL_OFFSET or c.name in prop_names(rels)], "relationship_index", REL_OFFSET, named))
     for name, f in (index_files or {}).items():
-        typed = typed_rows(stop_at_blank(f.rows, len(f.fields)), f.fields, 1, separator, regex, keep=("cells",))
+        typed = typed_rows(_cut(f), f.fields, 1, separator, regex, keep=("cells",))
         placed = typed.select(literal_id(F.get("cells", F.lit(0)), "entity").alias("id"), "props")
         index = index.unionByName(ix.file_entries(placed, f.fields, named[name]))
     return Graph(nodes.drop("file_no"), rels, index), import_counts(united)

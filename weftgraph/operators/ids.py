@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.session import stored
+from weftgraph.session import small_table, stored
 
 _SHIFT = 33  # monotonically_increasing_id: partition number above, place in the partition below
 
@@ -24,9 +24,28 @@ def assign_ids(rows: DataFrame, order: list[str], base: int = 0, name: str = "id
     for p, n in counts:
         starts.append((p, at))
         at += n
-    offsets = spark.createDataFrame(starts, "_part bigint, _start bigint")
+    offsets = small_table(spark, starts, "_part bigint, _start bigint")
     inside = F.col("_at") - F.shiftleft("_part", _SHIFT)
-    return kept.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start", "_at")
+    return kept.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start", "_at")
+
+
+def number_by_line(rows: DataFrame, total: int, base: int = 0, name: str = "id") -> DataFrame:
+    """As ``assign_ids`` over (file_no, line_no), for rows whose line numbers lie in 1 to about ``total`` per file, some of them left out.
+
+    Lines fall into buckets of equal width; one count per bucket comes to the driver, ranks are counted inside a bucket. One hash shuffle, no sampling
+    and nothing stored; the rows before it are evaluated twice, for counting only as far as that needs them.
+    """
+    spark = rows.sparkSession
+    width = min(1 << 20, max(4096, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1))
+    bucket = F.floor(F.col("line_no") / width).cast("bigint")
+    counts = rows.groupBy("file_no", bucket.alias("_bucket")).agg(F.count("*").alias("n")).collect()
+    starts, at = [], base
+    for r in sorted(counts, key=lambda r: (r.file_no, r._bucket)):
+        starts.append((r.file_no, r._bucket, at))
+        at += r.n
+    offsets = small_table(spark, starts, "file_no int, _bucket bigint, _start bigint")
+    place = F.row_number().over(Window.partitionBy("file_no", "_bucket").orderBy("line_no"))
+    return rows.withColumn("_bucket", bucket).withColumn("_place", place).join(offsets, ["file_no", "_bucket"]).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_bucket", "_place", "_start")
 
 
 def next_id(entities: DataFrame) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.cells import is_key
-from weftgraph.session import partitions_for, stored
+from weftgraph.session import partitions_for, small_table, stored
 
 _NEVER, _NONE = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _PROBED = "kind string, pid int, row_id bigint, side int, t bigint, h bigint, g int, last_h bigint, last_g int, tail_end bigint"
@@ -125,10 +125,10 @@ def orphans(rels: DataFrame, tables: list[DataFrame], name: str = "name:string:u
     ranged = both.repartitionByRange(n, "h", "g", "t", "side", "x").sortWithinPartitions("h", "g", "t", "side")
     probed = stored(ranged.mapInArrow(_probe, _PROBED), "orphans")
     carried = _carried(probed.where("kind = 'range'").select("pid", "h", "g", "last_h", "last_g", "tail_end").collect())
-    ends = spark.createDataFrame(carried, "pid int, carried bigint")  # one row per range at most
+    ends = small_table(spark, carried, "pid int, carried bigint")  # one row per range at most
     settled = (
         probed.where("kind in ('miss', 'open')")
-        .join(F.broadcast(ends), "pid", "left")
+        .join(ends, "pid", "left")
         .where("kind = 'miss' or carried is null or carried <= t")
         .select("row_id", "side", "t")
     )

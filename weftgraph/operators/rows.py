@@ -46,16 +46,18 @@ def typed_rows(cells: DataFrame, fields: list[HeaderField], offset: int = 0, sep
     if legacy:
         fields = legacy_fields(fields)
     row = F.col("line_no")
-    typed = {f.position: convert(cell_at(f.position, legacy), f, row, separator, regex) for f in fields}
+    # cells first, in a projection of their own, so that no conversion repeats how a cell is found
+    texts = cells.select("file_no", "line_no", *keep, *[cell_at(i, legacy).alias(f"_c{i}") for i in range(max(len(fields), 3))])
+    typed = {f.position: convert(F.col(f"_c{f.position}"), f, row, separator, regex) for f in fields}
     groups = property_fields(fields, offset)
     if legacy:
         groups = {f.name: [f] for f in fields[offset:]}
     props = [F.coalesce(*[typed[f.position] for f in reversed(fs)]).alias(n) for n, fs in groups.items()]
     label = label_field(fields)
     labels = typed[label.position] if label else F.lit(None).cast("array<string>")
-    third = F.get(labels, F.lit(0)) if label else (cell_at(2, legacy) if len(fields) > 2 else F.lit(None).cast("string"))
+    third = F.get(labels, F.lit(0)) if label else (F.col("_c2") if len(fields) > 2 else F.lit(None).cast("string"))
     number = typed[0] if has_explicit_ids(fields) else F.lit(None).cast("bigint")
-    return cells.select("file_no", "line_no", *keep, number.alias("id"), labels.alias("labels"), third.alias("cell_type"), (F.struct(*props) if props else F.lit(None).cast("struct<>")).alias("props"))
+    return texts.select("file_no", "line_no", *keep, number.alias("id"), labels.alias("labels"), third.alias("cell_type"), (F.struct(*props) if props else F.lit(None).cast("struct<>")).alias("props"))
 
 
 def conversion_errors(cells: DataFrame, fields: list[HeaderField], separator: str = ",", regex: bool = False) -> DataFrame:

@@ -70,6 +70,12 @@ def _drop_stored() -> None:
             return
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str, most: int = 500_000) -> DataFrame:
+    """Rows of the driver as a table that is broadcast in joins if it has at most ``most`` rows, and else joined as Catalyst sees fit."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= most else table
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Number of shuffle partitions: the session's, or more where a task would get over ``rows_per_task`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_task))

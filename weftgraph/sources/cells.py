@@ -6,7 +6,6 @@ partition per file by a Python data source; a quoted file that has neither a quo
 
 from __future__ import annotations
 
-import gzip
 import io
 import logging
 import os
@@ -15,13 +14,16 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftgraph.schema import HeaderField, parse_header
+from weftgraph.session import small_table
 
 log = logging.getLogger(__name__)
 CELLS = "file_no int, line_no bigint, cells array<string>"
@@ -29,18 +31,35 @@ CELLS = "file_no int, line_no bigint, cells array<string>"
 
 @dataclass(frozen=True)
 class CellFile:
-    """A file's fields and its data rows."""
+    """Files with one header and their data rows. ``kept``: rows before the first blank one by file number, where ``rows`` is cut there and line_no counts from 1 without gaps."""
 
     path: str
     fields: list[HeaderField]
     rows: DataFrame
+    kept: dict[int, int] | None = None
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """A path's file system and its path there: a URI's own, else the local one."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _is_file(path: str) -> bool:
+    try:
+        system, at = filesystem(path)
+        if system.get_file_info(at).type != fs.FileType.File:
+            return False
+        system.open_input_stream(at).close()
+        return True
+    except (OSError, pa.ArrowException):
+        return False
 
 
 def usable_paths(listed: str | None) -> list[str]:
     """Files of a comma-separated list; entries that can't be read are skipped with a warning."""
     found = []
     for path in (p.strip() for p in (listed or "").split(",")):
-        if path and os.path.isfile(path) and os.access(path, os.R_OK):
+        if path and _is_file(path):
             found.append(path)
         elif path:
             log.warning("%s is no readable file: skipped", path)
@@ -102,12 +121,11 @@ def records(text: io.TextIOBase, delim: str) -> Iterator[list[str]]:
 
 def open_text(path: str) -> io.TextIOBase:
     """A text file as characters, unpacked by its suffix: ``.gz``, or ``.zip`` (its entries one after the other)."""
-    if path.endswith(".gz"):
-        return io.TextIOWrapper(gzip.open(path), encoding="utf-8", newline="")
+    system, at = filesystem(path)
     if path.endswith(".zip"):
-        archive = zipfile.ZipFile(path)
-        return io.TextIOWrapper(io.BufferedReader(_Entries(archive)), encoding="utf-8", newline="")
-    return open(path, encoding="utf-8", newline="")
+        return io.TextIOWrapper(io.BufferedReader(_Entries(zipfile.ZipFile(system.open_input_file(at)))), encoding="utf-8", newline="")
+    stream = system.open_input_stream(at, compression="gzip" if path.endswith(".gz") else None)
+    return io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8", newline="")
 
 
 class _Entries(io.RawIOBase):
@@ -179,17 +197,50 @@ class QuotedCells(DataSource):
         return _Reader(self.options)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 0, value) of one text file, without sort or shuffle of lines.
+@dataclass(frozen=True)
+class Lines:
+    """Numbered lines (file_no, line_no from 0, value) of some files; per file number of lines, first blank line (or None) and whether there are quotes or backslashes."""
+
+    rows: DataFrame
+    counts: dict[int, int]
+    blank: dict[int, int | None]
+    quoted: set[int]
+
+
+def number_lines(spark: SparkSession, paths: list[str], numbers: list[int], is_blank: Column | None = None) -> Lines:
+    """Lines with their numbers, without sort or shuffle.
 
-    The lines of a block lie together in one partition, so a line's place in its block is its row id less the block's smallest; the blocks'
-    line counts, one row per block, give where each block begins.
+    The lines of a block lie together in one partition, so a line's place in its block is its row id less the block's smallest. One aggregate, with one row per
+    block of a file, tells where each block begins and, on the way, where the first blank line is. Both passes must split the files alike: the number
+    of splits is pinned, and a block that the first pass did not see fails the job.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    blocks = lines.groupBy("block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return lines.join(starts, "block").select((F.col("at") - F.col("first") + F.col("start")).alias("line_no"), "value")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blank = is_blank if is_blank is not None else F.lit(False)
+    seen = lines.groupBy("file", "block").agg(
+        F.min("at").alias("first"), F.count("*").alias("n"), F.min(F.when(blank, F.col("at"))).alias("blank_at"), F.max(value.contains('"') | value.contains("\\")).alias("quoted")
+    ).collect()
+    name = lambda p: os.path.normpath(unquote(re.sub(r"^file:/+", "/", p)))
+    number = {name(p): n for p, n in zip(paths, numbers, strict=True)}
+    counts, first_blank, quoted, starts = dict.fromkeys(numbers, 0), dict.fromkeys(numbers), set(), []
+    for r in sorted(seen, key=lambda r: (r.file, r.block)):
+        n = number[name(r.file)]
+        starts.append((r.file, r.block, n, r.first - counts[n]))
+        if r.blank_at is not None and first_blank[n] is None:
+            first_blank[n] = counts[n] + r.blank_at - r.first
+        counts[n] += r.n
+        quoted |= {n} if r.quoted else set()
+    blocks = small_table(spark, starts, "file string, block bigint, file_no int, lead bigint")
+    placed = lines.join(blocks, ["file", "block"], "left")
+    lead = F.coalesce("lead", F.raise_error(F.lit("the files were split in another way than when their lines were counted")).cast("bigint"))
+    return Lines(placed.select("file_no", (F.col("at") - lead).alias("line_no"), "value"), counts, first_blank, quoted)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no from 0, value) of one text file."""
+    return number_lines(spark, [path], [1]).rows.select("line_no", "value")
 
 
 def split_plain(value: Column, delim: str) -> Column:
@@ -204,25 +255,61 @@ def _header_cells(path: str, delim: str, quotes: bool) -> list[str]:
         return [c for c in text.readline().rstrip("\r\n").split(delim)]
 
 
-def _has_quotes(spark: SparkSession, path: str) -> bool:
+def _plain_files(spark: SparkSession, group: list[tuple[int, str]], fields: list[HeaderField], delim: str, quotes: bool) -> tuple[list[CellFile], list[tuple[int, str]]]:
+    """Files of one header in one scan, and those that need the quoted reader."""
     value = F.col("value")
-    return not spark.read.text(path).where(value.contains('"') | value.contains("\\")).isEmpty()
+    empty = F.array_join(F.slice(split_plain(value, delim), 1, max(len(fields), 1)), "") == ""
+    blank = F.when((value == "") | value.startswith(delim) | value.startswith("\r"), empty).otherwise(False)
+    lines = number_lines(spark, [p for _, p in group], [n for n, _ in group], blank)
+    left = [(n, p) for n, p in group if quotes and n in lines.quoted]
+    plain = [n for n, p in group if (n, p) not in left]
+    if not plain:
+        return [], left
+    # the header is line 0 and never a stop; a blank first line is a header without names
+    kept = {n: max(0, (lines.counts[n] if not lines.blank[n] else lines.blank[n]) - 1) for n in plain}
+    last = small_table(spark, list(kept.items()), "file_no int, last bigint")
+    rows = lines.rows.where(F.col("file_no").isin(plain)) if left else lines.rows
+    inside = (F.col("line_no") > 0) & (F.col("line_no") <= F.col("last"))
+    # The guard keeps conversions from other lines in whatever order Catalyst works. The row id in it is true of every row; it keeps Catalyst
+    # from copying the split into each expression that reads a cell.
+    cells = F.when(inside & (F.monotonically_increasing_id() >= 0), split_plain(value, delim)).alias("cells")
+    cut = rows.join(last, "file_no").where(inside).select("file_no", "line_no", cells)
+    return [CellFile(",".join(p for n, p in group if n in kept), fields, cut, kept)], left
 
 
 def read_cells(spark: SparkSession, paths: list[str], delim: str = "\t", quotes: bool = True, first_number: int = 1) -> list[CellFile]:
-    """Each file with its own header and rows, numbered in list order. Empty header cells keep their place in both modes. An empty file has no fields and no rows."""
+    """Files as cells, numbered in list order; plain files with the same header come as one CellFile, rows after a file's first blank one are cut off there.
+
+    Empty header cells keep their place in both modes. An empty file has no fields and no rows.
+    """
     spark.dataSource.register(QuotedCells)
-    out = []
+    groups: dict[tuple[str, ...], list[tuple[int, str]]] = {}
     for number, path in enumerate(paths, first_number):
-        fields = parse_header(_header_cells(path, delim, quotes))
-        if path.endswith(".zip") or (quotes and _has_quotes(spark, path)):
-            rows = spark.read.format("quoted_cells").options(paths=path, numbers=str(number), delim=delim, quotes=str(quotes).lower()).load()
-        else:
-            rows = numbered_lines(spark, path).where("line_no > 0").select(F.lit(number).cast("int").alias("file_no"), "line_no", split_plain(F.col("value"), delim).alias("cells"))
-        out.append(CellFile(path, fields, rows))
+        groups.setdefault(tuple(_header_cells(path, delim, quotes)), []).append((number, path))
+    out = []
+    for header, group in groups.items():
+        fields = parse_header(list(header))
+        rest = [(n, p) for n, p in group if p.endswith(".zip")]
+        text = [(n, p) for n, p in group if not p.endswith(".zip")]
+        if text:
+            plain, left = _plain_files(spark, text, fields, delim, quotes)
+            out += plain
+            rest += left
+        if rest:
+            options = {"paths": "\n".join(p for _, p in rest), "numbers": ",".join(str(n) for n, _ in rest), "delim": delim, "quotes": str(quotes).lower()}
+            out.append(settled(CellFile(",".join(p for _, p in rest), fields, spark.read.format("quoted_cells").options(**options).load())))
     return out
 
 
+def settled(file: CellFile) -> CellFile:
+    """A file whose line numbers have no gaps, cut at its first blank row: one aggregate with one row per file."""
+    blank = F.array_join(F.slice("cells", 1, max(len(file.fields), 1)), "") == ""
+    seen = file.rows.groupBy("file_no").agg(F.max("line_no").alias("n"), F.min(F.when(blank, F.col("line_no"))).alias("stop")).collect()
+    kept = {r.file_no: r.n if r.stop is None else r.stop - 1 for r in seen}
+    last = small_table(file.rows.sparkSession, list(kept.items()), "file_no int, last bigint")
+    return CellFile(file.path, file.fields, file.rows.join(last, "file_no").where("line_no <= last").drop("last"), kept)
+
+
 def cells_from_table(table: DataFrame, columns: list[str | Column], order: str, file_no: int = 1) -> DataFrame:
     """A table's columns rendered as cells; ``order`` gives line_no, which must tell the rows' order but need not be dense."""
     cells = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
