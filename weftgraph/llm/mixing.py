@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import VOCABULARIES
 from weftgraph.llm.encode import count_tokens
-from weftgraph.session import stored
+from weftgraph.session import small_table, stored
 
 ROWS_PER_BUCKET = 20_000
 
@@ -52,19 +52,20 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
         if r.source in wanted:
             raise ValueError(f"source {r.source} is listed twice")
         wanted[r.source] = r
-    filled = sizes.select("doc_id", "source", "n_tokens").where("n_tokens > 0")
-    totals = {r.source: r for r in filled.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect() if r.source in wanted}
+    filled = sizes.select("doc_id", "source", "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(sorted(wanted)))
+    totals = {r.source: r for r in filled.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
     columns = "doc_id bigint, source string, copy_no int, n_tokens bigint, finish double"
     if not totals:
         return spark.createDataFrame([], columns)
     weight = {s: wanted[s].target_share for s in totals}
     capacity = {s: totals[s].tokens * wanted[s].max_repeats for s in totals}
     until = spent_at(capacity, weight, sum(r.tokens for r in totals.values()) if budget is None else budget)
-    plan = spark.createDataFrame(
+    plan = small_table(
+        spark,
         [(s, weight[s], totals[s].tokens, min(wanted[s].max_repeats, math.ceil(until * weight[s] / totals[s].tokens)), math.ceil(totals[s].docs / ROWS_PER_BUCKET)) for s in totals],
         "source string, weight double, tokens bigint, rounds int, buckets int",
     )
-    copies = filled.join(F.broadcast(plan), "source").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.greatest("rounds", F.lit(1)))))
+    copies = filled.join(plan, "source").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.greatest("rounds", F.lit(1)))))
     draw = F.xxhash64("doc_id", "copy_no", F.lit(seed))
     placed = copies.withColumn("draw", draw).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 33), "buckets").cast("int"))
     keys = ["source", "copy_no", "bucket"]
