@@ -1,6 +1,6 @@
 import pytest
 
-from weftgraph.config import ConfigError, LoadConfig, read_properties
+from weftgraph.config import ConfigError, LoadConfig, NamedArgs, read_properties
 from weftgraph.operators.index import IndexSpec
 from weftgraph.schema import HeaderError, has_explicit_ids, header_of, label_field, parse_header, to_struct
 
@@ -60,3 +60,12 @@ def test_tab_and_other_delimiters():
     assert LoadConfig.from_settings(base | {"batch_import.csv.delim": "\t"}).delim == "\t"
     assert LoadConfig.from_settings(base | {"batch_import.csv.delim": " ; "}).delim == ";"
     assert not LoadConfig.from_settings(base | {"batch_import.keep_db": "yes"}).keep
+
+
+def test_named_args():
+    a = NamedArgs(["x.csv", "7"], "File", "count")
+    assert (a.text("file"), a.number("COUNT"), a.invalid) == ("x.csv", 7, False)
+    assert NamedArgs([], "a").invalid
+    for args, name in (([], "a"), (["1"], "b")):
+        with pytest.raises(ConfigError):
+            NamedArgs(args, "a").text(name)

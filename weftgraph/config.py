@@ -9,7 +9,7 @@ from weftgraph.operators.index import IndexSpec, check_names
 
 # The keys of a properties file.
 GRAPH, NODES, RELS = "batch_import.graph_db", "batch_import.nodes_files", "batch_import.rels_files"
-KEEP, QUOTES, DELIM, SEPARATOR, NO_CACHE = "batch_import.keep_db", "batch_import.csv.quotes", "batch_import.csv.delim", "batch_array_separator", "batch_import.mapdb_cache.disable"
+KEEP, QUOTES, DELIM, SEPARATOR = "batch_import.keep_db", "batch_import.csv.quotes", "batch_import.csv.delim", "batch_array_separator"
 
 
 class ConfigError(ValueError):
@@ -35,6 +35,30 @@ def is_set(settings: dict[str, str], key: str, word: str) -> bool:
     return (settings.get(key) or "").lower() == word
 
 
+class NamedArgs:
+    """Positional arguments by name, in any case of letters: ``NamedArgs(args, "file", "count")``."""
+
+    def __init__(self, args: list[str], *names: str) -> None:
+        self.names = [n.lower() for n in names]
+        self.args = list(args)
+
+    @property
+    def invalid(self) -> bool:
+        """Whether there are fewer or more arguments than names."""
+        return len(self.args) != len(self.names)
+
+    def text(self, name: str) -> str:
+        if name.lower() not in self.names:
+            raise ConfigError(f"no argument {name}")
+        at = self.names.index(name.lower())
+        if at >= len(self.args):
+            raise ConfigError(f"argument {name} missing")
+        return self.args[at]
+
+    def number(self, name: str) -> int:
+        return int(self.text(name))
+
+
 @dataclass(frozen=True)
 class LoadConfig:
     """What to load and how. ``settings`` holds every entry, those of other tools too."""

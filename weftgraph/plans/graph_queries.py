@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gzip
 import os
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from weftgraph.operators.ids import assign_ids
 from weftgraph.schema import HeaderField, parse_header
 from weftgraph.session import read_table, shared_dir
 from weftgraph.sources import generate
-from weftgraph.sources.cells import CellFile, cells_from_table, read_cells
+from weftgraph.sources.cells import CellFile, cells_from_table, filesystem, read_cells
 
 Q = Callable[[SparkSession, str], DataFrame]
 CUSTOMER = parse_header(["id:id", "name:string:customers", "acctbal:double", "seg:label"])
@@ -274,28 +275,41 @@ def limit_rows(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(1000)
 
 
-def _written(spark: SparkSession, lines: DataFrame, header: str, suffix: str) -> str:
-    """One text file of ``lines`` in the shared folder, so that a scan has something to read: written by Spark as one part, then packed or renamed."""
-    folder = f"{shared_dir(spark).removeprefix('file://')}/scan-{os.urandom(8).hex()}"
-    lines.coalesce(1).write.option("lineSep", "\n").text(folder)
-    part = next(f"{folder}/{f}" for f in sorted(os.listdir(folder)) if f.startswith("part-"))
-    target = f"{folder}/rows.csv{suffix}"
-    packed = gzip.open(target, "wb") if suffix == ".gz" else open(target, "wb")
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, at = filesystem(path)
+            with system.open_input_stream(at) as body, system.open_output_stream(f"{at}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                with archive.open("rows.csv", "w", force_zip64=True) as entry:
+                    while chunk := body.read(1 << 20):
+                        entry.write(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}.zip"])], names=["path"])
+
+
+def _written(spark: SparkSession, lines: DataFrame, header: str, suffix: str) -> list[str]:
+    """Text files of ``lines`` in the shared folder, each with the header, so that a scan has something to read. Written and packed by tasks."""
+    folder = f"{shared_dir(spark)}/scan-{os.urandom(8).hex()}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = lines.toDF("value").select(F.pmod(F.xxhash64("value"), F.lit(n)).cast("int").alias("part"), F.lit(1).alias("ord"), "value")
+    heads = spark.range(n).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("ord"), F.lit(header).alias("value"))
+    each = body.unionByName(heads).repartitionById(n, F.col("part")).sortWithinPartitions("ord")
+    each.select("value").write.option("lineSep", "\n").option("compression", "gzip" if suffix == ".gz" else "none").text(folder)
+    system, at = filesystem(folder)
+    prefix = folder.removesuffix(at)
+    paths = sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-") and f.size)
     if suffix == ".zip":
-        packed.close()
-        packed = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED).open("rows.csv", "w", force_zip64=True)
-    with packed as out, open(part, "rb") as body:
-        out.write(header.encode() + b"\n")
-        while chunk := body.read(1 << 20):
-            out.write(chunk)
-    return target
+        paths = sorted(r.path for r in spark.createDataFrame([(p,) for p in paths], "path string").repartition(n).mapInArrow(_zipped, "path string").collect())
+    return paths
+
+
+def _scanned(spark: SparkSession, paths: list[str], quotes: bool) -> DataFrame:
+    return rows.union_rows([rows.typed_rows(f.rows, f.fields) for f in read_cells(spark, paths, "\t", quotes)])
 
 
 def _scan_customers(spark: SparkSession, d: str, suffix: str, quotes: bool) -> DataFrame:
     text = read_table(spark, d, "customer").select(F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"), "c_mktsegment"))
-    path = _written(spark, text, "id:id\tname:string:customers\tacctbal:double\tseg:label", suffix)
-    file = read_cells(spark, [path], "\t", quotes)[0]
-    return _typed(file.rows, file.fields).select("id", "props.name", "props.acctbal")
+    paths = _written(spark, text, "id:id\tname:string:customers\tacctbal:double\tseg:label", suffix)
+    return _scanned(spark, paths, quotes).select("id", "props.name", "props.acctbal")
 
 
 def scan_plain(spark: SparkSession, d: str) -> DataFrame:
@@ -317,9 +331,8 @@ def scan_zip(spark: SparkSession, d: str) -> DataFrame:
 def scan_quoted(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").where("text <> ''")
     text = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""'))
-    path = _written(spark, docs.select(F.concat(F.col("doc_id").cast("string"), F.lit('\t"'), text, F.lit('"'))), "id:id\ttext", "")
-    file = read_cells(spark, [path])[0]
-    return _typed(file.rows, file.fields).select(F.col("id").alias("doc_id"), "props.text")
+    paths = _written(spark, docs.select(F.concat(F.col("doc_id").cast("string"), F.lit('\t"'), text, F.lit('"'))), "id:id\ttext", "")
+    return _scanned(spark, paths, True).select(F.col("id").alias("doc_id"), "props.text")
 
 
 def scan_legacy(spark: SparkSession, d: str) -> DataFrame:
@@ -351,7 +364,7 @@ def convert_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fulltext_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return index.fulltext_tokens(read_table(spark, d, "documents"), "doc_id", "source")
+    return index.fulltext_tokens(read_table(spark, d, "documents"), "doc_id", "text")
 
 
 def util_join(spark: SparkSession, d: str) -> DataFrame:
@@ -425,7 +438,7 @@ left(l_returnflag, 1) as flag, l_linestatus = 'O' as open, l_linestatus as text
     "scan_legacy": "select c_custkey as id, case when c_custkey % 2 <> 0 then c_name end as name, c_mktsegment as label from customer",
     "gen_ring_graph": "select i * 3 + k as id, i as start, (i + o) % 1000 as \"end\", 'ONE' as type, 10::float as weight from range(1000) t(i), (values (0, 1), (1, 7), (2, 999)) v(k, o)",
     "convert_errors": "select row_id as line_no, 1 as position, 'age' as name, 'INT' as type, age as value from nodes where age <> '' and not coalesce(regexp_full_match(age, '[+-]?[0-9]+') and try_cast(age as int) is not null, false)",
-    "fulltext_tokens": r"select distinct doc_id, token from (select doc_id, unnest(regexp_split_to_array(lower(source), '[^\p{L}\p{N}]+')) as token from documents) where token <> ''",
+    "fulltext_tokens": r"select distinct doc_id, token from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as token from documents) where token <> ''",
     "util_join": "select p_partkey, array_to_string(string_split(p_type, ' '), ', ') as joined from part",
     "util_size": "select p_partkey, case p_partkey % 4 when 0 then 2 when 1 then 1 when 2 then 1 else 3 end as n from part",
     "parse_header": """select * from (values (0, 'name', 'STRING', 'users'), (1, 'age', 'STRING', null), (2, '', 'LABEL', null), (3, 'n', 'INT', null), (4, 'xs', 'FLOAT_ARRAY', 'idx'), (5, 'id', 'ID', null)) t(position, name, type, index_name)""",

@@ -1,7 +1,7 @@
 """Delimited text as rows of cells: (file_no int, line_no bigint from 1, cells array<string>), header lines apart.
 
-Plain files (no quoting) are split by Spark and numbered without a sort; quoted files, whose records may hold line feeds, are read one
-partition per file by a Python data source; a quoted file that has neither a quote nor a backslash is read as a plain one.
+Text files are split by Spark and numbered without a sort, quoted ones too, whose records may hold line feeds; a quoted file that has neither a quote
+nor a backslash is read as a plain one. Zip archives are read one partition per file by a Python data source.
 """
 
 from __future__ import annotations
@@ -66,66 +66,69 @@ def usable_paths(listed: str | None) -> list[str]:
     return found
 
 
+_INSIDE = re.compile(r'(?:[^"\\]|\\.|"")*+', re.DOTALL)
+_ESCAPED = re.compile(r'\\(.)|""', re.DOTALL)
+
+
+def ends_open(line: str, delim: str, is_open: bool) -> bool:
+    """Whether a line that begins inside a quoted cell (``is_open``), or at the beginning of a record, ends inside a quoted cell."""
+    if '"' not in line:
+        return is_open
+    at = 0
+    while True:
+        if is_open or line.startswith('"', at):
+            end = _INSIDE.match(line, at if is_open else at + 1).end()
+            if not line.startswith('"', end):
+                return True  # at the end, or at a backslash that takes the line feed
+            at, is_open = end + 1, False
+        at = line.find(delim, at) + 1
+        if not at:
+            return False
+
+
+def split_record(record: str, delim: str) -> list[str]:
+    """Cells of one record. A quote opens a cell only at its beginning; inside, a backslash takes the next character as it is and a doubled quote is
+    one quote; what follows the closing quote is added as it stands. One CR at the end is dropped. A quote left open closes at the end."""
+    if '"' not in record:
+        return record.removesuffix("\r").split(delim)
+    cells, at, n = [], 0, len(record) - record.endswith("\r")
+    while True:
+        text = ""
+        if record.startswith('"', at):
+            end = _INSIDE.match(record, at + 1).end()
+            text = _ESCAPED.sub(lambda m: m.group(1) or '"', record[at + 1 : end])
+            if not record.startswith('"', end):
+                return [*cells, text + record[end:]]
+            at = end + 1
+        stop = record.find(delim, at)
+        if stop < 0:
+            return [*cells, text + record[at : max(at, n)]]
+        cells.append(text + record[at:stop])
+        at = stop + 1
+
+
 def records(text: io.TextIOBase, delim: str) -> Iterator[list[str]]:
-    """Records of a quoted text. A quote opens a cell only at its beginning; inside, a backslash takes the next character as it is and a doubled quote is
-    one quote; what follows the closing quote is added as it stands. CR before LF ends a record too. An open quote at the end of the text closes there."""
-    cell: list[str] = []
-    row: list[str] = []
-    quoted = begun = False
-    pending = ""
-    while chunk := (pending + text.read(1 << 20)):
-        pending = ""
-        more = len(chunk) >= 1 << 20
-        i, n = 0, len(chunk)
-        while i < n:
-            ch = chunk[i]
-            if quoted:
-                if ch in '"\\' and i + 1 == n and more:
-                    pending = ch
-                    break
-                if ch == "\\" and i + 1 < n:
-                    cell.append(chunk[i + 1])
-                    i += 2
-                    continue
-                if ch == '"':
-                    if chunk[i + 1 : i + 2] == '"':
-                        cell.append('"')
-                        i += 2
-                        continue
-                    quoted = False
-                else:
-                    cell.append(ch)
-            elif ch == '"' and not cell and not begun:
-                quoted = begun = True
-            elif ch == delim:
-                row.append("".join(cell))
-                cell, begun = [], False
-            elif ch == "\n":
-                if cell and cell[-1] == "\r":
-                    cell.pop()
-                yield [*row, "".join(cell)]
-                cell, row, begun = [], [], False
-            else:
-                cell.append(ch)
-            i += 1
-        if pending == chunk:
-            more = text.read(1 << 20)
-            if not more:
-                break
-            pending += more
-    if row or cell or begun:
-        if cell and cell[-1] == "\r":
-            cell.pop()
-        yield [*row, "".join(cell)]
+    """Records of a quoted text that is read line by line; line feeds inside quotes belong to the record."""
+    held: list[str] = []
+    is_open = False
+    for line in text:
+        line = line.removesuffix("\n")
+        held.append(line)
+        is_open = ends_open(line, delim, is_open)
+        if not is_open:
+            yield split_record("\n".join(held), delim)
+            held = []
+    if held:
+        yield split_record("\n".join(held), delim)
 
 
 def open_text(path: str) -> io.TextIOBase:
     """A text file as characters, unpacked by its suffix: ``.gz``, or ``.zip`` (its entries one after the other)."""
     system, at = filesystem(path)
     if path.endswith(".zip"):
-        return io.TextIOWrapper(io.BufferedReader(_Entries(zipfile.ZipFile(system.open_input_file(at)))), encoding="utf-8", newline="")
+        return io.TextIOWrapper(io.BufferedReader(_Entries(zipfile.ZipFile(system.open_input_file(at)))), encoding="utf-8", newline="\n")
     stream = system.open_input_stream(at, compression="gzip" if path.endswith(".gz") else None)
-    return io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8", newline="")
+    return io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8", newline="\n")
 
 
 class _Entries(io.RawIOBase):
@@ -184,7 +187,7 @@ class _Reader(DataSourceReader):
 
 
 class QuotedCells(DataSource):
-    """Format ``quoted_cells``: quoted or zipped delimited files, one partition per file. Options: paths (one a line), numbers, delim, quotes."""
+    """Format ``quoted_cells``: zipped (or any) delimited files, one partition per file. Options: paths (one a line), numbers, delim, quotes."""
 
     @classmethod
     def name(cls) -> str:
@@ -197,6 +200,19 @@ class QuotedCells(DataSource):
         return _Reader(self.options)
 
 
+def _pin_splits(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
+def _raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def _path_name(path: str) -> str:
+    return os.path.normpath(unquote(re.sub(r"^file:/+", "/", path)))
+
+
 @dataclass(frozen=True)
 class Lines:
     """Numbered lines (file_no, line_no from 0, value) of some files; per file number of lines, first blank line (or None) and whether there are quotes or backslashes."""
@@ -214,19 +230,17 @@ def number_lines(spark: SparkSession, paths: list[str], numbers: list[int], is_b
     block of a file, tells where each block begins and, on the way, where the first blank line is. Both passes must split the files alike: the number
     of splits is pinned, and a block that the first pass did not see fails the job.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    _pin_splits(spark)
     value = F.col("value")
-    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = _raw_lines(spark, paths)
     blank = is_blank if is_blank is not None else F.lit(False)
     seen = lines.groupBy("file", "block").agg(
         F.min("at").alias("first"), F.count("*").alias("n"), F.min(F.when(blank, F.col("at"))).alias("blank_at"), F.max(value.contains('"') | value.contains("\\")).alias("quoted")
     ).collect()
-    name = lambda p: os.path.normpath(unquote(re.sub(r"^file:/+", "/", p)))
-    number = {name(p): n for p, n in zip(paths, numbers, strict=True)}
+    number = {_path_name(p): n for p, n in zip(paths, numbers, strict=True)}
     counts, first_blank, quoted, starts = dict.fromkeys(numbers, 0), dict.fromkeys(numbers), set(), []
     for r in sorted(seen, key=lambda r: (r.file, r.block)):
-        n = number[name(r.file)]
+        n = number[_path_name(r.file)]
         starts.append((r.file, r.block, n, r.first - counts[n]))
         if r.blank_at is not None and first_blank[n] is None:
             first_blank[n] = counts[n] + r.blank_at - r.first
@@ -255,6 +269,98 @@ def _header_cells(path: str, delim: str, quotes: bool) -> list[str]:
         return [c for c in text.readline().rstrip("\r\n").split(delim)]
 
 
+_PIECES = "file_no int, line_no bigint, block bigint, cells array<string>, text string"
+
+
+def _effects(batches: Iterator[pa.RecordBatch], delim: str) -> Iterator[pa.RecordBatch]:
+    """Per block, for either way it may begin (at a record, inside quotes): whether it ends inside quotes and how many records begin in it."""
+    key, state, begun, out = None, [False, True], [0, 0], []
+    for batch in batches:
+        for value, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")), strict=True):
+            if key != (file, block):
+                if key:
+                    out.append((*key, *state, *begun))
+                key, state, begun = (file, block), [False, True], [0, 0]
+            for i in (0, 1):
+                begun[i] += not state[i]
+                state[i] = ends_open(value, delim, state[i])
+    if key:
+        out.append((*key, *state, *begun))
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "block", "open0", "open1", "n0", "n1"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], delim: str, places: dict, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Records that lie in one block (``whole``), or else the pieces of those that don't, with the number of their record."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
+    out: list[tuple] = []
+    key, held, number, file_no, is_open, head = None, [], 0, 0, False, False
+
+    def emit(closed: bool) -> None:
+        crosses = head or not closed
+        if held and crosses != whole:
+            text = "\n".join(held)
+            out.append((file_no, number - 1, key[1], None, text) if crosses else (file_no, number - 1, key[1], split_record(text, delim), None))
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file_no", "line_no", "block", "cells", "text"])
+
+    for batch in batches:
+        for value, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")), strict=True):
+            if key != (file, block):
+                emit(False)
+                key, held = (file, block), []
+                file_no, number, is_open = places[key]  # a block that wasn't seen before fails the job
+                head = is_open
+            if not is_open and not held:
+                number += 1
+            held.append(value)
+            is_open = ends_open(value, delim, is_open)
+            if not is_open:
+                emit(True)
+                held, head = [], False
+        yield flush()
+        out.clear()
+    emit(False)
+    yield flush()
+
+
+def quoted_records(spark: SparkSession, paths: list[str], numbers: list[int], delim: str) -> DataFrame:
+    """Records (file_no, line_no from 0, cells) of quoted text files, whose records may hold line feeds, in splittable scans.
+
+    What a block does to the state "inside quotes" is a function of two values; the functions are composed over a file's blocks, one row per block, which tells how
+    each block begins. Then blocks are parsed independently; a record that crosses blocks is put together of its pieces, keyed by its number.
+    """
+    _pin_splits(spark)
+    lines = _raw_lines(spark, paths).select("value", "file", "block")
+    seen = lines.mapInArrow(lambda b: _effects(b, delim), "file string, block bigint, open0 boolean, open1 boolean, n0 bigint, n1 bigint").collect()
+    number = {_path_name(p): n for p, n in zip(paths, numbers, strict=True)}
+    places, file, is_open, begun, crossing = {}, None, False, 0, False
+    for r in sorted(seen, key=lambda r: (r.file, r.block)):
+        if r.file != file:
+            file, is_open, begun = r.file, False, 0
+        places[(r.file, r.block)] = (number[_path_name(r.file)], begun, is_open)
+        crossing |= is_open
+        begun += r.n1 if is_open else r.n0
+        is_open = r.open1 if is_open else r.open0
+    shared = spark.sparkContext.broadcast(places)
+    whole = lines.mapInArrow(lambda b: _pieces(b, delim, shared.value, True), _PIECES).select("file_no", "line_no", "cells")
+    # an open quote at the end of a file closes there: its last record is a piece too
+    if not crossing and not is_open and not any(r.open0 for r in seen):
+        return whole
+    pieces = lines.mapInArrow(lambda b: _pieces(b, delim, shared.value, False), _PIECES)
+    joined = pieces.groupBy("file_no", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return whole.unionByName(joined.mapInArrow(lambda b: _joined(b, delim), CELLS))
+
+
+def _joined(batches: Iterator[pa.RecordBatch], delim: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells = pa.array([split_record(t, delim) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("file_no"), batch.column("line_no"), cells], names=["file_no", "line_no", "cells"])
+
+
 def _plain_files(spark: SparkSession, group: list[tuple[int, str]], fields: list[HeaderField], delim: str, quotes: bool) -> tuple[list[CellFile], list[tuple[int, str]]]:
     """Files of one header in one scan, and those that need the quoted reader."""
     value = F.col("value")
@@ -289,15 +395,18 @@ def read_cells(spark: SparkSession, paths: list[str], delim: str = "\t", quotes:
     out = []
     for header, group in groups.items():
         fields = parse_header(list(header))
-        rest = [(n, p) for n, p in group if p.endswith(".zip")]
+        zips = [(n, p) for n, p in group if p.endswith(".zip")]
         text = [(n, p) for n, p in group if not p.endswith(".zip")]
-        if text:
-            plain, left = _plain_files(spark, text, fields, delim, quotes)
-            out += plain
-            rest += left
-        if rest:
-            options = {"paths": "\n".join(p for _, p in rest), "numbers": ",".join(str(n) for n, _ in rest), "delim": delim, "quotes": str(quotes).lower()}
-            out.append(settled(CellFile(",".join(p for _, p in rest), fields, spark.read.format("quoted_cells").options(**options).load())))
+        plain, left = _plain_files(spark, text, fields, delim, quotes) if text else ([], [])
+        out += plain
+        parts = []
+        if left:
+            quoted = quoted_records(spark, [p for _, p in left], [n for n, _ in left], delim)
+            parts.append(quoted.where("line_no > 0"))
+        if zips:
+            options = {"paths": "\n".join(p for _, p in zips), "numbers": ",".join(str(n) for n, _ in zips), "delim": delim, "quotes": str(quotes).lower()}
+            parts.append(spark.read.format("quoted_cells").options(**options).load())
+        out += [settled(CellFile(",".join(p for _, p in left + zips), fields, union_cells(parts)))] if parts else []
     return out
 
 
