@@ -192,8 +192,10 @@ def one_table(files: DataFrame, lines: DataFrame, loaded: dict[str, tuple[DataFr
     """
     spark = lines.sparkSession
     alias, types = alias_table(files, lines, series, fixed or {"name": "string"})
-    pairs = small_table(spark, [(f, c, a) for (f, c), a in alias.items()], "file_no int, field string, col string")
-    names = pairs.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("alias"))
+    of_file: dict[int, dict[str, str]] = {}
+    for (file_no, field), col in alias.items():
+        of_file.setdefault(file_no, {})[field] = col
+    names = small_table(spark, list(of_file.items()), "file_no int, alias map<string, string>")
     parsed = parse_records(lines, files.where(F.col("series").isin(*series)), failed=False).join(names, "file_no")
     cells = F.transform("cells", lambda x, i: F.struct(F.element_at("alias", F.get("fields", i)).alias("col"), F.get("kinds", i).endswith("_array").alias("listed"), F.nullif(x, F.lit("")).alias("text")))
     named = parsed.select(F.col("series").alias("origin"), F.col("line_id").alias("row_key"), cells.alias("cells"))

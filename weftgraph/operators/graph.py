@@ -59,12 +59,15 @@ def literal_id(text: Column, what: str, asked: Column | None = None) -> Column:
 def with_endpoints(cells: DataFrame, fields: list[HeaderField], index: DataFrame | None) -> DataFrame:
     """``cells`` with start and end ids: looked up where the header names an index (unless the type is ID), else literal; -1 is unresolved."""
     out = cells
+    keys: dict[tuple[str, str], DataFrame] = {}
     for f, name in zip(fields[:2], ("start", "end"), strict=True):
         text = F.nullif(F.get("cells", F.lit(f.position)), F.lit(""))
         if f.index and f.type != "ID":
             if index is None:
                 raise ValueError(f"index {f.index} isn't configured")
-            out = ix.lookup(out.withColumn(f"_{name}", text), f"_{name}", index, f.index, f.name, name).drop(f"_{name}")
+            if (f.index, f.name) not in keys:
+                keys[f.index, f.name] = ix.lookup_keys(index, f.index, f.name)
+            out = ix.lookup(out.withColumn(f"_{name}", text), f"_{name}", keys[f.index, f.name], f.index, f.name, name).drop(f"_{name}")
         else:
             # rows beyond a file's end have no cells: whenever Catalyst looks at them, they don't abort
             out = out.withColumn(f"_{name}", text).withColumn(name, literal_id(F.col(f"_{name}"), name, F.col("cells").isNotNull())).drop(f"_{name}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.schema import HeaderField
+from weftgraph.session import stored
 
 ENTRY = ("index_name", "kind", "entity_id", "property", "value_type", "value")
 UNRESOLVED = -1
@@ -99,14 +100,19 @@ def hit_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("index_name", "property", "value").agg(F.count("*").alias("hits"))
 
 
-def lookup(rows: DataFrame, column: str, index: DataFrame, name: str, prop: str, out: str) -> DataFrame:
+def lookup_keys(index: DataFrame, name: str, prop: str) -> DataFrame:
+    """(key, n, one): per value of a property how many entities have it, and the lowest of them. Stored, so that joins know its real size before they are planned."""
+    wanted = index.where((F.col("index_name") == name) & (F.col("property") == prop))
+    return stored(wanted.groupBy(F.col("value").alias("key")).agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("one")), "keys")
+
+
+def lookup(rows: DataFrame, column: str, keys: DataFrame, name: str, prop: str, out: str) -> DataFrame:
     """``rows`` with ``out``, the one id whose ``prop`` has the value in ``column``: -1 for none and for null, an error for more than one.
 
-    The index is reduced to one row per value first, so a value never multiplies rows; whether that side is broadcast Catalyst decides by its size.
+    ``keys`` (see ``lookup_keys``) has one row per value, so a value never multiplies rows; whether it is broadcast Catalyst decides by its size.
     """
     key, n, one = f"_{out}_key", f"_{out}_n", f"_{out}_id"
-    keys = index.where((F.col("index_name") == name) & (F.col("property") == prop)).groupBy(F.col("value").alias(key)).agg(F.count_distinct("entity_id").alias(n), F.min("entity_id").alias(one))
-    joined = rows.join(keys, F.col(column) == F.col(key), "left")
+    joined = rows.join(keys.toDF(key, n, one), F.col(column) == F.col(key), "left")
     several = F.raise_error(F.concat(F.lit(f"index {name} has several entries of {prop} "), F.col(column)))
     return joined.withColumn(out, F.when(F.col(n) > 1, several.cast("bigint")).otherwise(F.coalesce(one, F.lit(UNRESOLVED)))).drop(key, n, one)
 

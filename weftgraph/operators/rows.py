@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from weftgraph.functions.convert import convert, fails
 from weftgraph.schema import HeaderError, HeaderField, has_explicit_ids, label_field, property_fields
+from weftgraph.session import small_table
 
 # Column names that the legacy reader takes for labels.
 LEGACY_LABELS = ("type", "types", "label", "labels")
@@ -22,10 +23,13 @@ def cell_at(position: int, legacy: bool = False) -> Column:
 def stop_at_blank(cells: DataFrame, width: int) -> DataFrame:
     """Rows before the first one of their file that has no filled cell among the first ``width``; a blank row ends its file.
 
-    One row per file is aggregated and joined back; the rows themselves aren't shuffled where Catalyst broadcasts that.
+    Runs one aggregate, whose result has a row per file with a blank row; without any the rows stay as they are, else they meet it in a broadcast join and aren't shuffled.
     """
-    blank = F.array_join(F.slice("cells", 1, width), "") == ""
-    stops = cells.where(blank).groupBy("file_no").agg(F.min("line_no").alias("stop"))
+    blank = F.coalesce(*[cell_at(i) for i in range(max(width, 1))]).isNull()  # looks no further than the first filled cell
+    found = cells.where(blank).groupBy("file_no").agg(F.min("line_no").alias("stop")).collect()
+    if not found:
+        return cells
+    stops = small_table(cells.sparkSession, [(r.file_no, r.stop) for r in found], "file_no int, stop bigint")
     before = F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))
     # the guard keeps rows after the stop from being converted whatever order Catalyst picks
     return cells.join(stops, "file_no", "left").where(before).withColumn("cells", F.when(before, F.col("cells"))).drop("stop")
