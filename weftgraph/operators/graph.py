@@ -132,7 +132,7 @@ class Graph:
     def write(self, path: str, keep: bool = False) -> None:
         """Write the three tables. All are written beside the target first and moved there when complete, so a failed load leaves it as it was.
 
-        ``keep`` adds to the tables there are; else they are replaced.
+        ``keep`` adds to the tables there are, each in one commit of its own; else they are replaced.
         """
         spark = self.nodes.sparkSession
         fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
