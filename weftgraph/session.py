@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get(_SHARED_KEY) or spark.conf.get(_SHARED_KEY, None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"{_SHARED_KEY} must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="weftgraph-")
     spark.conf.set(_SHARED_KEY, path)
