@@ -30,7 +30,11 @@ def test_sketch_states_merge(spark):
     parts = pr.scan_states(table.where("row_id % 2 = 0"), "n", [pr.AGE], sketch=True).unionByName(pr.scan_states(table.where("row_id % 2 = 1"), "n", [pr.AGE], sketch=True))
     show = lambda s: sorted(map(tuple, pr.merge_states(s).selectExpr("load_no", "n_rows", "n_good", "total", "lowest", "highest", "form_whole", "form_real", "hll_sketch_estimate(sketch)").collect()))
     assert show(whole) == show(parts)
-    assert pr.profile(table, "n", ("load_no",)).count() == 2 * 5
+    done = {(r.field_name, r.load_no): r for r in pr.profile(table, "n", ("load_no",)).collect()}
+    assert len(done) == 2 * 5
+    age, word = done[("age", 2)], done[("f0_cell", 2)]
+    assert (age.form_shift, age.changed, done[("age", 1)].form_shift, done[("age", 1)].changed) == (1.0, True, None, False)
+    assert (word.form_shift, word.changed) == (0.0, False) and done[("name:string:users", 2)].changed  # all null
 
 
 def test_control_limits(spark):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,8 +158,12 @@ def control_limits(measured: DataFrame, sigmas: float = 3.0, least: int = 3) ->
     return stats.withColumn("outside", F.coalesce(outside, F.lit(False)))
 
 
-def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """States with sketches of every column but ``skip``, finished for reading: one row per column and load."""
+def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float = 0.06) -> DataFrame:
+    """States with sketches of every column but ``skip``, finished for reading: one row per column and load.
+
+    form_shift: half the sum of the differences of the form shares from those of the load before (load_no - 1; null without it). changed: whether it or
+    the null rate moved by more than ``limit``. Arrays, maps and structs have no profile; numbers and times are profiled as text.
+    """
     known = {c.field: c for c in (AGE, NAME, SINCE)}
     checks = []
     for column in table.schema.fields:
@@ -167,8 +171,15 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = ()) -> DataFrame
             continue
         check = known.get(column.name, Check(column.name))
         checks.append(Check(check.field, check.well_formed, check.in_range, check.number, check.limits))
-    states = merge_states(scan_states(table, tbl, checks, sketch=True))
-    return states.select(
+    forms = [f"form_{f}" for f in (*FORMS, "other")]
+    states = merge_states(scan_states(table, tbl, checks, sketch=True)).withColumn("null_rate", F.try_divide("n_blank", "n_rows"))
+    run = Window.partitionBy("tbl", "field_name").orderBy("load_no")  # one row per load
+    follows = F.lag("load_no").over(run) == F.col("load_no") - 1
+    share = {f: F.try_divide(F.col(f), F.col("n_rows") - F.col("n_blank")) for f in forms}
+    shares = states.select("*", *[v.alias(f"_{f}") for f, v in share.items()])
+    shift = sum((F.abs(F.col(f"_{f}") - F.lag(f"_{f}").over(run)) for f in forms), F.lit(0.0)) / 2
+    moved = F.greatest(shift, F.abs(F.col("null_rate") - F.lag("null_rate").over(run))) > limit
+    return shares.select(
         "tbl",
         "field_name",
         "load_no",
@@ -176,9 +187,12 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = ()) -> DataFrame
         "n_blank",
         "n_good",
         "n_in",
+        F.round("null_rate", 6).alias("null_rate"),
         F.round(F.try_divide("total", "n_in"), 6).alias("mean"),
         "lowest",
         "highest",
-        *[f"form_{f}" for f in (*FORMS, "other")],
+        *forms,
         F.hll_sketch_estimate("sketch").alias("about_distinct"),
+        F.when(follows, F.round(shift, 6)).alias("form_shift"),
+        F.coalesce(follows & moved, F.lit(False)).alias("changed"),
     )
