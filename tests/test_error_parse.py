@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from weftgraph.operators.error_parse import cheapest, fits, key_ok, parse_record, parse_records, scan, typed_cells
@@ -51,7 +51,9 @@ def brute(text, counts, most):
     return None
 
 
-@settings(max_examples=250, deadline=None)
+@example('"",""', {1})
+@example('"\\","a', {1})
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet='ab",\\\n', max_size=7), st.sets(st.integers(1, 4), min_size=1, max_size=2))
 def test_cost_is_the_lowest(text, counts):
     counts = frozenset(counts)

@@ -25,7 +25,7 @@ _INT = re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _BAD_KEY = re.compile(r"[\x00-\x1f\x7f�]")
 _BITS = {"int": 32, "long": 64}
-_START, _PLAIN, _QUOTED, _CLOSED = range(4)
+_START, _PLAIN, _QUOTED, _ESCAPE, _CLOSED = range(5)
 
 
 class Parse(NamedTuple):
@@ -134,7 +134,7 @@ def cheapest(record: str, delim: str, counts: frozenset[int]) -> tuple[int, list
             continue
         done.add(s)
         i, k, mode = s
-        if i == n and mode != _QUOTED and k + 1 in counts:
+        if i == n and mode not in (_QUOTED, _ESCAPE) and k + 1 in counts:
             edits, at = [], s
             while at != begin:
                 at, edit = came[at]
@@ -142,19 +142,19 @@ def cheapest(record: str, delim: str, counts: frozenset[int]) -> tuple[int, list
                     edits.append(edit)
             return cost[s], edits[::-1]
         here = f"@{offset[i]}"
+        if mode == _ESCAPE:  # the backslash takes whatever comes next once the edits are done
+            if i < n:
+                step(s, (i + 1, k, _QUOTED), None)
+                if toks[i] in ('"', delim):
+                    step(s, (i + 1, k, _ESCAPE), f"delete {'quote' if toks[i] == '"' else 'delimiter'}{here}")
+            step(s, (i, k, _QUOTED), f"insert quote{here}")
+            continue
         if mode == _QUOTED:
             if i < n:
                 tok = toks[i]
+                step(s, (i + 1, k, {'"': _CLOSED, "\\": _ESCAPE}.get(tok, _QUOTED)), None)
                 if tok == '"':
-                    if i + 1 < n and toks[i + 1] == '"':
-                        step(s, (i + 2, k, _QUOTED), None)
-                    step(s, (i + 1, k, _CLOSED), None)
                     step(s, (i + 1, k, _QUOTED), f"delete quote{here}")
-                elif tok == "\\":
-                    if i + 1 < n:
-                        step(s, (i + 2, k, _QUOTED), None)
-                else:
-                    step(s, (i + 1, k, _QUOTED), None)
             step(s, (i, k, _CLOSED), f"insert quote{here}")
             continue
         if i < n:
@@ -163,12 +163,12 @@ def cheapest(record: str, delim: str, counts: frozenset[int]) -> tuple[int, list
                 step(s, (i + 1, k + 1, _START), None)
                 step(s, (i + 1, k, mode), f"delete delimiter{here}")
             elif tok == '"':
-                if mode == _START:
+                if mode != _PLAIN:  # at the beginning it opens, after a closing quote the two are one quote
                     step(s, (i + 1, k, _QUOTED), None)
                 step(s, (i + 1, k, mode), f"delete quote{here}")
             elif mode != _CLOSED:
                 step(s, (i + 1, k, _PLAIN), None)
-        if mode == _START:
+        if mode != _PLAIN:
             step(s, (i, k, _QUOTED), f"insert quote{here}")
         step(s, (i, k + 1, _START), f"insert delimiter{here}")
     raise AssertionError("a parse always exists: every quote and delimiter can be deleted, every delimiter inserted")
