@@ -12,14 +12,14 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.cells import as_int, is_blank, is_key
+from weftgraph.functions.cells import FLOAT_FORM, INT_FORM, as_int, is_blank, is_key
 
 _INT = re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -225,17 +225,46 @@ def parse_records(lines: DataFrame, files: DataFrame, failed: bool = True, loade
     return joined.mapInArrow(lambda batches: _parse_batches(batches, failed, loaded), PARSED)
 
 
-def failed_cells(table: DataFrame, row_key: str, tbl: str, bad: Column) -> DataFrame:
-    """Records of an already loaded table one of whose cells doesn't convert: (tbl, row_key)."""
-    return table.where(bad).select(F.lit(tbl).alias("tbl"), F.col(row_key).cast("bigint").alias("row_key"))
+def failed_cells(table: DataFrame, row_key: str, tbl: str, checks: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Records of an already loaded table one of whose cells doesn't convert: (tbl, row_key, cells, edits), the failing cells and the reason of each.
+
+    ``checks`` maps a cell to the condition under which it fails, which is never null, and to what it isn't.
+    """
+    faults = F.filter(
+        F.array(*[F.struct(F.col(c).alias("cell"), F.when(bad, F.lit(f"{c} is no {what}")).alias("reason")) for c, (bad, what) in checks.items()]),
+        lambda x: x["reason"].isNotNull(),
+    )
+    key = F.col(row_key).cast("bigint").alias("row_key")
+    return table.where(_fails(checks)).select(F.lit(tbl).alias("tbl"), key, F.transform(faults, lambda x: x["cell"]).alias("cells"), F.transform(faults, lambda x: x["reason"]).alias("edits"))
+
+
+def _fails(checks: dict[str, tuple[Column, str]]) -> Column:
+    return reduce(lambda x, y: x | y, [bad for bad, _ in checks.values()])
 
 
-def bad_age(cell: Column) -> Column:
-    return ~is_blank(cell) & as_int(cell).isNull()
+def node_checks() -> dict[str, tuple[Column, str]]:
+    """What ``failed_cells`` asks of the table nodes."""
+    return {"age": (~is_blank(F.col("age")) & as_int(F.col("age")).isNull(), "int")}
 
 
-def bad_endpoints(start: Column, end: Column) -> Column:
-    return ~is_key(start) | ~is_key(end)
+def rel_checks() -> dict[str, tuple[Column, str]]:
+    """What ``failed_cells`` asks of the table rels."""
+    return {c: (~is_key(F.col(c)), "key") for c in ("c0", "c1")}
+
+
+def loaded_cells(table: DataFrame, row_key: str, tbl: str, checks: dict[str, tuple[Column, str]], kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """The other records of an already loaded table: (tbl, row_key, cells), cells as those of ``typed_cells``.
+
+    ``kinds`` maps a column to the field and the type of its header cell. A cell that no check is made of and that isn't of its type keeps its
+    text and has no number.
+    """
+    cells = []
+    for column, (name, kind) in kinds.items():
+        cell = F.col(f"`{column}`")
+        whole = F.when(cell.rlike(INT_FORM), cell.try_cast("bigint")) if kind in ("int", "long") else F.lit(None).cast("bigint")
+        real = F.when(cell.rlike(FLOAT_FORM), cell.try_cast("double")) if kind in ("double", "float") else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.nullif(cell, F.lit("")).alias("text"), whole.alias("whole"), real.alias("real")))
+    return table.where(~_fails(checks)).withColumns({"tbl": F.lit(tbl), "row_key": F.col(row_key).cast("bigint"), "cells": F.array(*cells)})
 
 
 def typed_cells(parsed: DataFrame) -> DataFrame:

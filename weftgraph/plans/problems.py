@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +18,35 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     parsed = error_parse.parse_records(read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), loaded=False)
     nodes, rels = read_table(spark, d, "nodes"), read_table(spark, d, "rels")
     lines = parsed.select(F.lit("raw_lines").alias("tbl"), F.col("line_id").alias("row_key"))
-    ages = error_parse.failed_cells(nodes, "row_id", "nodes", error_parse.bad_age(F.col("age")))
-    ends = error_parse.failed_cells(rels, "row_id", "rels", error_parse.bad_endpoints(F.col("c0"), F.col("c1")))
-    return lines.unionByName(ages).unionByName(ends)
+    cells = [c.select("tbl", "row_key") for c in _failed_cells(spark, d)]
+    return lines.unionByName(cells[0]).unionByName(cells[1])
+
+
+def _failed_cells(spark: SparkSession, d: str) -> list[DataFrame]:
+    checks = {"nodes": error_parse.node_checks(), "rels": error_parse.rel_checks()}
+    return [error_parse.failed_cells(read_table(spark, d, t), "row_id", t, c) for t, c in checks.items()]
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of p1_found with its reason: the edits of a line, or what its cells or those of a row of nodes or rels aren't."""
     parsed = error_parse.parse_records(read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), loaded=False)
-    return parsed.select("line_id", "file_no", "line_no", "rule", "cost", F.array_join("edits", "; ").alias("edits"))
+    lines = parsed.select(F.lit("raw_lines").alias("tbl"), F.col("line_id").alias("row_key"), "file_no", "line_no", "rule", "cost", "cells", "edits")
+    none = {"file_no": F.lit(None).cast("int"), "line_no": F.lit(None).cast("bigint"), "rule": F.lit("value"), "cost": F.lit(0)}
+    every = reduce(DataFrame.unionByName, [lines, *[c.withColumns(none) for c in _failed_cells(spark, d)]])
+    return every.withColumn("edits", F.array_join("edits", "; "))
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """Every other record of the same tables as typed cells, with the load and the times that only rows of nodes and rels have."""
     parsed = error_parse.parse_records(read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), failed=False)
-    return error_parse.typed_cells(parsed)
+    lines = error_parse.typed_cells(parsed).withColumn("tbl", F.lit("raw_lines")).withColumnRenamed("line_id", "row_key")
+    nodes = error_parse.loaded_cells(read_table(spark, d, "nodes"), "row_id", "nodes", error_parse.node_checks(), {NAME: ("name", "string"), "age": ("age", "int"), "works_on": ("works_on", "string")})
+    ends = {"c0": ("name", "string"), "c1": ("name", "string"), "c2": ("type", "string"), "c3": ("since", "string"), "c4": ("counter", "long")}
+    rels = error_parse.loaded_cells(read_table(spark, d, "rels"), "row_id", "rels", error_parse.rel_checks(), ends)
+    columns = ["tbl", "row_key", "file_no", "line_no", "series", "load_no", "loaded_at", "deleted_at", "cells"]
+    nodes = nodes.select("tbl", "row_key", F.lit("nodes").alias("series"), "load_no", "loaded_at", "deleted_at", "cells")
+    rels = rels.select("tbl", "row_key", F.lit("rels").alias("series"), "load_no", "loaded_at", "cells")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [lines, nodes, rels]).select(*columns)
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
