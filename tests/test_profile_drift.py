@@ -111,3 +111,23 @@ def test_no_values_no_rename_and_empty_tables(spark):
     assert schema_changes(files.where("false"), lines).count() == 0
     alias, types = alias_table(files, lines, ("nodes",), {})
     assert alias[(99, "c")] == "b" and types == {"a": "string", "b": "string"}
+
+
+def test_every_measure_of_every_column_moves(spark):
+    """Values that shift inside one form class, and moves that only mean, out_rate or distinct rate show."""
+    rows = []
+    for load in (1, 2, 3):
+        for i in range(400):
+            second = load == 2
+            rows.append((load, str(30 + i % 20 + 10 * second) if load < 3 or i % 4 else "500", "KNOWS" if not second else "OWNS", str((1 + i % 40) * (10 if second else 1)), datetime(2025, 1 + load, 1 + i % 20)))
+    table = spark.createDataFrame(rows, "load_no int, age string, c2 string, c4 string, loaded_at timestamp_ntz")
+    done = {(r.field_name, r.load_no): r for r in pr.profile(table, "n", ("load_no",)).collect()}
+    assert not any(done[f, 1].changed for f in ("age", "c2", "c4", "loaded_at"))
+    assert "mean" in done["age", 2].moved and {"mean", "out_rate"} <= set(done["age", 3].moved)
+    assert done["c2", 2].moved == ["mean", "value_shift"] and done["c2", 2].form_shift == 0
+    assert {"mean", "value_shift"} <= set(done["c4", 2].moved) and (done["c4", 2].mean, done["c4", 2].form_whole) == (205, 400)
+    assert "value_shift" in done["loaded_at", 2].moved and sum(b.n for b in done["c4", 2].histogram) == 400
+    same = {r.field_name for r in pr.profile(table.where("load_no = 1").unionByName(table.where("load_no = 1").selectExpr("2 as load_no", "age", "c2", "c4", "loaded_at")), "n", ("load_no",)).where("changed").collect()}
+    assert same == set()
+    halves = pr.merge_bins(pr.scan_bins(table.where("c4 < '3'"), "n", [pr.COUNTER]).unionByName(pr.scan_bins(table.where("c4 >= '3'"), "n", [pr.COUNTER])))
+    assert sorted(halves.collect()) == sorted(pr.scan_bins(table, "n", [pr.COUNTER]).collect())

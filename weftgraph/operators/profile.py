@@ -6,20 +6,25 @@ scanned at other times, merge by the same aggregates. Metrics are computed of st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.functions.cells import DAY_FORM, NAME_FORM, as_day, as_int, is_blank
+from weftgraph.functions.cells import DAY_FORM, INT_FORM, NAME_FORM, as_day, as_int, is_blank, is_key
+from weftgraph.session import stored
 
 
 @dataclass(frozen=True)
 class Check:
-    """What is declared of a column: its form, its range, the number its mean is of, and the measures that are watched with their limits."""
+    """What is declared of a column: its form, its range, the number its mean is of, and the measures that are watched with their limits.
+
+    ``kind`` (whole, real, day, time or text) and ``value``, the typed value of a well-formed cell, say how its values are binned.
+    """
 
     field: str
     well_formed: Callable[[Column], Column] = lambda c: F.lit(True)
@@ -27,6 +32,8 @@ class Check:
     number: Callable[[Column], Column] = lambda c: F.char_length(c)
     limits: dict[str, float] = field(default_factory=dict)
     exact_distinct: bool = False
+    kind: str = "text"
+    value: Callable[[Column], Column] = lambda c: c
 
 
 AGE = Check(
@@ -35,6 +42,8 @@ AGE = Check(
     lambda c: as_int(c).between(0, 120),
     as_int,
     {"null_rate": 0.06, "bad_rate": 0.06, "out_rate": 0.04, "mean": 4.0},
+    kind="whole",
+    value=as_int,
 )
 NAME = Check(
     "name:string:users",
@@ -48,11 +57,56 @@ SINCE = Check(
     lambda c: as_day(c).between("1950-01-01", "2025-12-31"),
     lambda c: F.year(as_day(c)),
     {"null_rate": 0.06, "bad_rate": 0.06, "out_rate": 0.04, "mean": 3.0},
+    kind="day",
+    value=as_day,
 )
+ENDS = [Check(c, is_key) for c in ("c0", "c1")]
+COUNTER = Check("c4", lambda c: as_long(c).isNotNull(), number=lambda c: as_long(c), kind="whole", value=lambda c: as_long(c))
+
+
+def as_long(cell: Column) -> Column:
+    return F.when(cell.rlike(INT_FORM), cell.try_cast("bigint"))
+
+
+def check_of(column: T.StructField) -> Check:
+    """The check of a column that nothing is declared of: of its type, all cells well-formed and in range, with the mean of its numbers, days since 1970 or text lengths."""
+    own, kind = F.col(f"`{column.name}`"), column.dataType
+    if isinstance(kind, T.IntegralType):
+        return Check(column.name, number=lambda c: own, kind="whole", value=lambda c: own)
+    if isinstance(kind, T.NumericType):
+        return Check(column.name, number=lambda c: own, kind="real", value=lambda c: own.cast("double"))
+    if isinstance(kind, T.DateType):
+        return Check(column.name, number=lambda c: F.unix_date(own), kind="day", value=lambda c: own)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return Check(column.name, number=lambda c: F.unix_date(own.cast("date")), kind="time", value=lambda c: own)
+    return Check(column.name)
+
+
 
 # The classes that the form of a cell is counted in, and their patterns.
 FORMS = {"whole": r"\A[+-]?[0-9]+\z", "real": r"\A[+-]?[0-9]*[.,][0-9]+\z", "day": DAY_FORM, "name": NAME_FORM, "word": r"\A[\p{L}_]+\z", "spaces": r"\A\s+\z"}
-_SUMS = ("n_rows", "n_blank", "n_good", "n_in", "total")
+_SUMS = ("n_rows", "n_blank", "n_good", "n_in", "total", "squares")
+# Bins of texts (by hash), bins of numbers in a doubling, and the precision of sketches (standard error below 1 percent).
+TEXT_BINS, BINS_A_DOUBLING, SKETCH_LOG2 = 64, 4, 14
+MEAN_SPREADS = 0.25  # a mean without a limit of its own moves by this part of the deviation
+
+
+def _bin_of(check: Check, cell: Column) -> Column:
+    """The bin of a cell: fixed before any row is seen, so that counts of bins merge. Null where it is blank or ill-formed.
+
+    Whole and real numbers: quarters of a doubling of 1 + its size, with its sign; days: years; times: months (12 * year + month); texts: one of TEXT_BINS by hash.
+    """
+    value = check.value(cell)
+    if check.kind in ("whole", "real"):
+        size = F.least(BINS_A_DOUBLING * F.log2(1 + F.abs(value.cast("double"))), F.lit(1e5))  # also of infinities and NaN
+        at = F.ceil(F.when(value < 0, -size).otherwise(size))
+    elif check.kind == "day":
+        at = F.year(value)
+    elif check.kind == "time":
+        at = 12 * F.year(value) + F.month(value)
+    else:
+        at = F.pmod(F.xxhash64(value), F.lit(TEXT_BINS))
+    return F.when(~is_blank(cell) & F.coalesce(check.well_formed(cell), F.lit(False)), at.cast("int"))
 
 
 def _facts_of(check: Check, sketch: bool) -> dict[str, Column]:
@@ -61,7 +115,7 @@ def _facts_of(check: Check, sketch: bool) -> dict[str, Column]:
     filled = ~is_blank(cell)
     good = filled & F.coalesce(check.well_formed(cell), F.lit(False))
     within = good & F.coalesce(check.in_range(cell), F.lit(False))
-    number = F.when(within, check.number(cell).cast("bigint"))
+    number = F.when(within, check.number(cell).cast("double" if sketch else "bigint"))
     facts = {"cell": F.when(filled, cell), "good": good, "within": within, "number": number}
     if sketch:
         facts["form"] = reduce(lambda w, f: w.when(cell.rlike(f[1][1]), f[0]), enumerate(FORMS.items()), F.when(~filled, None)).otherwise(len(FORMS))
@@ -82,7 +136,8 @@ def _states_of(check: Check, sketch: bool, at: str) -> dict[str, Column]:
     if sketch:
         aggs |= {"lowest": F.min(cell), "highest": F.max(cell)}
         aggs |= {f"form_{f}": F.count_if(form == i) for i, f in enumerate((*FORMS, "other"))}
-        aggs["sketch"] = F.hll_sketch_agg(cell)
+        aggs["squares"] = F.sum(F.col(f"{at}number") * F.col(f"{at}number"))
+        aggs["sketch"] = F.hll_sketch_agg(cell, SKETCH_LOG2)
     return aggs
 
 
@@ -106,6 +161,36 @@ def scan_states(table: DataFrame, tbl: str, checks: list[Check], by: str = "load
     return one.select(F.col("load").alias("load_no"), F.explode(F.array(*packed)).alias("s")).select("load_no", "s.*")
 
 
+def scan_bins(table: DataFrame, tbl: str, checks: list[Check], by: str = "load_no") -> DataFrame:
+    """(tbl, field_name, load_no, bin, n): the histogram of the well-formed values of every check and load, in one scan."""
+    bins = F.array(*[_bin_of(c, F.col(f"`{c.field}`").cast("string")) for c in checks])
+    counted = table.select(F.col(by).alias("load_no"), F.posexplode(bins).alias("at", "bin")).where("bin is not null").groupBy("load_no", "at", "bin").agg(F.count("*").alias("n"))
+    names = F.array(*[F.lit(c.field) for c in checks])
+    return counted.select(F.lit(tbl).alias("tbl"), F.get(names, F.col("at")).alias("field_name"), "load_no", "bin", "n")
+
+
+def merge_bins(bins: DataFrame) -> DataFrame:
+    """Histograms of parts of loads into one per (tbl, field_name, load_no)."""
+    return bins.groupBy("tbl", "field_name", "load_no", "bin").agg(F.sum("n").alias("n"))
+
+
+def value_shifts(bins: DataFrame) -> DataFrame:
+    """(tbl, field_name, load_no, value_shift, chance) of every load with values that load_no - 1 has values too.
+
+    value_shift: half the sum of the differences of the bins' shares; chance: what it comes to on average between two draws of one distribution.
+    """
+    keys = ["tbl", "field_name", "load_no"]
+    known = bins.where("load_no is not null")
+    now = known.select(*keys, "bin", F.col("n").alias("now"), F.lit(0).cast("bigint").alias("before"))
+    before = known.select("tbl", "field_name", (F.col("load_no") + 1).alias("load_no"), "bin", F.lit(0).cast("bigint").alias("now"), F.col("n").alias("before"))
+    both = now.unionByName(before).groupBy(*keys, "bin").agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
+    load = Window.partitionBy(*keys)
+    shares = both.withColumns({"n1": F.sum("now").over(load), "n0": F.sum("before").over(load)}).where("n1 > 0 and n0 > 0")
+    pooled = (F.col("now") + F.col("before")) / (F.col("n1") + F.col("n0"))
+    noise = F.sqrt(2 / math.pi * pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n0")))
+    return shares.groupBy(*keys).agg((F.sum(F.abs(F.col("now") / F.col("n1") - F.col("before") / F.col("n0"))) / 2).alias("value_shift"), (F.sum(noise) / 2).alias("chance"))
+
+
 def merge_states(states: DataFrame) -> DataFrame:
     """States of parts of loads into one per (tbl, field_name, load_no). Exact distinct counts don't merge; sketches do."""
     aggs = [F.sum(c).alias(c) for c in states.columns if c in _SUMS or c.startswith("form_")]
@@ -158,28 +243,80 @@ def control_limits(measured: DataFrame, sigmas: float = 3.0, least: int = 3) ->
     return stats.withColumn("outside", F.coalesce(outside, F.lit(False)))
 
 
-def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float = 0.06) -> DataFrame:
-    """States with sketches of every column but ``skip``, finished for reading: one row per column and load.
+FORM_COLUMNS = [f"form_{f}" for f in (*FORMS, "other")]
+DECLARED = {c.field: c for c in (AGE, NAME, SINCE, *ENDS, COUNTER)}
+MEASURES = ("null_rate", "bad_rate", "out_rate", "mean", "distinct_rate", "form_shift", "value_shift")
+
+
+def column_measures(table: DataFrame, tbl: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """The merged states and histograms of every column but ``skip``, one row per column and load, with their measures.
 
-    form_shift: half the sum of the differences of the form shares from those of the load before (load_no - 1; null without it). changed: whether it or
-    the null rate moved by more than ``limit``. Arrays, maps and structs have no profile; numbers and times are profiled as text.
+    Arrays, maps and structs have none. form_shift and value_shift are against load_no - 1, null without it.
     """
-    known = {c.field: c for c in (AGE, NAME, SINCE)}
-    checks = []
-    for column in table.schema.fields:
-        if column.name in skip or isinstance(column.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            continue
-        check = known.get(column.name, Check(column.name))
-        checks.append(Check(check.field, check.well_formed, check.in_range, check.number, check.limits))
-    forms = [f"form_{f}" for f in (*FORMS, "other")]
-    states = merge_states(scan_states(table, tbl, checks, sketch=True)).withColumn("null_rate", F.try_divide("n_blank", "n_rows"))
+    columns = [c for c in table.schema.fields if c.name not in skip and not isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    checks = [replace(DECLARED.get(c.name, check_of(c)), exact_distinct=False) for c in columns]
+    states = merge_states(stored(scan_states(table, tbl, checks, sketch=True), "states"))
+    bins = stored(merge_bins(scan_bins(table, tbl, checks)), "bins")  # one row per column, load and bin
+    keys = ["tbl", "field_name", "load_no"]
+    filled = F.col("n_rows") - F.col("n_blank")
+    about = F.hll_sketch_estimate("sketch")
+    measured = states.withColumns(
+        {
+            "null_rate": F.try_divide("n_blank", "n_rows"),
+            "bad_rate": F.try_divide(filled - F.col("n_good"), filled),
+            "out_rate": F.try_divide(F.col("n_good") - F.col("n_in"), "n_good"),
+            "mean": F.try_divide("total", "n_in"),
+            "about_distinct": about,
+            "distinct_rate": F.least(F.try_divide(about, filled), F.lit(1.0)),
+        }
+    ).withColumn("deviation", F.sqrt(F.greatest(F.try_divide("squares", "n_in") - F.col("mean") * F.col("mean"), F.lit(0.0))))
     run = Window.partitionBy("tbl", "field_name").orderBy("load_no")  # one row per load
+    shares = measured.select("*", *[F.try_divide(F.col(f), filled).alias(f"_{f}") for f in FORM_COLUMNS])
+    shift = sum((F.abs(F.col(f"_{f}") - F.lag(f"_{f}").over(run)) for f in FORM_COLUMNS), F.lit(0.0)) / 2
+    formed = shares.withColumn("form_shift", F.when(F.lag("load_no").over(run) == F.col("load_no") - 1, shift)).drop(*[f"_{f}" for f in FORM_COLUMNS])
+    drawn = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("histogram"))
+    for more in (drawn, value_shifts(bins)):
+        more = more.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in more.columns if c not in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        formed = formed.join(more, same, "left").drop(*[f"_{k}" for k in keys])
+    return formed
+
+
+def long_measures(measured: DataFrame) -> DataFrame:
+    """``column_measures`` as (tbl, field_name, load_no, measure_name, value), as those of ``metrics``."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure_name"), F.col(m).cast("double").alias("value")) for m in MEASURES])
+    return measured.select("tbl", "field_name", "load_no", F.explode(pairs).alias("m")).select("tbl", "field_name", "load_no", "m.*").where("value is not null")
+
+
+def _moves(run: Window, limit: float) -> dict[str, Column]:
+    """For each of MEASURES whether it moved against the row before; null where it can't be told."""
+
+    def declared(measure: str, otherwise: Column) -> Column:
+        rows = [(f, c.limits[measure]) for f, c in DECLARED.items() if measure in c.limits]
+        return reduce(lambda w, r: w.when(F.col("field_name") == r[0], F.lit(r[1])), rows, F.when(F.lit(False), F.lit(0.0))).otherwise(otherwise)
+
+    by = {m: F.col(m) - F.lag(m).over(run) for m in ("null_rate", "bad_rate", "out_rate", "mean", "distinct_rate")}
+    moves = {m: F.abs(x) > declared(m, F.lit(limit)) for m, x in by.items()}
+    spread = F.greatest("deviation", F.lag("deviation").over(run))
+    error = F.sqrt(1 / F.col("n_in") + 1 / F.lag("n_in").over(run))  # n_in isn't 0 where there is a mean
+    moves["mean"] = F.abs(by["mean"]) > declared("mean", spread * (MEAN_SPREADS + 4 * error) + 1e-9)
+    # more rows alone give more values at a lower rate: without a limit of its own the rate counts as moved if it goes the way of the values
+    both = F.signum(by["distinct_rate"]) == F.signum((F.col("about_distinct") - F.lag("about_distinct").over(run)).cast("double"))
+    moves["distinct_rate"] = moves["distinct_rate"] & (both | F.col("field_name").isin(*[f for f, c in DECLARED.items() if "distinct_rate" in c.limits]))
+    return moves | {"form_shift": F.col("form_shift") > limit, "value_shift": F.col("value_shift") - F.col("chance") > limit}
+
+
+def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float = 0.06) -> DataFrame:
+    """``column_measures`` finished for reading: one row per column and load, with the measures that moved since load_no - 1.
+
+    form_shift and value_shift: half the sum of the differences of the shares of forms and of bins from those of the load before (null without it). moved: rates beyond
+    the limits of their check, or ``limit``; means beyond theirs, or a quarter of the deviation and four standard errors; shifts beyond ``limit``, that of values besides what chance
+    makes. changed: whether anything moved. Numbers and times have their forms and textual extremes as text.
+    """
+    run = Window.partitionBy("tbl", "field_name").orderBy("load_no")
     follows = F.lag("load_no").over(run) == F.col("load_no") - 1
-    share = {f: F.try_divide(F.col(f), F.col("n_rows") - F.col("n_blank")) for f in forms}
-    shares = states.select("*", *[v.alias(f"_{f}") for f, v in share.items()])
-    shift = sum((F.abs(F.col(f"_{f}") - F.lag(f"_{f}").over(run)) for f in forms), F.lit(0.0)) / 2
-    moved = F.greatest(shift, F.abs(F.col("null_rate") - F.lag("null_rate").over(run))) > limit
-    return shares.select(
+    names = F.array(*[F.when(follows & m, F.lit(n)) for n, m in _moves(run, limit).items()])
+    return column_measures(table, tbl, skip).withColumn("moved", F.array_compact(names)).select(
         "tbl",
         "field_name",
         "load_no",
@@ -187,12 +324,13 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float
         "n_blank",
         "n_good",
         "n_in",
-        F.round("null_rate", 6).alias("null_rate"),
-        F.round(F.try_divide("total", "n_in"), 6).alias("mean"),
+        *[F.round(c, 6).alias(c) for c in ("null_rate", "bad_rate", "out_rate", "mean", "deviation")],
         "lowest",
         "highest",
-        *forms,
-        F.hll_sketch_estimate("sketch").alias("about_distinct"),
-        F.when(follows, F.round(shift, 6)).alias("form_shift"),
-        F.coalesce(follows & moved, F.lit(False)).alias("changed"),
+        *FORM_COLUMNS,
+        "histogram",
+        "about_distinct",
+        *[F.round(c, 6).alias(c) for c in ("distinct_rate", "form_shift", "value_shift")],
+        "moved",
+        (F.size("moved") > 0).alias("changed"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import drift, error_parse, profile, references, skew
-from weftgraph.session import read_table
+from weftgraph.session import read_table, stored
 
 NAME = "name:string:users"
 
@@ -92,6 +92,14 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return nodes.unionByName(rels)
 
 
+def p4_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The control limits of p4_limits, whose SQL has three columns, for the measures of every column of p4_profile."""
+    every = [profile.long_measures(profile.column_measures(read_table(spark, d, t), t, ("load_no",))) for t in ("nodes", "rels")]
+    rounded = [F.round(c, 6).alias(c) for c in ("value", "centre", "deviation")]
+    measured = stored(every[0].unionByName(every[1]), "measured")
+    return profile.control_limits(measured).select("tbl", "field_name", "measure_name", "load_no", "n_before", "outside", *rounded)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(read_table(spark, d, "raw_files"), read_table(spark, d, "raw_lines"))
 
@@ -109,7 +117,7 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p5_found, p5_lifespans, p5_nodes)
+    f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_columns, p5_found, p5_lifespans, p5_nodes)
 }
 
 _IS_KEY = "({c} is not null and not regexp_full_match({c}, ' *') and not regexp_matches({c}, '[\\x00-\\x1f\\x7f\\x{{fffd}}]') and (length({c}) - length(replace({c}, '\"', ''))) % 2 = 0)"
