@@ -131,3 +131,17 @@ def test_every_measure_of_every_column_moves(spark):
     assert same == set()
     halves = pr.merge_bins(pr.scan_bins(table.where("c4 < '3'"), "n", [pr.COUNTER]).unionByName(pr.scan_bins(table.where("c4 >= '3'"), "n", [pr.COUNTER])))
     assert sorted(halves.collect()) == sorted(pr.scan_bins(table, "n", [pr.COUNTER]).collect())
+
+
+def test_ranges_are_of_typed_values(spark):
+    at = [datetime(2025, 1, 9), datetime(2025, 1, 10)]
+    rows = [(9999, 1, "9", "9x", "2020-02-30", at[0]), (40000, 1, "100", "500", "2019-12-31", at[1]), (40001, 1, " 42", "9", "1999-1-1", None), (40002, 1, "2147550000", "", "03.04.2001", None), (5, 1, "６９", "-7", "2001-04-03", None)]
+    table = spark.createDataFrame(rows, "row_id bigint, load_no int, age string, c4 string, c3 string, loaded_at timestamp_ntz")
+    done = {r.field_name: r for r in pr.profile(table, "n", ("load_no",)).collect()}
+    whole = {f: (done[f].low_whole, done[f].high_whole) for f in done}
+    assert whole == {"row_id": (5, 40002), "age": (9, 100), "c4": (-7, 500), "c3": (None, None), "loaded_at": (None, None)}
+    assert [str(x) for x in (done["c3"].low_day, done["c3"].high_day)] == ["2001-04-03", "2019-12-31"]
+    assert (done["loaded_at"].low_time, done["loaded_at"].high_time) == tuple(at) and (done["c4"].lowest, done["c4"].highest) == ("-7", "9x")
+    parts = [pr.scan_states(table.where(f"row_id {op} 9999"), "n", [pr.AGE, pr.COUNTER], sketch=True) for op in ("<=", ">")]
+    merged = {r.field_name: (r.low_whole, r.high_whole) for r in pr.merge_states(parts[0].unionByName(parts[1])).collect()}
+    assert merged == {"age": (9, 100), "c4": (-7, 500)}

@@ -86,6 +86,8 @@ def check_of(column: T.StructField) -> Check:
 # The classes that the form of a cell is counted in, and their patterns.
 FORMS = {"whole": r"\A[+-]?[0-9]+\z", "real": r"\A[+-]?[0-9]*[.,][0-9]+\z", "day": DAY_FORM, "name": NAME_FORM, "word": r"\A[\p{L}_]+\z", "spaces": r"\A\s+\z"}
 _SUMS = ("n_rows", "n_blank", "n_good", "n_in", "total", "squares")
+# The types of the extremes of well-formed values, by kind; texts have those of all filled cells.
+EXTREMES = {"whole": "bigint", "real": "double", "day": "date", "time": "timestamp_ntz"}
 # Bins of texts (by hash), bins of numbers in a doubling, and the precision of sketches (standard error below 1 percent).
 TEXT_BINS, BINS_A_DOUBLING, SKETCH_LOG2 = 64, 4, 14
 MEAN_SPREADS = 0.25  # a mean without a limit of its own moves by this part of the deviation
@@ -119,6 +121,8 @@ def _facts_of(check: Check, sketch: bool) -> dict[str, Column]:
     facts = {"cell": F.when(filled, cell), "good": good, "within": within, "number": number}
     if sketch:
         facts["form"] = reduce(lambda w, f: w.when(cell.rlike(f[1][1]), f[0]), enumerate(FORMS.items()), F.when(~filled, None)).otherwise(len(FORMS))
+        if check.kind in EXTREMES:
+            facts["value"] = F.when(good, check.value(cell).cast(EXTREMES[check.kind]))
     return facts
 
 
@@ -135,6 +139,8 @@ def _states_of(check: Check, sketch: bool, at: str) -> dict[str, Column]:
         aggs["n_distinct"] = F.count_distinct(cell)
     if sketch:
         aggs |= {"lowest": F.min(cell), "highest": F.max(cell)}
+        if check.kind in EXTREMES:
+            aggs |= {f"low_{check.kind}": F.min(f"{at}value"), f"high_{check.kind}": F.max(f"{at}value")}
         aggs |= {f"form_{f}": F.count_if(form == i) for i, f in enumerate((*FORMS, "other"))}
         aggs["squares"] = F.sum(F.col(f"{at}number") * F.col(f"{at}number"))
         aggs["sketch"] = F.hll_sketch_agg(cell, SKETCH_LOG2)
@@ -156,6 +162,9 @@ def scan_states(table: DataFrame, tbl: str, checks: list[Check], by: str = "load
         cells = {n: F.col(f"s{i}_{n}") for n in aggs}
         if exact:
             cells.setdefault("n_distinct", F.lit(None).cast("bigint"))
+        for kind, ddl in EXTREMES.items() if sketch else ():
+            cells.setdefault(f"low_{kind}", F.lit(None).cast(ddl))
+            cells.setdefault(f"high_{kind}", F.lit(None).cast(ddl))
         packed.append(F.struct(F.lit(tbl).alias("tbl"), F.lit(check.field).alias("field_name"), *[cells[n].alias(n) for n in sorted(cells)]))
     one = table.select(F.col(by).alias("load"), *facts).groupBy("load").agg(*every)
     return one.select(F.col("load").alias("load_no"), F.explode(F.array(*packed)).alias("s")).select("load_no", "s.*")
@@ -195,6 +204,7 @@ def merge_states(states: DataFrame) -> DataFrame:
     """States of parts of loads into one per (tbl, field_name, load_no). Exact distinct counts don't merge; sketches do."""
     aggs = [F.sum(c).alias(c) for c in states.columns if c in _SUMS or c.startswith("form_")]
     if "sketch" in states.columns:
+        aggs += [f(f"{side}_{k}").alias(f"{side}_{k}") for k in EXTREMES for side, f in (("low", F.min), ("high", F.max))]
         aggs += [F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), F.hll_union_agg("sketch").alias("sketch")]
     return states.groupBy("tbl", "field_name", "load_no").agg(*aggs)
 
@@ -311,7 +321,8 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float
 
     form_shift and value_shift: half the sum of the differences of the shares of forms and of bins from those of the load before (null without it). moved: rates beyond
     the limits of their check, or ``limit``; means beyond theirs, or a quarter of the deviation and four standard errors; shifts beyond ``limit``, that of values besides what chance
-    makes. changed: whether anything moved. Numbers and times have their forms and textual extremes as text.
+    makes. changed: whether anything moved. lowest and highest are texts, of ill-formed cells too; low_whole to high_time are the extremes of the
+    well-formed values in the type that the column has or is declared to have, null in the columns of the other types.
     """
     run = Window.partitionBy("tbl", "field_name").orderBy("load_no")
     follows = F.lag("load_no").over(run) == F.col("load_no") - 1
@@ -327,6 +338,7 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float
         *[F.round(c, 6).alias(c) for c in ("null_rate", "bad_rate", "out_rate", "mean", "deviation")],
         "lowest",
         "highest",
+        *[f"{side}_{k}" for k in EXTREMES for side in ("low", "high")],
         *FORM_COLUMNS,
         "histogram",
         "about_distinct",
