@@ -145,3 +145,14 @@ def test_ranges_are_of_typed_values(spark):
     parts = [pr.scan_states(table.where(f"row_id {op} 9999"), "n", [pr.AGE, pr.COUNTER], sketch=True) for op in ("<=", ">")]
     merged = {r.field_name: (r.low_whole, r.high_whole) for r in pr.merge_states(parts[0].unionByName(parts[1])).collect()}
     assert merged == {"age": (9, 100), "c4": (-7, 500)}
+
+
+def test_one_table_keeps_columns_of_loaded_tables(spark):
+    files = corpus(spark, [(["name", "age"], [name, str], "\t")], 2)
+    at = datetime(2025, 1, 1)
+    nodes = spark.createDataFrame([(1, "A", 3, at, None), (2, "B", 4, at, at)], "row_id bigint, n string, load_no int, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
+    other = spark.createDataFrame([(1, "C", at)], "row_id bigint, n string, loaded_at timestamp_ntz")
+    got = one_table(*files, {"old": (nodes, {"n": "name", "load_no": "load_no", "loaded_at": "loaded_at", "deleted_at": "deleted_at"}), "older": (other, {"n": "name", "loaded_at": "loaded_at"})}, ("nodes",))
+    assert got.dtypes[2:] == [("age", "int"), ("name", "string"), ("load_no", "int"), ("loaded_at", "timestamp_ntz"), ("deleted_at", "timestamp_ntz")]
+    rows = {(r.origin, r.row_key): (r.load_no, r.loaded_at, r.deleted_at) for r in got.collect()}
+    assert rows == {("nodes", 0): (None, None, None), ("nodes", 1): (None, None, None), ("old", 1): (3, at, None), ("old", 2): (4, at, at), ("older", 1): (None, at, None)}

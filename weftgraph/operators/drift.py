@@ -183,11 +183,22 @@ def _cast(cell, kind: str):
     return cell.try_cast(kind) if kind != "string" else cell
 
 
+def _own_columns(loaded: dict[str, tuple[DataFrame, dict[str, str]]], types: dict[str, str]) -> dict[str, str]:
+    """column -> Spark type of the columns that only ``loaded`` tables have. Tables that differ in a column's type give it as text."""
+    own: dict[str, str] = {}
+    for table, columns in loaded.values():
+        for source, column in columns.items():
+            if column not in types:
+                kind = table.schema[source].dataType.simpleString()
+                own[column] = kind if own.get(column, kind) == kind else "string"
+    return own
+
+
 def one_table(files: DataFrame, lines: DataFrame, loaded: dict[str, tuple[DataFrame, dict[str, str]]], series: tuple[str, ...] = ("nodes", "nodes2"), fixed: dict[str, str] | None = None) -> DataFrame:
     """Every loadable record of ``series`` and of the ``loaded`` tables under one set of columns.
 
     ``loaded`` maps a table's name to the table and its column aliases (column -> column of the result). Columns: origin (series or table), row_key (line_id or row_id), then
-    the catalogue's columns by name. An empty cell is null; a column that a file lacks is null; a text whose column is a list elsewhere is split at commas, a
+    the catalogue's columns by name, then those that only loaded tables have, null elsewhere. An empty cell is null; a column that a file lacks is null; a text whose column is a list elsewhere is split at commas, a
     list whose column is a text is joined by spaces. Of a field that stands twice in a header the last filled cell counts.
     """
     spark = lines.sparkSession
@@ -205,11 +216,12 @@ def one_table(files: DataFrame, lines: DataFrame, loaded: dict[str, tuple[DataFr
         text = F.when(cell["listed"], F.replace(cell["text"], F.lit(","), F.lit(" "))).otherwise(cell["text"]) if kind == "string" else cell["text"]
         return _cast(text, kind).alias(name)
 
-    raw = named.select("origin", "row_key", *[column(c, t) for c, t in types.items()])
+    own = _own_columns(loaded, types)
+    raw = named.select("origin", "row_key", *[column(c, t) for c, t in types.items()], *[F.lit(None).cast(t).alias(c) for c, t in own.items()])
     for tbl, (table, columns) in loaded.items():
         into = {v: k for k, v in columns.items()}
         cells = []
-        for c, t in types.items():
+        for c, t in (types | own).items():
             if c not in into:
                 cells.append(F.lit(None).cast(t).alias(c))
                 continue

@@ -109,9 +109,10 @@ def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    times = {"loaded_at": "loaded_at", "deleted_at": "deleted_at"}
     loaded = {
-        "nodes": (read_table(spark, d, "nodes"), {NAME: "name", "age": "age", "works_on": "works_on"}),
-        "nodes2": (read_table(spark, d, "nodes2"), {NAME: "name", "age": "age", "employer": "works_on"}),
+        "nodes": (read_table(spark, d, "nodes"), {NAME: "name", "age": "age", "works_on": "works_on", "load_no": "load_no"} | times),
+        "nodes2": (read_table(spark, d, "nodes2"), {NAME: "name", "age": "age", "employer": "works_on"} | times),
     }
     return drift.one_table(read_table(spark, d, "raw_files"), read_table(spark, d, "raw_lines"), loaded)
 
