@@ -156,3 +156,13 @@ def test_one_table_keeps_columns_of_loaded_tables(spark):
     assert got.dtypes[2:] == [("age", "int"), ("name", "string"), ("load_no", "int"), ("loaded_at", "timestamp_ntz"), ("deleted_at", "timestamp_ntz")]
     rows = {(r.origin, r.row_key): (r.load_no, r.loaded_at, r.deleted_at) for r in got.collect()}
     assert rows == {("nodes", 0): (None, None, None), ("nodes", 1): (None, None, None), ("old", 1): (3, at, None), ("old", 2): (4, at, at), ("older", 1): (None, at, None)}
+
+
+def test_two_like_fields_renamed_in_one_file(spark):
+    """b is nearer to c than to d, but c is what a became."""
+    stock = ["Kaba", "Lebe", "Mido", "Nofu", "Pagu", "Rilo", "Sume", "Tavi", "Vuko", "Zeba", "Hona", "Jupi", "Woda"]
+    pick = lambda *at: lambda i: stock[at[i % 10]]
+    a, b, d = pick(*range(10)), pick(*range(9), 10), pick(*range(7), 10, 11, 12)
+    files = corpus(spark, [(["id", "a", "b"], [str, a, b], "\t"), (["id", "c", "d"], [str, a, d], "\t")])
+    assert changes(spark, files) == [(1, "c", "renamed"), (1, "d", "renamed")]
+    assert alias_table(*files, ("nodes",), {})[0][99, "d"] == "b"

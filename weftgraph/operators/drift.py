@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.error_parse import parse_records
@@ -99,7 +99,7 @@ def renames(cat: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
 
     Alike: at least SAME_FORM of the distributions of value forms is in common, and of the values themselves SAME_STOCK of what two
     halves of one field have in common (stocks that hardly repeat, such as dates, are judged by form). A field takes part
-    in one renaming of a file; the best pair wins. Fields without values aren't renamed.
+    in one renaming of a file; the best pair wins, then the best of the fields still free, until no pair is left. Fields without values aren't renamed.
     """
     started, ended, _ = _starts_and_endings(cat)
     pairs = ended.select("series", "seq", "file_no", F.col("field").alias("old"), F.col("life").alias("old_life")).join(
@@ -110,9 +110,15 @@ def renames(cat: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
     stock = stored(_stock(candidates, cat, lines, files), "stock")
     judged = candidates.join(_overlaps(stock, "value"), "pair").join(_overlaps(stock, "form"), "pair")
     enough = (F.col("form_both") >= SAME_FORM) & (F.col("value_both") >= SAME_STOCK * F.least("value_old", "value_new") - SLACK)
-    score = F.struct(F.col("value_both") + F.col("form_both"), F.col("pair"))
-    best = judged.where(enough).withColumn("best_old", F.max(score).over(Window.partitionBy("file_no", "old"))).withColumn("best_new", F.max(score).over(Window.partitionBy("file_no", "new")))
-    return best.where((score == F.col("best_old")) & (score == F.col("best_new"))).select("series", "file_no", "seq", "old", "new")
+    ranked = F.struct((F.col("value_both") + F.col("form_both")).alias("score"), "pair", "old", "new")
+    listed = judged.where(enough).groupBy("series", "file_no", "seq").agg(F.sort_array(F.collect_list(ranked), asc=False).alias("pairs"))  # as many as its changed fields make
+
+    def take(taken: Column, p: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["old"] == p["old"]) | (t["new"] == p["new"]))
+        return F.when(free, F.concat(taken, F.array(F.struct(p["old"].alias("old"), p["new"].alias("new"))))).otherwise(taken)
+
+    taken = F.aggregate("pairs", F.array().cast("array<struct<old: string, new: string>>"), take)
+    return listed.select("series", "file_no", "seq", F.explode(taken).alias("t")).select("series", "file_no", "seq", "t.old", "t.new")
 
 
 def schema_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
