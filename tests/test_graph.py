@@ -1,14 +1,16 @@
 import glob
 import os
+import time
 
 import pytest
 
 from weftgraph.cli import run
 from weftgraph.config import LoadConfig
 from weftgraph.operators.graph import Graph, dangling, load
-from weftgraph.operators.index import IndexSpec, distinct_entries, index_get
+from weftgraph.operators.index import IndexSpec, distinct_entries, index_get, search
 from weftgraph.operators.ids import assign_ids, next_id
 from weftgraph.operators.sorting import sort_file
+from weftgraph.report import Phases
 from weftgraph.sources import generate
 from weftgraph.sources.cells import CellFile, read_cells
 from weftgraph.schema import header_of
@@ -42,10 +44,65 @@ NO_RELS = ["start\tend\ttype\n0\t0\tT"]
 
 
 def test_nodes_labels_and_ids(spark):
-    g, _ = build(spark, ["a\t:label\nfoo\tbar,bor\nfoo\t\n", "b:int\n7"], NO_RELS)
-    assert node_rows(g) == [(0, ["bar", "bor"], {"a": "foo"}), (1, [], {"a": "foo"}), (2, [], {"b": 7})]
-    g, _ = build(spark, ["i:id\ta\n123\tfoo", "a\nx\ny"], NO_RELS)
-    assert [r[0] for r in node_rows(g)] == [0, 1, 123]
+    g, _ = build(spark, ["title\t:label\nOak\ttree, tall ,\nElm\t\n", "height:int\n31"], NO_RELS)
+    assert node_rows(g) == [(0, ["tree", "tall"], {"title": "Oak"}), (1, [], {"title": "Elm"}), (2, [], {"height": 31})]
+
+
+def test_ids_are_given_once(spark):
+    g, _ = build(spark, ["no:id\ttitle\n0\tOak\n1\tElm", "title\nAsh\nFir"], NO_RELS)
+    assert node_rows(g) == [(0, [], {"title": "Oak"}), (1, [], {"title": "Elm"}), (2, [], {"title": "Ash"}), (3, [], {"title": "Fir"})]
+    g, _ = build(spark, ["title\nAsh", "no:id\ttitle\n70\tOak", "title\nFir"], NO_RELS)
+    assert [(r[0], r[2]["title"]) for r in node_rows(g)] == [(70, "Oak"), (71, "Ash"), (72, "Fir")]
+    with pytest.raises(ValueError, match="several nodes with id 5"):
+        build(spark, ["no:id\ttitle\n5\tOak\n5\tElm"], NO_RELS)
+    with pytest.raises(ValueError, match="several nodes with id 5"):
+        build(spark, ["no:id\ttitle\n5\tOak", "no:id\n5"], NO_RELS)
+    with pytest.raises(ValueError, match="several nodes with id 0"):
+        build(spark, ["no:id\ttitle\n0\tOak"], NO_RELS, earlier=build(spark, ["title\nElm"], NO_RELS)[0])
+    with pytest.raises(Exception, match="no id in row 2"):
+        build(spark, ["no:id\ttitle\n5\tOak\n\tElm"], NO_RELS)[0].nodes.collect()
+    assert node_rows(build(spark, ["no:id\ttitle\n5\tOak\n\t\n\tElm"], NO_RELS)[0]) == [(5, [], {"title": "Oak"})]  # nothing is read after the blank row
+
+
+@pytest.mark.parametrize(
+    "kind,stored,asked",
+    [
+        ("double", ["1", "2.50", "1e3"], ["1.0", "2.5", "1000"]), ("int", ["1", "20", "-3"], ["01", "+20", "-003"]), ("boolean", ["TRUE", "no"], ["true", "x"]), ("char", ["abc", "d"], ["a", "dx"]),
+        ("int_array", ["1,2", "3"], ["01,+2", "3"]), ("string_array", ["a,b", "c"], ["a,b,,", "c"]),
+    ],
+)
+def test_lookup_is_by_value(spark, kind, stored, asked):
+    nodes = [f"w:{kind}:users\n" + "\n".join(stored)]
+    g, counts = build(spark, nodes, [f"w:{kind}:users\tend:int\ttype\n" + "\n".join(f"{x}\t0{i}\tT" for i, x in enumerate(asked))])
+    assert rel_rows(g) == [(i, i, i, "T") for i in range(len(asked))] and counts.first().skipped == 0
+    if kind == "int":
+        with pytest.raises(Exception, match="Error converting value row 1 column 0"):
+            build(spark, nodes, ["w:int:users\tend\ttype\nx\t1\tT"])[0].relationships.collect()
+
+
+def test_no_files_and_only_relationships(spark, tmp_path):
+    path = str(tmp_path / "g")
+    build(spark, ["name:string:users\nA\nB"], [])[0].write(path)
+    g, counts = build(spark, [], ["name:string:users\tname:string:users\ttype\nA\tB\tT"], earlier=Graph.read(spark, path))
+    assert counts.first().imported == 1
+    g.write(path, keep=True)
+    both = Graph.read(spark, path)
+    assert rel_rows(both) == [(0, 0, 1, "T")] and both.nodes.count() == 2
+    build(spark, [], [])[0].write(path)
+    assert Graph.read(spark, path).nodes.count() == 0 and Graph.read(spark, path).index.count() == 0
+
+
+def test_fulltext_index(spark, tmp_path):
+    path = str(tmp_path / "g")
+    specs = [IndexSpec("node_index", "users"), IndexSpec("node_index", "texts", "fulltext"), IndexSpec("relationship_index", "notes", "fulltext")]
+    nodes = ["name:string:users\tabout:string:texts\nA\tThe old mill, the OLD bridge\nB\tA new bridge\nC\t"]
+    g, _ = build(spark, nodes, ["name:string:users\tend\ttype\tn:string:notes\nA\t1\tT\tSold in May"], specs)
+    g.write(path)
+    stored = Graph.read(spark, path)
+    ids = lambda *a: sorted(r.entity_id for r in search(stored.tokens, *a).collect())
+    assert ids("texts", "about", "bridge") == [0, 1] and ids("texts", "about", "Old Bridge") == [0] and ids("texts", "about", "-") == [] and ids("notes", "n", "may") == [0]
+    assert stored.tokens.where("index_name = 'users'").count() == 0 and stored.tokens.where("entity_id = 0 and token = 'old'").count() == 1
+    assert index_get(stored.index, "texts", "about", "A new bridge").count() == 1  # exact entries stay
 
 
 def test_lookup_literal_and_unresolved(spark):
@@ -79,9 +136,9 @@ def test_bad_endpoint_missing_type_and_unconfigured_index(spark):
 def test_relationship_index_and_index_file(spark):
     specs = [*USERS, IndexSpec("relationship_index", "since")]
     extra = file(spark, "id\tlanguage\n0\tFrisian\n1\t")
-    g, _ = build(spark, ["name:string:users\nA\nB"], ["start\tend\ttype\ty:int:since\n0\t1\tT\t7\n1\t0\tT\t"], specs, index_files={"users": extra})
+    g, _ = build(spark, ["name:string:users\nA\nB"], ["start\tend\ttype\ty:int:since\n0\t1\tT\t7\n1\t0\tT\t"], specs, index_files={"users": [extra, file(spark, "id\tcolour:int\n1\t07")]})
     got = sorted((r.index_name, r.entity_id, r.property, r.value) for r in distinct_entries(g.index.unionByName(g.index)).collect())
-    assert got == [("since", 0, "y", "7"), ("users", 0, "language", "Frisian"), ("users", 0, "name", "A"), ("users", 1, "name", "B")]
+    assert got == [("since", 0, "y", "7"), ("users", 0, "language", "Frisian"), ("users", 0, "name", "A"), ("users", 1, "colour", "7"), ("users", 1, "name", "B")]
 
 
 def test_write_replace_keep(spark, tmp_path):
@@ -101,7 +158,7 @@ def test_failed_load_leaves_the_target(spark, tmp_path):
     build(spark, ["a:int\n1"], NO_RELS)[0].write(path)
     with pytest.raises(Exception, match="Error converting"):
         build(spark, ["a:int\nx"], NO_RELS)[0].write(path)
-    assert Graph.read(spark, path).nodes.count() == 1
+    assert Graph.read(spark, path).nodes.count() == 1 and not [x for x in glob.glob(f"{path}*") if x.endswith("-old")]
 
 
 def test_cli(spark, tmp_path):
@@ -111,10 +168,32 @@ def test_cli(spark, tmp_path):
     config = LoadConfig.from_args([str(tmp_path / "g"), f"{tmp_path}/n1.csv,{tmp_path}/missing,{tmp_path}/n2.csv", str(tmp_path / "r.csv"), "node_index", "users", "exact"])
     seen = run(spark, config)
     assert (seen["nodes"], seen["relationships"], seen["skipped"]) == (4, 2, 1)
+    assert list(seen["phases"]) == ["reading", "planning", "nodes", "relationships", "index"]
     rels = Graph.read(spark, config.graph).relationships.orderBy("id").collect()
     assert (rels[1].type, rels[1].props.since, rels[1].props.counter) == ("SISTER_OF 2008-05-03", "5", None)
 
 
+def test_cli_separator_pattern_and_index_files_of_several_headers(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("name:string:users\tt:string_array\nA\tx;y:z\n")
+    (tmp_path / "i.csv").write_text("id\tp\n0\tone")
+    (tmp_path / "j.csv").write_text("id\tq:int\n0\t2")
+    (tmp_path / "x.properties").write_text(f"batch_array_separator=[;:]\nbatch_import.nodes_files={tmp_path}/n.csv\nbatch_import.graph_db={tmp_path}/g\nbatch_import.node_index.users=fulltext:{tmp_path}/i.csv,{tmp_path}/none,{tmp_path}/j.csv\n")
+    seen = run(spark, LoadConfig.from_args([str(tmp_path / "x.properties")]))
+    got = Graph.read(spark, f"{tmp_path}/g")
+    assert (seen["nodes"], seen["relationships"], seen["skipped"]) == (1, 0, 0) and got.nodes.first().props.t == ["x", "y", "z"]
+    assert sorted((r.property, r.value) for r in got.index.collect()) == [("name", "A"), ("p", "one"), ("q", "2")] and search(got.tokens, "users", "p", "ONE").count() == 1
+
+
+def test_phases_tell_of_tasks(spark, caplog):
+    report = Phases(spark, 0.05)
+    with caplog.at_level("INFO", "weftgraph"):
+        with report.phase("rows"):
+            spark.range(0, 4000, 1, 8).selectExpr("sum(length(repeat(cast(id as string), 20000)))").collect()
+            time.sleep(0.2)
+        report.count("rows", 4000)
+    assert report.rows == {"rows": 4000} and any("of 8 tasks" in r.message for r in caplog.records) and any("4000 rows" in r.message for r in caplog.records)
+
+
 def test_ids_are_dense_in_order(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "cast(id % 3 as int) as f")
     got = assign_ids(df, ["f", "k"], 5).orderBy("id").collect()

@@ -1,13 +1,16 @@
 import gzip
 import io
+import random
+import re
 import zipfile
+from contextlib import contextmanager
 
 import pytest
 from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from weftgraph.operators.rows import typed_rows
-from weftgraph.sources.cells import numbered_lines, read_cells, records, usable_paths
+from weftgraph.sources.cells import numbered_lines, quoted_records, read_cells, records, split_record, usable_paths
 
 
 def read(spark, path, delim="\t", quotes=True):
@@ -27,9 +30,9 @@ def test_plain_file_and_crlf(spark, tmp_path, quotes):
 
 def test_non_ascii(spark, tmp_path):
     p = tmp_path / "a.csv"
-    p.write_text("ö\näáß", encoding="utf-8")
+    p.write_text("größe:int\t名前\n7\tÆsir 漢字\n8\t\U0001f332", encoding="utf-8")
     fields, rows = read(spark, p)
-    assert fields[0].name == "ö" and rows == [["äáß"]]
+    assert [(f.name, f.type) for f in fields] == [("größe", "INT"), ("名前", "STRING")] and rows == [["7", "Æsir 漢字"], ["8", "\U0001f332"]]
 
 
 def test_quoted_file(spark, tmp_path):
@@ -141,13 +144,60 @@ def test_quoted_records_across_blocks(spark, tmp_path, block):
         paths.append(str(tmp_path / f"q{k}.csv"))
         (tmp_path / f"q{k}.csv").write_text("a\tb\tc\td\n" + "\n".join("\t".join(map(quote, r)) for r in rows) + ('\n"open\nto the end' if k == 1 else ""))
         want += [(k + 1, i + 1, r) for i, r in enumerate(rows)] + ([(2, 16, ["open\nto the end"])] if k == 1 else [])
+    with blocks_of(spark, block):
+        got = sorted((r.file_no, r.line_no, r.cells) for f in read_cells(spark, paths) for r in f.rows.collect())
+    assert got == want
+
+
+@contextmanager
+def blocks_of(spark, size):
     keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = [spark.conf.get(k) for k in keys]
-    spark.conf.set(keys[0], block)
+    spark.conf.set(keys[0], size)
     spark.conf.set(keys[1], "1b")
     try:
-        got = sorted((r.file_no, r.line_no, r.cells) for f in read_cells(spark, paths) for r in f.rows.collect())
+        yield
     finally:
         for k, v in zip(keys, before, strict=True):
             spark.conf.set(k, v)
-    assert got == want
+
+
+def until_blank(rows, width):
+    for i, row in enumerate(rows):
+        if not "".join(row[:width]):
+            return rows[:i]
+    return rows
+
+
+@pytest.mark.parametrize("block", ["7b", "40b", "1m"])
+def test_any_texts_in_any_blocks(spark, tmp_path, block):
+    """Against reading line by line: blank records, quotes that open and close in other blocks, or never."""
+    rng = random.Random(block)
+    paths, want = [], []
+    for k in range(30):
+        text = "".join(rng.choice(['a"', '"b', '""', '"', "c", "\t", "\n", "\n", "\\", "\r\n", 'd\t"e\nf"\n', "g\n"]) for _ in range(40))
+        paths.append(str(tmp_path / f"r{k:02}.csv"))
+        (tmp_path / f"r{k:02}.csv").write_bytes(("x\ty\n" + text).encode())
+        rows = list(records(io.StringIO("x\ty\n" + text, newline=""), "\t"))[1:]
+        want += [(k + 1, i, row) for i, row in enumerate(until_blank(rows, 2), 1)]
+    with blocks_of(spark, block):
+        files = read_cells(spark, paths)
+        got = sorted((r.file_no, r.line_no, r.cells) for f in files for r in f.rows.collect())
+    assert got == want and sum(sum(f.kept.values()) for f in files) == len(want)
+
+
+def test_quote_that_is_never_closed(spark, tmp_path):
+    p = tmp_path / "open.csv"
+    p.write_text("x\ty\n1\t2\n3\t\"4\n" + "line of a cell that nobody closed\n" * 200)
+    with blocks_of(spark, "500b"):
+        with pytest.raises(ValueError, match=r"open\.csv: record 2 has \d+ characters; is a quote never closed"):
+            quoted_records(spark, [str(p)], [1], "\t", 2, most=5000)
+        assert quoted_records(spark, [str(p)], [1], "\t", 2).rows.count() == 3
+
+
+def test_blank_form():
+    from weftgraph.sources.cells import blank_form
+
+    for line in ("", '""', "\t", '""\t""', "\t\tx", '\t""\r', "\r", "x", '"', "\tx", '""x', '"" ""', "\t\t"):
+        cells = split_record(line, "\t")
+        assert bool(re.match(blank_form("\t", 2).replace("\\z", "\\Z"), line)) == (not "".join(cells[:2])) or line == '"', line

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from weftgraph.operators.index import IndexSpec, check_names
@@ -18,15 +19,20 @@ class ConfigError(ValueError):
 
 def read_properties(path: str) -> dict[str, str]:
     """Entries of a properties file: ``key=value`` or ``key:value`` lines, # and ! begin comments; a missing file has none."""
-    out: dict[str, str] = {}
     if not os.path.exists(path):
-        return out
+        return {}
     with open(path, encoding="utf-8") as lines:
-        for line in (x.strip("\r\n").lstrip() for x in lines):
-            if not line or line[0] in "#!":
-                continue
-            at = next((i for i, c in enumerate(line) if c in "=:"), len(line))
-            out[line[:at].strip()] = line[at + 1 :].lstrip(" ").replace("\\t", "\t")
+        return parse_properties(lines)
+
+
+def parse_properties(lines: Iterable[str]) -> dict[str, str]:
+    """Entries of the lines of a properties file; of a key that stands twice the last."""
+    out: dict[str, str] = {}
+    for line in (x.strip("\r\n").lstrip() for x in lines):
+        if not line or line[0] in "#!":
+            continue
+        at = next((i for i, c in enumerate(line) if c in "=:"), len(line))
+        out[line[:at].strip()] = line[at + 1 :].lstrip(" ").replace("\\t", "\t")
     return out
 
 
@@ -61,7 +67,7 @@ class NamedArgs:
 
 @dataclass(frozen=True)
 class LoadConfig:
-    """What to load and how. ``settings`` holds every entry, those of other tools too."""
+    """What to load and how. ``separator`` is a pattern where ``regex`` holds, as in a properties file. ``settings`` holds every entry, those of other tools too."""
 
     graph: str
     nodes: str = ""
@@ -70,6 +76,7 @@ class LoadConfig:
     quotes: bool = True
     delim: str = "\t"
     separator: str = ","
+    regex: bool = True
     indexes: list[IndexSpec] = field(default_factory=list)
     settings: dict[str, str] = field(default_factory=dict)
 
@@ -107,6 +114,7 @@ class LoadConfig:
             not is_set(settings, QUOTES, "false"),
             (delim.strip() or delim)[0],
             settings.get(SEPARATOR) or ",",
+            True,
             specs,
             settings,
         )

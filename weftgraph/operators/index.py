@@ -62,7 +62,8 @@ def check_names(specs: list[IndexSpec]) -> dict[str, IndexSpec]:
 
 
 def text_of(value: Column, kind: str) -> Column:
-    return F.array_join(value.cast("array<string>"), ",") if kind.endswith("_ARRAY") else value.cast("string")
+    """A typed value as an index holds it. Arrays are JSON, so that different arrays are different texts whatever parted them."""
+    return F.to_json(value.cast("array<string>")) if kind.endswith("_ARRAY") else value.cast("string")
 
 
 def entries(rows: DataFrame, fields: list[HeaderField], kind: str, offset: int = 0, specs: dict[str, IndexSpec] | None = None) -> DataFrame:
@@ -117,7 +118,23 @@ def lookup(rows: DataFrame, column: str, keys: DataFrame, name: str, prop: str,
     return joined.withColumn(out, F.when(F.col(n) > 1, several.cast("bigint")).otherwise(F.coalesce(one, F.lit(UNRESOLVED)))).drop(key, n, one)
 
 
+def tokens(index: DataFrame) -> DataFrame:
+    """(kind, entity_id, property, token, index_name): the different words of each entry, for full-text indexes, which are searched by word."""
+    words = F.explode(_words(F.col("value"))).alias("token")
+    return index.select("kind", "entity_id", "property", words, "index_name").where("token <> ''").distinct()
+
+
+def search(found: DataFrame, name: str, prop: str, words: str) -> DataFrame:
+    """Ids of the entries of a full-text index that hold every word of ``words``; none where there is no word. ``found`` is a graph's ``tokens``."""
+    wanted = [w for w in found.sparkSession.range(1).select(_words(F.lit(words))).first()[0] if w]
+    hits = found.where((F.col("index_name") == name) & (F.col("property") == prop) & F.col("token").isin(wanted))
+    return hits.groupBy("entity_id").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(wanted)).select("entity_id")
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+
+
 def fulltext_tokens(table: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token): the different words of each text in lower case; an extension for the ``fulltext`` mode. Null and blank texts have none."""
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
-    return table.select(F.col(key), F.explode(words).alias("token")).where("token <> ''")
+    """(key, token): the different words of each text in lower case; what ``tokens`` does for entries. Null and blank texts have none."""
+    return table.select(F.col(key), F.explode(_words(F.col(text))).alias("token")).where("token <> ''")

@@ -42,7 +42,7 @@ def legacy_fields(fields: list[HeaderField]) -> list[HeaderField]:
 def typed_rows(cells: DataFrame, fields: list[HeaderField], offset: int = 0, separator: str = ",", regex: bool = False, legacy: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(file_no, line_no, id, labels, cell_type, props): props is a struct of the typed properties from column ``offset`` on.
 
-    id: the first column where it has the type ID, else null. labels: of the last LABEL column, null if it has no value. cell_type: the first label or, without
+    id: the first column where it has the type ID, where an empty cell raises, else null. labels: of the last LABEL column, null if it has no value. cell_type: the first label or, without
     LABEL column, the third cell. Of a property whose name stands twice the last filled column counts. A cell that doesn't
     convert raises; null props mean absent values. The legacy reader keeps id and label columns among the properties.
     ``keep``: columns of ``cells`` that are carried along.
@@ -51,7 +51,7 @@ def typed_rows(cells: DataFrame, fields: list[HeaderField], offset: int = 0, sep
         fields = legacy_fields(fields)
     row = F.col("line_no")
     # cells first, in a projection of their own, so that no conversion repeats how a cell is found
-    texts = cells.select("file_no", "line_no", *keep, *[cell_at(i, legacy).alias(f"_c{i}") for i in range(max(len(fields), 3))])
+    texts = cells.select("file_no", "line_no", *keep, F.col("cells").isNotNull().alias("_has"), *[cell_at(i, legacy).alias(f"_c{i}") for i in range(max(len(fields), 3))])
     typed = {f.position: convert(F.col(f"_c{f.position}"), f, row, separator, regex) for f in fields}
     groups = property_fields(fields, offset)
     if legacy:
@@ -60,7 +60,10 @@ def typed_rows(cells: DataFrame, fields: list[HeaderField], offset: int = 0, sep
     label = label_field(fields)
     labels = typed[label.position] if label else F.lit(None).cast("array<string>")
     third = F.get(labels, F.lit(0)) if label else (F.col("_c2") if len(fields) > 2 else F.lit(None).cast("string"))
-    number = typed[0] if has_explicit_ids(fields) else F.lit(None).cast("bigint")
+    number = F.lit(None).cast("bigint")
+    if has_explicit_ids(fields):  # rows beyond a file's end have no cells and don't abort
+        error = F.raise_error(F.concat(F.lit("no id in row "), row.cast("string"))).cast("bigint")
+        number = typed[0] if legacy else F.coalesce(typed[0], F.when(F.col("_has"), error))
     return texts.select("file_no", "line_no", *keep, number.alias("id"), labels.alias("labels"), third.alias("cell_type"), (F.struct(*props) if props else F.lit(None).cast("struct<>")).alias("props"))
 
 
@@ -84,6 +87,16 @@ def property_count(rows: DataFrame) -> Column:
     return sum((F.col("props")[n].isNotNull().cast("int") for n in names), F.lit(0))
 
 
+def as_map(rows: DataFrame) -> Column:
+    """The properties of a row that have a value, as a map from name to text (see ``text_of``); an empty map where there are none."""
+    names = prop_names(rows)
+    if not names:
+        return F.create_map().cast("map<string, string>")
+    kinds = {n: rows.schema["props"].dataType[n].dataType for n in names}
+    texts = [F.to_json(F.col("props")[n]) if isinstance(kinds[n], T.ArrayType) else F.col("props")[n].cast("string") for n in names]
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*texts)), lambda k, v: v.isNotNull())
+
+
 def union_rows(frames: list[DataFrame], clash: str = "raise") -> DataFrame:
     """Rows of several files in one frame: properties that a file lacks are null.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import literal_id
+from weftgraph.operators.ids import assign_ids
 from weftgraph.sources.cells import numbered_lines
 
 
@@ -21,6 +22,16 @@ def sort_relationships(lines: DataFrame) -> DataFrame:
     return endpoint_keys(lines).orderBy("lo", "hi", "line_no")
 
 
+def sorted_places(lines: DataFrame) -> DataFrame:
+    """``endpoint_keys`` of lines with ``place``, the line's number (from 1) in the order of ``sort_relationships``."""
+    return assign_ids(endpoint_keys(lines), ["lo", "hi", "line_no"], 1, "place")
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in ``order``: a heap of n rows in each task, merged, and no full sort. Ties at the end are broken arbitrarily."""
+    return rows.orderBy(*order).limit(n)
+
+
 def sort_file(spark: SparkSession, source: str, target: str) -> None:
     """Sort a relationship file into the folder ``target``: part files in order, the first begins with the header."""
     lines = numbered_lines(spark, source)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -11,14 +10,16 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.cli import run
+from weftgraph.config import LoadConfig, NamedArgs, is_set, parse_properties
 from weftgraph.functions import util
 from weftgraph.functions.convert import split_array, split_labels
 from weftgraph.operators import graph, index, rows, sorting
 from weftgraph.operators.ids import assign_ids
 from weftgraph.schema import HeaderField, parse_header
-from weftgraph.session import read_table, shared_dir
+from weftgraph.session import read_table, shared_path
 from weftgraph.sources import generate
-from weftgraph.sources.cells import CellFile, cells_from_table, filesystem, read_cells
+from weftgraph.sources.cells import CellFile, cells_from_table, filesystem, number_lines, read_cells, usable_paths
 
 Q = Callable[[SparkSession, str], DataFrame]
 CUSTOMER = parse_header(["id:id", "name:string:customers", "acctbal:double", "seg:label"])
@@ -60,6 +61,11 @@ def _order_rows(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
 RICH = "c_acctbal > 0"
 
 
+def _last(spark: SparkSession, d: str, table: str, key: str) -> int | None:
+    """The largest key of a table whose keys stand for line numbers."""
+    return read_table(spark, d, table).agg(F.max(key)).first()[0]
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     typed = _typed(_customers(spark, d), CUSTOMER)
     made = graph.with_ids(typed, [CellFile("customer", CUSTOMER, typed)])
@@ -69,7 +75,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def relationships(spark: SparkSession, d: str) -> DataFrame:
     fields = parse_header(["start", "end", "kind:label", "price:double"])
     cells = cells_from_table(read_table(spark, d, "orders"), ["o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice"], "o_orderkey")
-    made = graph.relationships_of(graph.resolved_rows(cells, fields, None))
+    made = graph.relationships_of(graph.resolved_rows(cells, fields, None), total=_last(spark, d, "orders", "o_orderkey"))
     return made.select("id", "start", "end", "type", "props.price")
 
 
@@ -99,13 +105,29 @@ def skip_unresolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unresolved_rows(spark: SparkSession, d: str) -> DataFrame:
-    keys = _customer_index(spark, d, RICH).select("value")
-    return _order_cells(spark, d).join(keys, F.get("cells", F.lit(0)) == F.col("value"), "left_anti").select(F.get("cells", F.lit(1)).cast("bigint").alias("end"))
+    return graph.endpoint_rows(_order_cells(spark, d), ORDER, _customer_index(spark, d, RICH), False).select(F.get("cells", F.lit(1)).cast("bigint").alias("end"))
 
 
 def resolved_rows(spark: SparkSession, d: str) -> DataFrame:
-    keys = _customer_index(spark, d, RICH).select("value")
-    return _order_cells(spark, d).join(keys, F.get("cells", F.lit(0)) == F.col("value"), "left_semi").select(F.get("cells", F.lit(1)).cast("bigint").alias("end"))
+    return graph.endpoint_rows(_order_cells(spark, d), ORDER, _customer_index(spark, d, RICH)).select(F.get("cells", F.lit(1)).cast("bigint").alias("end"))
+
+
+def rels_by_typed_index(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that the files of nodes and of relationships write in different ways: 7.50 and 7.5, 007 and +7, TRUE and true."""
+    part, key = read_table(spark, d, "part"), F.col("p_partkey").cast("string")
+    forms = {
+        "double": (F.concat(key, F.lit(".50")), F.concat(F.lit("+"), key, F.lit(".5"))),
+        "int": (F.concat(F.lit("00"), key), F.concat(F.lit("+"), key)),
+        "boolean": (F.when(F.col("p_partkey") == 0, "TRUE").when(F.col("p_partkey") == 1, "no"), F.when(F.col("p_partkey") == 0, "true").otherwise("other")),
+        "int_array": (F.concat(key, F.lit(",01")), F.concat(F.lit("0"), key, F.lit(",1"))),
+    }
+    out = []
+    for kind, (stored, asked) in forms.items():
+        nodes, rels = parse_header(["id:id", f"key:{kind}:keys"]), parse_header([f"key:{kind}:keys", "end:long", "type"])
+        keys = index.entries(_typed(cells_from_table(part, ["p_partkey", stored], "p_partkey"), nodes), nodes, "node_index")
+        cells = cells_from_table(part, [asked, F.concat(F.lit("0"), key), F.lit(kind)], "p_partkey")
+        out.append(graph.resolved_rows(cells, rels, keys).where(graph.is_resolved()).select("start", "end", "type"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def import_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +135,7 @@ def import_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rel_ids(spark: SparkSession, d: str) -> DataFrame:
-    return graph.relationships_of(_order_rows(spark, d, RICH)).select("id", "start", "end")
+    return graph.relationships_of(_order_rows(spark, d, RICH), total=_last(spark, d, "orders", "o_orderkey")).select("id", "start", "end")
 
 
 def index_hit_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +161,8 @@ def auto_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def auto_index_rels(spark: SparkSession, d: str) -> DataFrame:
-    return index.entries(graph.relationships_of(_order_rows(spark, d)), ORDER, "relationship_index", graph.REL_OFFSET).select(*index.ENTRY)
+    made = graph.relationships_of(_order_rows(spark, d), total=_last(spark, d, "orders", "o_orderkey"))
+    return index.entries(made, ORDER, "relationship_index", graph.REL_OFFSET).select(*index.ENTRY)
 
 
 def _file_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -169,6 +192,14 @@ def implicit_ids(spark: SparkSession, d: str) -> DataFrame:
     return graph.with_ids(*_two_files(spark, d)).select("id", "props.name")
 
 
+def mixed_ids(spark: SparkSession, d: str) -> DataFrame:
+    fields = parse_header(["name", "nation:int"])
+    own = parse_header(["id:id", "name", "acctbal:double", "seg:label"])
+    cells = cells_from_table(read_table(spark, d, "supplier"), ["s_name", "s_nationkey"], "s_suppkey", 1)
+    files = [CellFile("supplier", fields, cells), CellFile("customer", own, _customers(spark, d).withColumn("file_no", F.lit(2)))]
+    return graph.with_ids(graph.node_rows(files), files).select("id", "props.name")
+
+
 def explicit_ids(spark: SparkSession, d: str) -> DataFrame:
     cells = cells_from_table(read_table(spark, d, "part"), ["p_partkey", "p_name", "p_size", "p_retailprice"], "p_partkey")
     return _typed(cells, PART).select("id", "props.name", "props.size", "props.price")
@@ -179,13 +210,12 @@ def multi_file_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keep_graph(spark: SparkSession, d: str) -> DataFrame:
-    target = f"{shared_dir(spark)}/kept-{os.urandom(8).hex()}"
+    target = shared_path(spark, "kept")
     fields = parse_header(["name:string:names"])
     specs = [index.IndexSpec("node_index", "names")]
-    rel = CellFile("none", parse_header(["start", "end", "type"]), spark.createDataFrame([], "file_no int, line_no bigint, cells array<string>"))
     for table, name, key, keep in (("customer", "c_name", "c_custkey", False), ("supplier", "s_name", "s_suppkey", True)):
         file = CellFile(table, fields, cells_from_table(read_table(spark, d, table), [name], key))
-        made, _ = graph.load(spark, [file], [rel], specs, earlier=graph.Graph.read(spark, target) if keep else None)
+        made, _ = graph.load(spark, [file], [], specs, earlier=graph.Graph.read(spark, target) if keep else None)
         made.write(target, keep)
     return graph.Graph.read(spark, target).nodes.select("id", "props.name")
 
@@ -242,8 +272,7 @@ def property_count(spark: SparkSession, d: str) -> DataFrame:
 
 def properties_as_map(spark: SparkSession, d: str) -> DataFrame:
     typed, _ = _sparse(spark, d)
-    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.col("props")[n].cast("string").alias("v")) for n in ("segment", "nothing")]), lambda e: e["v"].isNotNull())
-    return typed.select("id", F.explode(pairs).alias("e")).select("id", F.col("e.k").alias("name"), F.col("e.v").alias("value"))
+    return typed.select("id", F.explode(rows.as_map(typed)).alias("name", "value"))
 
 
 def empty_is_null(spark: SparkSession, d: str) -> DataFrame:
@@ -266,13 +295,30 @@ def scan_ragged_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sort_relationships(spark: SparkSession, d: str) -> DataFrame:
-    line = read_table(spark, d, "lineitem")
-    lines = line.select(F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.lit("x")).alias("value"), F.xxhash64(*line.columns).alias("line_no"))
-    return assign_ids(sorting.endpoint_keys(lines), ["lo", "hi", "line_no"], 1, "place").select("place", "lo", "hi")
+    value = F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.lit("x"))
+    lines = read_table(spark, d, "lineitem").select(value.alias("value"), F.monotonically_increasing_id().alias("line_no"))
+    return sorting.sorted_places(lines).select("place", "lo", "hi")
+
+
+def sort_file(spark: SparkSession, d: str) -> DataFrame:
+    """A relationship file sorted into text files and read again: line_no counts through the files in their order."""
+    value = F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
+    source = _written(spark, read_table(spark, d, "orders").select(value), "start\tend\ttype", "", 1)[0]
+    target = shared_path(spark, "sorted")
+    sorting.sort_file(spark, source, target)
+    paths = _part_files(target)
+    lines = number_lines(spark, paths, list(range(1, len(paths) + 1)))
+    before, at = [], 0
+    for n in sorted(lines.counts):
+        before.append((n, at))
+        at += lines.counts[n]
+    cells = F.split("value", "\t")
+    placed = lines.rows.join(F.broadcast(spark.createDataFrame(before, "file_no int, before bigint")), "file_no")
+    return placed.select((F.col("before") + F.col("line_no")).alias("place"), F.get(cells, F.lit(0)).alias("start"), F.get(cells, F.lit(1)).alias("end"), F.get(cells, F.lit(2)).alias("type"))
 
 
 def limit_rows(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(1000)
+    return sorting.first_rows(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 1000, "o_orderkey")
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,17 +332,21 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}.zip"])], names=["path"])
 
 
-def _written(spark: SparkSession, lines: DataFrame, header: str, suffix: str) -> list[str]:
+def _part_files(folder: str) -> list[str]:
+    system, at = filesystem(folder)
+    prefix = folder.removesuffix(at)
+    return sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-") and f.size)
+
+
+def _written(spark: SparkSession, lines: DataFrame, header: str, suffix: str, n: int | None = None) -> list[str]:
     """Text files of ``lines`` in the shared folder, each with the header, so that a scan has something to read. Written and packed by tasks."""
-    folder = f"{shared_dir(spark)}/scan-{os.urandom(8).hex()}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = shared_path(spark, "scan")
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = lines.toDF("value").select(F.pmod(F.xxhash64("value"), F.lit(n)).cast("int").alias("part"), F.lit(1).alias("ord"), "value")
     heads = spark.range(n).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("ord"), F.lit(header).alias("value"))
     each = body.unionByName(heads).repartitionById(n, F.col("part")).sortWithinPartitions("ord")
     each.select("value").write.option("lineSep", "\n").option("compression", "gzip" if suffix == ".gz" else "none").text(folder)
-    system, at = filesystem(folder)
-    prefix = folder.removesuffix(at)
-    paths = sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-") and f.size)
+    paths = _part_files(folder)
     if suffix == ".zip":
         paths = sorted(r.path for r in spark.createDataFrame([(p,) for p in paths], "path string").repartition(n).mapInArrow(_zipped, "path string").collect())
     return paths
@@ -329,9 +379,9 @@ def scan_zip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_quoted(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where("text <> ''")
+    docs = read_table(spark, d, "documents")
     text = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""'))
-    paths = _written(spark, docs.select(F.concat(F.col("doc_id").cast("string"), F.lit('\t"'), text, F.lit('"'))), "id:id\ttext", "")
+    paths = _written(spark, docs.select(F.concat(F.col("doc_id").cast("string"), F.lit('\t"'), F.coalesce(text, F.lit("")), F.lit('"'))), "id:id\ttext", "")
     return _scanned(spark, paths, True).select(F.col("id").alias("doc_id"), "props.text")
 
 
@@ -346,12 +396,51 @@ def parse_header_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(f.position, f.name, f.type, f.index) for f in fields], "position int, name string, type string, index_name string")
 
 
+TYPES = ["A", "B", "C"]
+
+
 def gen_random_graph(spark: SparkSession, d: str) -> DataFrame:
-    return generate.random_graph(spark, 1000, 10, ["A", "B", "C"])[1]
+    return generate.random_graph(spark, 1000, 10, TYPES)[1]
 
 
 def gen_sorted_graph(spark: SparkSession, d: str) -> DataFrame:
-    return generate.sorted_graph(spark, 1000, 10, ["A", "B", "C"])[1]
+    return generate.sorted_graph(spark, 1000, 10, TYPES)[1]
+
+
+def _facts(nodes: DataFrame, rels: DataFrame, up: bool) -> DataFrame:
+    """What holds of every generated graph, as counts: one row. ``up``: each relationship joins its node with one of the same or a higher number."""
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.pmod("Counter", F.lit(3)) + 1).cast("int"))
+    of_rels = rels.agg(
+        F.count_if(F.col("Start").between(0, 999) & F.col("Ende").between(0, 999)).alias("inside"), F.count("*").alias("rels"), F.count_if(F.col("Type") != kind).alias("bad_types"),
+        F.count_distinct("Counter").alias("most"), F.count_if(F.col("Counter") == 0).alias("last_ones"), F.count_if(F.length("Property") == 8).alias("named"), F.count_distinct(F.least("Start", "Ende")).alias("lows"),
+    )
+    of_nodes = nodes.agg(F.count("*").alias("nodes"), F.count_distinct("Node").alias("numbers"), F.sum(F.col("Rels") + 1).alias("planned"), F.min("Rels").alias("least"), F.count_distinct("Label").alias("labels"))
+    both = of_rels.join(of_nodes)  # two rows of totals
+    checks = {
+        "all_inside": F.col("inside") == F.col("rels"), "as_planned": F.col("rels") == F.col("planned"), "bad_types": F.col("bad_types"), "most": F.col("most"), "last_ones": F.col("last_ones"),
+        "all_named": F.col("named") == F.col("rels"), "nodes": F.col("nodes"), "numbers": F.col("numbers"), "least": F.col("least"), "labels": F.col("labels"), "every_low": (F.col("lows") == F.col("nodes")) if up else F.lit(True),
+    }
+    return both.select(*[c.alias(n) for n, c in checks.items()])
+
+
+def gen_random_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _facts(*generate.random_graph(spark, 1000, 10, TYPES), False)
+
+
+def gen_sorted_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _facts(*generate.sorted_graph(spark, 1000, 10, TYPES), True)
+
+
+def gen_files(spark: SparkSession, d: str) -> DataFrame:
+    """The generator's text files read by the loader: rows and sums of a ring graph's columns."""
+    nodes, rels = generate.ring_graph(spark, 1000, [1, 7, 999])
+    folder = shared_path(spark, "generated")
+    generate.write_files(nodes.selectExpr("id", "blocked", "'x' as p", "'L' as l", "age"), rels.selectExpr("start", "end", "type", "weight", "id"), folder)
+    out = []
+    for what, column in (("nodes", "Counter"), ("rels", "Counter")):
+        made = [rows.typed_rows(f.rows, f.fields) for f in read_cells(spark, _part_files(f"{folder}/{what}"), "\t", False)]
+        out.append(rows.union_rows(made).agg(F.count("*").alias("n"), F.sum(f"props.{column}").cast("bigint").alias("total")).select(F.lit(what).alias("what"), "n", "total"))
+    return out[0].unionByName(out[1])
 
 
 def gen_ring_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -378,11 +467,79 @@ def util_size(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", util.logical_size(padded).alias("n"))
 
 
+def raw_cell(spark: SparkSession, d: str) -> DataFrame:
+    return _customers(spark, d).select(F.col("line_no").alias("id"), F.get("cells", F.lit(1)).alias("second"), F.get("cells", F.lit(9)).alias("tenth"))
+
+
+def read_header(spark: SparkSession, d: str) -> DataFrame:
+    """The headers of files, with and without quotes: the fields that the reader finds."""
+    out = []
+    body = read_table(spark, d, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name"))
+    for quotes, header in ((True, '"id:id"\t"the\tname:string:x"\t\t:label'), (False, "id:id\tname\t\tn:int")):
+        for f in read_cells(spark, _written(spark, body, header, "", 1), "\t", quotes)[0].fields:
+            out.append((quotes, f.position, f.name, f.type, f.index))
+    return spark.createDataFrame(out, "quotes boolean, position int, name string, type string, index_name string")
+
+
+def file_list(spark: SparkSession, d: str) -> DataFrame:
+    """A list with files that aren't there: the others are loaded, numbered in the order of the list."""
+    lists = []
+    for table, key, name in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        lists.append(_written(spark, read_table(spark, d, table).select(F.concat_ws("\t", F.col(key).cast("string"), name)), "id:id\tname", "", 1)[0])
+    paths = usable_paths(f" {lists[0]},{lists[0]}.none ,,{lists[1]}, /")
+    return _scanned(spark, paths, True).select("file_no", "id", "props.name")
+
+
+def load_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A whole load of files, by its configuration, into a graph directory: the counts of its report and of what was written."""
+    customers = read_table(spark, d, "customer").select(F.concat_ws("\t", "c_name", F.col("c_acctbal").cast("string"), "c_mktsegment"))
+    made = _order_cells(spark, d).select(F.concat_ws("\t", F.get("cells", F.lit(0)), F.concat(F.lit("Customer#"), F.lpad(F.get("cells", F.lit(1)), 9, "0")), F.lit("KNOWS"), F.get("cells", F.lit(3))))
+    files = {"nodes": _written(spark, customers, "name:string:users\tbalance:double\tseg:label", ""), "rels": _written(spark, made, "name:string:users\tname:string:users\ttype\tprice:double", "")}
+    target = shared_path(spark, "loaded")
+    settings = {"batch_import.graph_db": target, "batch_import.nodes_files": ",".join(files["nodes"]), "batch_import.rels_files": ",".join(files["rels"]), "batch_import.node_index.users": "fulltext"}
+    report = run(spark, LoadConfig.from_settings(settings))
+    written = graph.Graph.read(spark, target)
+    facts = {f"report {k}": report[k] for k in ("nodes", "relationships", "skipped")} | {"phases": len(report["phases"])}
+    facts |= {"nodes": written.nodes.count(), "rels": written.relationships.count(), "entries": written.index.count(), "words": written.tokens.count()}
+    facts |= {"customer words": index.search(written.tokens, "users", "name", "CUSTOMER").count(), "dangling": graph.dangling(written.relationships, written.nodes).count()}
+    return spark.createDataFrame(list(facts.items()), "what string, n bigint")
+
+
+def option_words(spark: SparkSession, d: str) -> DataFrame:
+    words = ["true", "TRUE", "tRue", "yes", "1", "", " true", "false", "False", "no"]
+    return spark.createDataFrame([(w, is_set({"k": w}, "k", "true"), is_set({"k": w}, "k", "false")) for w in words], "word string, is_true boolean, is_false boolean")
+
+
+def properties_entries(spark: SparkSession, d: str) -> DataFrame:
+    lines = ["# no entry", "! nor this", "", "batch_import.csv.delim=|", "  batch_array_separator = ; ", "path:with=both", "alone", "tab=\\t", "twice=1", "twice=2"]
+    return spark.createDataFrame(list(parse_properties(lines).items()), "entry string, value string")
+
+
+def index_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Configuration entries as indexes: keys that name none, and kinds and types that there aren't."""
+    entries = [("batch_import.node_index.users", "exact"), ("batch_import.relationship_index.a.b", "fulltext:x.csv"), ("batch_import.node_index.", "exact"), ("batch_import.rel_index.x", "exact"), ("x.batch_import.node_index.y", "exact"), ("batch_import.node_index.z", "spatial")]
+    out = []
+    for key, value in entries:
+        try:
+            spec = index.IndexSpec.from_entry(key, value)
+            out.append((key, spec is not None, *((spec.kind, spec.name, spec.mode, spec.file, spec.key == key and spec.value == value) if spec else [None] * 5)))
+        except ValueError:
+            out.append((key, None, None, None, None, None, None))
+    return spark.createDataFrame(out, "entry string, is_index boolean, kind string, name string, mode string, file string, same boolean")
+
+
+def named_args(spark: SparkSession, d: str) -> DataFrame:
+    args = NamedArgs(["a.csv", "7"], "File", "count")
+    out = [("FILE", args.text("FILE")), ("Count", str(args.number("Count") + 1)), ("invalid", str(args.invalid)), ("more names", str(NamedArgs(["x"], "a", "b").invalid))]
+    return spark.createDataFrame(out, "name string, value string")
+
+
 _NAMED = (
-    nodes, relationships, rels_literal_ids, rels_by_index, rels_mixed_endpoints, skip_unresolved, unresolved_rows, resolved_rows, import_counts, rel_ids, index_hit_counts, index_distinct,
-    index_ordered, index_get, auto_index, auto_index_rels, index_file_import, index_union, implicit_ids, explicit_ids, multi_file_union, keep_graph, cast_scalars, cast_arrays, label_split, node_labels,
-    rel_type, project_properties, property_count, properties_as_map, empty_is_null, stop_at_blank_row, scan_ragged_rows, sort_relationships, limit_rows, scan_plain, scan_raw_rows, scan_gzip, scan_zip,
-    scan_quoted, scan_legacy, gen_random_graph, gen_sorted_graph, gen_ring_graph, convert_errors, fulltext_tokens, util_join, util_size,
+    nodes, relationships, rels_literal_ids, rels_by_index, rels_by_typed_index, rels_mixed_endpoints, skip_unresolved, unresolved_rows, resolved_rows, import_counts, rel_ids, index_hit_counts, index_distinct,
+    index_ordered, index_get, auto_index, auto_index_rels, index_file_import, index_union, implicit_ids, explicit_ids, mixed_ids, multi_file_union, keep_graph, cast_scalars, cast_arrays, label_split, node_labels,
+    rel_type, project_properties, property_count, properties_as_map, empty_is_null, stop_at_blank_row, scan_ragged_rows, sort_relationships, sort_file, limit_rows, scan_plain, scan_raw_rows, scan_gzip, scan_zip,
+    scan_quoted, scan_legacy, gen_random_graph, gen_sorted_graph, gen_random_facts, gen_sorted_facts, gen_files, gen_ring_graph, convert_errors, fulltext_tokens, util_join, util_size, raw_cell, read_header,
+    file_list, load_graph, option_words, properties_entries, index_specs, named_args,
 )
 QUERIES: dict[str, Q] = {f.__name__: f for f in _NAMED} | {"parse_header": parse_header_rows}
 
@@ -398,6 +555,8 @@ SQL: dict[str, str] = {
     "relationships": 'select row_number() over (order by o_orderkey) - 1 as id, o_custkey as start, o_orderkey as "end", o_orderpriority as type, o_totalprice as price from orders',
     "rels_literal_ids": "select l_orderkey as start, l_partkey as \"end\", 'HAS' as type, l_quantity as quantity, l_linenumber as number, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as shipped from lineitem",
     "rels_by_index": "select n_nationkey as start, r_regionkey as \"end\", 'IN' as type from nation join region on n_regionkey = r_regionkey",
+    "rels_by_typed_index": """select p_partkey as start, p_partkey as "end", t as type from part, (values ('double'), ('int'), ('int_array')) k(t)
+union all select case when p_partkey = 0 then 0 else 1 end, p_partkey, 'boolean' from part""",
     "rels_mixed_endpoints": f"select c_custkey as start, o_orderkey as \"end\", 'PLACED' as type, o_totalprice as price {_ORDERS}",
     "skip_unresolved": f'select c_custkey as start, o_orderkey as "end" {_ORDERS} where c_acctbal > 0',
     "unresolved_rows": f'select o_orderkey as "end" {_ORDERS} where c_name not in {_RICH}',
@@ -414,6 +573,7 @@ SQL: dict[str, str] = {
     "index_union": f"{_CUST_ENTRIES} union all {_FILE_ENTRIES}",
     "implicit_ids": "select row_number() over (order by f, k) - 1 as id, name from (select 1 as f, c_custkey as k, c_name as name from customer union all select 2, s_suppkey, s_name from supplier)",
     "explicit_ids": "select p_partkey as id, p_name as name, p_size as size, p_retailprice as price from part",
+    "mixed_ids": "select c_custkey as id, c_name as name from customer union all select (select max(c_custkey) from customer) + row_number() over (order by s_suppkey), s_name from supplier",
     "multi_file_union": "select 1 as file_no, c_custkey as line_no, c_name as name, c_acctbal as acctbal, null::int as nation from customer union all select 2, s_suppkey, s_name, null, s_nationkey from supplier",
     "keep_graph": "select row_number() over (order by f, k) - 1 as id, name from (select 1 as f, c_custkey as k, c_name as name from customer union all select 2, s_suppkey, s_name from supplier)",
     "cast_scalars": """select l_quantity as quantity, l_discount::float as price, l_linenumber as line, l_orderkey as key, (l_suppkey % 30000)::smallint as short, l_linenumber::tinyint as byte,
@@ -424,22 +584,42 @@ left(l_returnflag, 1) as flag, l_linestatus = 'O' as open, l_linestatus as text
     "rel_type": 'select o_orderkey as "end", o_orderpriority as type from orders',
     "project_properties": "select c_custkey as id, nullif(c_mktsegment, 'BUILDING') as segment, case when c_acctbal > 0 then c_acctbal end as balance, null::varchar as nothing from customer",
     "property_count": "select c_custkey as id, case when c_mktsegment <> 'BUILDING' then 1 else 0 end + case when c_acctbal > 0 then 1 else 0 end as n from customer",
-    "properties_as_map": "select c_custkey as id, 'segment' as name, c_mktsegment as value from customer where c_mktsegment <> 'BUILDING'",
+    "properties_as_map": "select c_custkey as id, 'segment' as name, c_mktsegment as value from customer where c_mktsegment <> 'BUILDING' union all select c_custkey, 'balance', c_acctbal::varchar from customer where c_acctbal > 0",
     "empty_is_null": "select doc_id, nullif(lang, '') as lang, nullif(source, '') as source from documents",
     "stop_at_blank_row": "select event_id, event_type from events where event_id < 4321",
     "scan_ragged_rows": "select c_custkey as id, c_name as name, case when c_custkey % 3 <> 0 then c_mktsegment end as segment from customer",
     "sort_relationships": "select row_number() over (order by lo, hi) as place, lo, hi from (select least(l_orderkey, l_partkey) as lo, greatest(l_orderkey, l_partkey) as hi from lineitem)",
+    "sort_file": """select row_number() over (order by least(o_orderkey, o_custkey), greatest(o_orderkey, o_custkey)) as place, o_orderkey::varchar as start, o_custkey::varchar as "end", o_orderpriority as type from orders
+union all select 0, 'start', 'end', 'type'""",
     "limit_rows": "select o_orderkey, o_totalprice from orders order by o_orderkey limit 1000",
     "scan_plain": _CUSTOMERS,
     "scan_raw_rows": _CUSTOMERS,
     "scan_gzip": _CUSTOMERS,
     "scan_zip": _CUSTOMERS,
-    "scan_quoted": "select doc_id, text from documents where text <> ''",
+    "scan_quoted": "select doc_id, nullif(text, '') as text from documents",
     "scan_legacy": "select c_custkey as id, case when c_custkey % 2 <> 0 then c_name end as name, c_mktsegment as label from customer",
+    "gen_random_facts": "select true as all_inside, true as as_planned, 0 as bad_types, 11 as most, 1000 as last_ones, true as all_named, 1000 as nodes, 1000 as numbers, 1 as least, 3 as labels, true as every_low",
+    "gen_sorted_facts": "select true as all_inside, true as as_planned, 0 as bad_types, 11 as most, 1000 as last_ones, true as all_named, 1000 as nodes, 1000 as numbers, 1 as least, 3 as labels, true as every_low",
+    "gen_files": "select 'nodes' as what, 1000 as n, 42000 as total union all select 'rels', 3000, (select sum(range) from range(3000))",
     "gen_ring_graph": "select i * 3 + k as id, i as start, (i + o) % 1000 as \"end\", 'ONE' as type, 10::float as weight from range(1000) t(i), (values (0, 1), (1, 7), (2, 999)) v(k, o)",
     "convert_errors": "select row_id as line_no, 1 as position, 'age' as name, 'INT' as type, age as value from nodes where age <> '' and not coalesce(regexp_full_match(age, '[+-]?[0-9]+') and try_cast(age as int) is not null, false)",
     "fulltext_tokens": r"select distinct doc_id, token from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as token from documents) where token <> ''",
     "util_join": "select p_partkey, array_to_string(string_split(p_type, ' '), ', ') as joined from part",
     "util_size": "select p_partkey, case p_partkey % 4 when 0 then 2 when 1 then 1 when 2 then 1 else 3 end as n from part",
     "parse_header": """select * from (values (0, 'name', 'STRING', 'users'), (1, 'age', 'STRING', null), (2, '', 'LABEL', null), (3, 'n', 'INT', null), (4, 'xs', 'FLOAT_ARRAY', 'idx'), (5, 'id', 'ID', null)) t(position, name, type, index_name)""",
+    "raw_cell": "select c_custkey as id, c_name as second, null::varchar as tenth from customer",
+    "read_header": """select * from (values (true, 0, 'id', 'ID', null), (true, 1, 'the\tname', 'STRING', 'x'), (true, 2, '', 'STRING', null), (true, 3, '', 'LABEL', null),
+(false, 0, 'id', 'ID', null), (false, 1, 'name', 'STRING', null), (false, 2, '', 'STRING', null), (false, 3, 'n', 'INT', null)) t(quotes, position, name, type, index_name)""",
+    "file_list": "select 1 as file_no, n_nationkey as id, n_name as name from nation union all select 2, r_regionkey, r_name from region",
+    "load_graph": """with r as (select exists (from customer c where c.c_name = 'Customer#' || lpad(o_orderkey::varchar, 9, '0')) as found from orders),
+k as (select count(*) as n from customer), g as (select count(*) filter (found) as n, count(*) filter (not found) as skipped from r)
+select 'report nodes' as what, n from k union all select 'report relationships', n from g union all select 'report skipped', skipped from g union all select 'phases', 5
+union all select 'nodes', n from k union all select 'rels', n from g union all select 'entries', n from k union all select 'words', 2 * n from k union all select 'customer words', n from k union all select 'dangling', 0""",
+    "option_words": """select * from (values ('true', true, false), ('TRUE', true, false), ('tRue', true, false), ('yes', false, false), ('1', false, false), ('', false, false), (' true', false, false),
+('false', false, true), ('False', false, true), ('no', false, false)) t(word, is_true, is_false)""",
+    "properties_entries": """select * from (values ('batch_import.csv.delim', '|'), ('batch_array_separator', '; '), ('path', 'with=both'), ('alone', ''), ('tab', '\t'), ('twice', '2')) t(entry, value)""",
+    "index_specs": """select * from (values ('batch_import.node_index.users', true, 'node_index', 'users', 'exact', null, true), ('batch_import.relationship_index.a.b', true, 'relationship_index', 'a.b', 'fulltext', 'x.csv', true),
+('batch_import.node_index.', false, null, null, null, null, null), ('batch_import.rel_index.x', false, null, null, null, null, null), ('x.batch_import.node_index.y', false, null, null, null, null, null),
+('batch_import.node_index.z', null, null, null, null, null, null)) t(entry, is_index, kind, name, mode, file, same)""",
+    "named_args": "select * from (values ('FILE', 'a.csv'), ('Count', '8'), ('invalid', 'False'), ('more names', 'True')) t(name, value)",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SHARED_KEY = "spark.checkpoint.dir"
+MOST_BROADCAST = 500_000  # rows of a driver's table that is broadcast: rows of a few numbers and names, some tens of MB
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -46,16 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which is deleted when the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/weftgraph-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_drop_stored)
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftgraph-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     hollow = [f for f in df.schema if f.dataType == T.StructType([])]  # Parquet has no struct without fields
     kept = df.drop(*[f.name for f in hollow])
     kept.write.parquet(path)
-    if not _made:
-        atexit.register(_drop_stored)
-    _made.append((spark, path))
     back = spark.read.schema(kept.schema).parquet(path)
     return back.select(*[F.lit(None).cast("struct<>").alias(f.name) if f in hollow else F.col(f"`{f.name}`") for f in df.schema])
 
@@ -66,11 +73,11 @@ def _drop_stored() -> None:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended: the folder's owner cleans up
-            return
+        except Exception:  # the session has ended, or the folder is gone: the owner of the shared folder cleans up
+            continue
 
 
-def small_table(spark: SparkSession, rows: list[tuple], schema: str, most: int = 500_000) -> DataFrame:
+def small_table(spark: SparkSession, rows: list[tuple], schema: str, most: int = MOST_BROADCAST) -> DataFrame:
     """Rows of the driver as a table that is broadcast in joins if it has at most ``most`` rows, and else joined as Catalyst sees fit."""
     table = spark.createDataFrame(rows, schema)
     return F.broadcast(table) if len(rows) <= most else table

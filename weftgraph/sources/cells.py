@@ -1,7 +1,7 @@
 """Delimited text as rows of cells: (file_no int, line_no bigint from 1, cells array<string>), header lines apart.
 
-Text files are split by Spark and numbered without a sort, quoted ones too, whose records may hold line feeds; a quoted file that has neither a quote
-nor a backslash is read as a plain one. Zip archives are read one partition per file by a Python data source.
+Text files are split by Spark and numbered without a sort, quoted ones too, whose records may hold line feeds; a quoted file that has no quote
+is read as a plain one. Zip archives are read one partition per file by a Python data source.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import os
 import re
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftgraph.schema import HeaderField, parse_header
-from weftgraph.session import small_table
+from weftgraph.session import MOST_BROADCAST, small_table
 
 log = logging.getLogger(__name__)
 CELLS = "file_no int, line_no bigint, cells array<string>"
+MOST_CHARS = 1 << 28  # of a record that lies in several blocks: more are taken for a quote that was never closed, which is an error
+_OPENERS = 16  # files that the driver opens at once, to see whether they can be read and what their header is
 
 
 @dataclass(frozen=True)
@@ -57,13 +59,12 @@ def _is_file(path: str) -> bool:
 
 def usable_paths(listed: str | None) -> list[str]:
     """Files of a comma-separated list; entries that can't be read are skipped with a warning."""
-    found = []
-    for path in (p.strip() for p in (listed or "").split(",")):
-        if path and _is_file(path):
-            found.append(path)
-        elif path:
-            log.warning("%s is no readable file: skipped", path)
-    return found
+    paths = [p for p in (p.strip() for p in (listed or "").split(",")) if p]
+    with ThreadPoolExecutor(_OPENERS) as pool:
+        usable = list(pool.map(_is_file, paths))
+    for path in (p for p, good in zip(paths, usable, strict=True) if not good):
+        log.warning("%s is no readable file: skipped", path)
+    return [p for p, good in zip(paths, usable, strict=True) if good]
 
 
 _INSIDE = re.compile(r'(?:[^"\\]|\\.|"")*+', re.DOTALL)
@@ -201,6 +202,7 @@ class QuotedCells(DataSource):
 
 
 def _pin_splits(spark: SparkSession) -> None:
+    """Set the least number of splits where the session doesn't: it would follow the number of executors, which may change between two passes over the same files."""
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
@@ -213,14 +215,27 @@ def _path_name(path: str) -> str:
     return os.path.normpath(unquote(re.sub(r"^file:/+", "/", path)))
 
 
+@dataclass(frozen=True)
+class Block:
+    """A block of a file: the row ids and the characters of its lines."""
+
+    file: str
+    start: int
+    file_no: int
+    first: int
+    n: int
+    chars: int
+
+
 @dataclass(frozen=True)
 class Lines:
-    """Numbered lines (file_no, line_no from 0, value) of some files; per file number of lines, first blank line (or None) and whether there are quotes or backslashes."""
+    """Numbered lines (file_no, line_no from 0, value) of some files; per file number of lines, first blank line (or None) and whether there are quotes; the blocks in order."""
 
     rows: DataFrame
     counts: dict[int, int]
     blank: dict[int, int | None]
     quoted: set[int]
+    blocks: list[Block]
 
 
 def number_lines(spark: SparkSession, paths: list[str], numbers: list[int], is_blank: Column | None = None) -> Lines:
@@ -235,21 +250,26 @@ def number_lines(spark: SparkSession, paths: list[str], numbers: list[int], is_b
     lines = _raw_lines(spark, paths)
     blank = is_blank if is_blank is not None else F.lit(False)
     seen = lines.groupBy("file", "block").agg(
-        F.min("at").alias("first"), F.count("*").alias("n"), F.min(F.when(blank, F.col("at"))).alias("blank_at"), F.max(value.contains('"') | value.contains("\\")).alias("quoted")
+        F.min("at").alias("first"), F.count("*").alias("n"), F.min(F.when(blank, F.col("at"))).alias("blank_at"), F.max(value.contains('"')).alias("quoted"), F.sum(F.length(value)).alias("chars")
     ).collect()
     number = {_path_name(p): n for p, n in zip(paths, numbers, strict=True)}
-    counts, first_blank, quoted, starts = dict.fromkeys(numbers, 0), dict.fromkeys(numbers), set(), []
+    counts, first_blank, quoted, blocks, starts = dict.fromkeys(numbers, 0), dict.fromkeys(numbers), set(), [], []
     for r in sorted(seen, key=lambda r: (r.file, r.block)):
         n = number[_path_name(r.file)]
+        blocks.append(Block(r.file, r.block, n, r.first, r.n, r.chars))
         starts.append((r.file, r.block, n, r.first - counts[n]))
         if r.blank_at is not None and first_blank[n] is None:
             first_blank[n] = counts[n] + r.blank_at - r.first
         counts[n] += r.n
         quoted |= {n} if r.quoted else set()
-    blocks = small_table(spark, starts, "file string, block bigint, file_no int, lead bigint")
-    placed = lines.join(blocks, ["file", "block"], "left")
-    lead = F.coalesce("lead", F.raise_error(F.lit("the files were split in another way than when their lines were counted")).cast("bigint"))
-    return Lines(placed.select("file_no", (F.col("at") - lead).alias("line_no"), "value"), counts, first_blank, quoted)
+    placed = _placed(lines, small_table(spark, starts, "file string, block bigint, file_no int, lead bigint"), "lead")
+    return Lines(placed.select("file_no", (F.col("at") - F.col("lead")).alias("line_no"), "value"), counts, first_blank, quoted, blocks)
+
+
+def _placed(lines: DataFrame, blocks: DataFrame, known: str) -> DataFrame:
+    """Lines with what is known of their block; a block of which nothing is known fails the job."""
+    moved = F.raise_error(F.lit("the files were split in another way than when their lines were counted")).cast("bigint")
+    return lines.join(blocks, ["file", "block"], "left").withColumn(known, F.coalesce(known, moved))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -269,90 +289,145 @@ def _header_cells(path: str, delim: str, quotes: bool) -> list[str]:
         return [c for c in text.readline().rstrip("\r\n").split(delim)]
 
 
-_PIECES = "file_no int, line_no bigint, block bigint, cells array<string>, text string"
+_EFFECTS = "file string, block bigint, at0 bigint, at1 bigint, open0 boolean, open1 boolean, n0 bigint, n1 bigint, closes bigint, tail0 bigint, tail1 bigint, blank0 bigint, blank1 bigint"
+
+
+def blank_form(delim: str, width: int) -> str:
+    """The form of a line that is a record without a filled cell among the first ``width``."""
+    more = rf'{re.escape(delim)}(?:"")?'
+    return rf'\A(?:"")?(?:(?:{more}){{0,{width - 1}}}\r?\z|(?:{more}){{{width - 1}}}{re.escape(delim)})'
+
+
+class _Effect:
+    """What the lines of a block do, for either way it may begin (0: at a record, 1: inside quotes). Only lines that hold a quote or may be blank come here."""
+
+    def __init__(self, file: str, block: int, at: int) -> None:
+        self.file, self.block, self.at0, self.at1 = file, block, at, at - 1
+        self.open, self.n, self.tail, self.blank = [False, True], [0, 0], [None, None], [None, None]
+        self.closes = None
+
+    def add(self, at: int, value: str, delim: str, is_blank: bool) -> None:
+        for i in (0, 1):
+            was = self.open[i]
+            if not was:
+                self.n[i] += at - self.at1 - 1  # lines between, which are records of their own
+                self.tail[i] = at
+            now = self.open[i] = ends_open(value, delim, was)
+            if not was and not now and is_blank and self.blank[i] is None:
+                self.blank[i] = self.n[i]
+            self.n[i] += not was
+            if i and was and not now and self.closes is None and self.tail[1] is None:
+                self.closes = at
+        self.at1 = at
+
+    def row(self) -> tuple:
+        tails = [t if o else None for t, o in zip(self.tail, self.open, strict=True)]
+        return (self.file, self.block, self.at0, self.at1, *self.open, *self.n, self.closes, *tails, *self.blank)
 
 
 def _effects(batches: Iterator[pa.RecordBatch], delim: str) -> Iterator[pa.RecordBatch]:
-    """Per block, for either way it may begin (at a record, inside quotes): whether it ends inside quotes and how many records begin in it."""
-    key, state, begun, out = None, [False, True], [0, 0], []
+    now, out = None, []
     for batch in batches:
-        for value, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")), strict=True):
-            if key != (file, block):
-                if key:
-                    out.append((*key, *state, *begun))
-                key, state, begun = (file, block), [False, True], [0, 0]
-            for i in (0, 1):
-                begun[i] += not state[i]
-                state[i] = ends_open(value, delim, state[i])
-    if key:
-        out.append((*key, *state, *begun))
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
-    columns = list(zip(*out, strict=True)) or [()] * 6
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "block", "open0", "open1", "n0", "n1"])
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], delim: str, places: dict, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Records that lie in one block (``whole``), or else the pieces of those that don't, with the number of their record."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
-    out: list[tuple] = []
-    key, held, number, file_no, is_open, head = None, [], 0, 0, False, False
-
-    def emit(closed: bool) -> None:
-        crosses = head or not closed
-        if held and crosses != whole:
-            text = "\n".join(held)
-            out.append((file_no, number - 1, key[1], None, text) if crosses else (file_no, number - 1, key[1], split_record(text, delim), None))
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file_no", "line_no", "block", "cells", "text"])
-
+        for value, file, block, at, blank in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block", "at", "blank")), strict=True):
+            if now is None or (now.file, now.block) != (file, block):
+                out += [now.row()] if now else []
+                now = _Effect(file, block, at)
+            now.add(at, value, delim, blank)
+    out += [now.row()] if now else []
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 7]
+    columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split(" ")[0] for c in _EFFECTS.split(", ")])
+
+
+def _whole_records(batches: Iterator[pa.RecordBatch], delim: str) -> Iterator[pa.RecordBatch]:
+    """Records of lines that come block by block, each from the beginning of a record (``begun``) to the end of one."""
+    kinds, names = [pa.int32(), pa.int64(), pa.list_(pa.string())], ["file_no", "line_no", "cells"]
+    key, number, held, is_open, out = None, 0, [], False, []
     for batch in batches:
-        for value, file, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")), strict=True):
-            if key != (file, block):
-                emit(False)
-                key, held = (file, block), []
-                file_no, number, is_open = places[key]  # a block that wasn't seen before fails the job
-                head = is_open
-            if not is_open and not held:
+        for value, file_no, block, begun in zip(*(batch.column(c).to_pylist() for c in ("value", "file_no", "block", "begun")), strict=True):
+            if key != (file_no, block):
+                key, number, held, is_open = (file_no, block), begun, [], False
+            if not is_open and '"' not in value:
+                out.append((file_no, number, split_record(value, delim)))
                 number += 1
+                continue
             held.append(value)
             is_open = ends_open(value, delim, is_open)
             if not is_open:
-                emit(True)
-                held, head = [], False
-        yield flush()
-        out.clear()
-    emit(False)
-    yield flush()
+                out.append((file_no, number, split_record("\n".join(held), delim)))
+                number, held = number + 1, []
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        out = []
 
 
-def quoted_records(spark: SparkSession, paths: list[str], numbers: list[int], delim: str) -> DataFrame:
-    """Records (file_no, line_no from 0, cells) of quoted text files, whose records may hold line feeds, in splittable scans.
+@dataclass(frozen=True)
+class Records:
+    """Records (file_no, line_no from 0, cells); per file their number, the first blank one after the header, and whether that can't be told without looking at the rows."""
 
-    What a block does to the state "inside quotes" is a function of two values; the functions are composed over a file's blocks, one row per block, which tells how
-    each block begins. Then blocks are parsed independently; a record that crosses blocks is put together of its pieces, keyed by its number.
+    rows: DataFrame
+    counts: dict[int, int]
+    blank: dict[int, int | None]
+    unsure: set[int]
+
+
+def quoted_records(spark: SparkSession, paths: list[str], numbers: list[int], delim: str, width: int = 1, blocks: list[Block] | None = None, most: int = MOST_CHARS) -> Records:
+    """Records of quoted text files, which may hold line feeds, in splittable scans.
+
+    What a block does to the state "inside quotes" is a function of two values, and only lines with a quote say which; the functions are composed over a file's
+    blocks, one row per block, which tells how each block begins, where its first whole record starts and where its last one ends. Then every block's whole records are
+    parsed on their own, once; the lines of a record that crosses blocks are put together by a shuffle. A quote that is never closed would take the rest of
+    the file into one record: one of more than ``most`` characters is an error. ``blocks``: those of ``number_lines`` for the same paths.
     """
-    _pin_splits(spark)
-    lines = _raw_lines(spark, paths).select("value", "file", "block")
-    seen = lines.mapInArrow(lambda b: _effects(b, delim), "file string, block bigint, open0 boolean, open1 boolean, n0 bigint, n1 bigint").collect()
-    number = {_path_name(p): n for p, n in zip(paths, numbers, strict=True)}
-    places, file, is_open, begun, crossing = {}, None, False, 0, False
-    for r in sorted(seen, key=lambda r: (r.file, r.block)):
-        if r.file != file:
-            file, is_open, begun = r.file, False, 0
-        places[(r.file, r.block)] = (number[_path_name(r.file)], begun, is_open)
-        crossing |= is_open
-        begun += r.n1 if is_open else r.n0
-        is_open = r.open1 if is_open else r.open0
-    shared = spark.sparkContext.broadcast(places)
-    whole = lines.mapInArrow(lambda b: _pieces(b, delim, shared.value, True), _PIECES).select("file_no", "line_no", "cells")
-    # an open quote at the end of a file closes there: its last record is a piece too
-    if not crossing and not is_open and not any(r.open0 for r in seen):
-        return whole
-    pieces = lines.mapInArrow(lambda b: _pieces(b, delim, shared.value, False), _PIECES)
-    joined = pieces.groupBy("file_no", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda p: p["text"]), "\n").alias("text"))
-    return whole.unionByName(joined.mapInArrow(lambda b: _joined(b, delim), CELLS))
+    blocks = number_lines(spark, paths, numbers).blocks if blocks is None else blocks
+    lines = _raw_lines(spark, paths)
+    value = F.col("value")
+    marked = lines.withColumn("blank", value.rlike(blank_form(delim, width))).where(F.col("blank") | value.contains('"'))
+    effects = {(r.file, r.block): r for r in marked.mapInArrow(lambda b: _effects(b, delim), _EFFECTS).collect()}
+    places, counts, blank, unsure, crossing = [], dict.fromkeys(numbers, 0), dict.fromkeys(numbers), set(), {}
+    file_no, is_open, begun = None, False, 0
+    for b in blocks:
+        if b.file_no != file_no:
+            file_no, is_open, begun = b.file_no, False, 0
+        e, s, start, end = effects.get((b.file, b.start)), int(is_open), begun, b.first + b.n
+        head, tail = (end - 1, end) if s else (b.first - 1, end)  # lines up to head and from tail on are pieces
+        if e is None:
+            begun += 0 if s else b.n
+        else:
+            before = 0 if s else e.at0 - b.first
+            is_open = (e.open0, e.open1)[s]
+            found = (e.blank0, e.blank1)[s]
+            if found is not None and blank[file_no] is None:
+                blank[file_no] = begun + before + found
+                unsure |= {file_no} if blank[file_no] == 0 else set()
+            begun += before + (e.n0, e.n1)[s] + (0 if is_open else end - 1 - e.at1)
+            if s and e.closes is not None:
+                head = e.closes
+            if is_open and not (s and e.closes is None):
+                tail = (e.tail0, e.tail1)[s]
+        for n, pieces in ((start - 1, head >= b.first), (begun - 1, tail < end)):
+            if pieces:
+                crossing[file_no, n] = crossing.get((file_no, n), 0) + b.chars
+        counts[file_no] = begun
+        unsure = unsure | {file_no} if is_open else unsure - ({file_no} if blank[file_no] != 0 else set())
+        places.append((b.file, b.start, file_no, start, begun, head, tail))
+    at = small_table(spark, places, "file string, block bigint, file_no int, begun bigint, ended bigint, head bigint, tail bigint")
+    placed = _placed(lines, at, "begun")
+    inside = placed.where((F.col("at") > F.col("head")) & (F.col("at") < F.col("tail"))).select("value", "file_no", "block", "begun", "at")
+    if len(places) > MOST_BROADCAST:  # joined by a shuffle: lines of a block together and in order again
+        inside = inside.repartition("file_no", "block").sortWithinPartitions("file_no", "block", "at")
+    whole = inside.mapInArrow(lambda b: _whole_records(b, delim), CELLS)
+    if not crossing:
+        return Records(whole, counts, blank, unsure)
+    ends = F.when(F.col("at") <= F.col("head"), F.col("begun")).otherwise(F.col("ended")) - 1
+    pieces = placed.where((F.col("at") <= F.col("head")) | (F.col("at") >= F.col("tail"))).select("file_no", ends.alias("line_no"), "block", "at", "value")
+    if max(crossing.values()) > most:
+        longest = pieces.groupBy("file_no", "line_no").agg(F.sum(F.length("value") + 1).alias("chars")).orderBy(F.desc("chars")).first()
+        if longest.chars > most:
+            path = dict(zip(numbers, paths, strict=True))[longest.file_no]
+            raise ValueError(f"{path}: record {longest.line_no} has {longest.chars} characters; is a quote never closed?")
+    joined = pieces.groupBy("file_no", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda p: p["value"]), "\n").alias("text"))
+    return Records(whole.unionByName(joined.mapInArrow(lambda b: _joined(b, delim), CELLS)), counts, blank, unsure)
 
 
 def _joined(batches: Iterator[pa.RecordBatch], delim: str) -> Iterator[pa.RecordBatch]:
@@ -361,8 +436,19 @@ def _joined(batches: Iterator[pa.RecordBatch], delim: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("file_no"), batch.column("line_no"), cells], names=["file_no", "line_no", "cells"])
 
 
-def _plain_files(spark: SparkSession, group: list[tuple[int, str]], fields: list[HeaderField], delim: str, quotes: bool) -> tuple[list[CellFile], list[tuple[int, str]]]:
-    """Files of one header in one scan, and those that need the quoted reader."""
+def _quoted_files(spark: SparkSession, group: list[tuple[int, str]], fields: list[HeaderField], delim: str, blocks: list[Block] | None) -> CellFile:
+    """Quoted files of one header, cut at the first blank record of each."""
+    records_of = quoted_records(spark, [p for _, p in group], [n for n, _ in group], delim, max(len(fields), 1), blocks)
+    data = CellFile(",".join(p for _, p in group), fields, records_of.rows.where("line_no > 0"))
+    if records_of.unsure:
+        return settled(data)
+    kept = {n: max(0, (c if records_of.blank[n] is None else records_of.blank[n]) - 1) for n, c in records_of.counts.items()}
+    last = small_table(spark, list(kept.items()), "file_no int, last bigint")
+    return CellFile(data.path, fields, data.rows.join(last, "file_no").where("line_no <= last").drop("last"), kept)
+
+
+def _plain_files(spark: SparkSession, group: list[tuple[int, str]], fields: list[HeaderField], delim: str, quotes: bool) -> tuple[list[CellFile], list[tuple[int, str]], list[Block] | None]:
+    """Files of one header in one scan, those that need the quoted reader, and the blocks of these if they are known."""
     value = F.col("value")
     empty = F.array_join(F.slice(split_plain(value, delim), 1, max(len(fields), 1)), "") == ""
     blank = F.when((value == "") | value.startswith(delim) | value.startswith("\r"), empty).otherwise(False)
@@ -370,7 +456,7 @@ def _plain_files(spark: SparkSession, group: list[tuple[int, str]], fields: list
     left = [(n, p) for n, p in group if quotes and n in lines.quoted]
     plain = [n for n, p in group if (n, p) not in left]
     if not plain:
-        return [], left
+        return [], left, lines.blocks
     # the header is line 0 and never a stop; a blank first line is a header without names
     kept = {n: max(0, (lines.counts[n] if not lines.blank[n] else lines.blank[n]) - 1) for n in plain}
     last = small_table(spark, list(kept.items()), "file_no int, last bigint")
@@ -380,7 +466,7 @@ def _plain_files(spark: SparkSession, group: list[tuple[int, str]], fields: list
     # from copying the split into each expression that reads a cell.
     cells = F.when(inside & (F.monotonically_increasing_id() >= 0), split_plain(value, delim)).alias("cells")
     cut = rows.join(last, "file_no").where(inside).select("file_no", "line_no", cells)
-    return [CellFile(",".join(p for n, p in group if n in kept), fields, cut, kept)], left
+    return [CellFile(",".join(p for n, p in group if n in kept), fields, cut, kept)], left, None
 
 
 def read_cells(spark: SparkSession, paths: list[str], delim: str = "\t", quotes: bool = True, first_number: int = 1) -> list[CellFile]:
@@ -390,23 +476,22 @@ def read_cells(spark: SparkSession, paths: list[str], delim: str = "\t", quotes:
     """
     spark.dataSource.register(QuotedCells)
     groups: dict[tuple[str, ...], list[tuple[int, str]]] = {}
-    for number, path in enumerate(paths, first_number):
-        groups.setdefault(tuple(_header_cells(path, delim, quotes)), []).append((number, path))
+    with ThreadPoolExecutor(_OPENERS) as pool:
+        headers = list(pool.map(lambda p: tuple(_header_cells(p, delim, quotes)), paths))
+    for (number, path), header in zip(enumerate(paths, first_number), headers, strict=True):
+        groups.setdefault(header, []).append((number, path))
     out = []
     for header, group in groups.items():
         fields = parse_header(list(header))
         zips = [(n, p) for n, p in group if p.endswith(".zip")]
         text = [(n, p) for n, p in group if not p.endswith(".zip")]
-        plain, left = _plain_files(spark, text, fields, delim, quotes) if text else ([], [])
+        plain, left, blocks = _plain_files(spark, text, fields, delim, quotes) if text else ([], [], None)
         out += plain
-        parts = []
         if left:
-            quoted = quoted_records(spark, [p for _, p in left], [n for n, _ in left], delim)
-            parts.append(quoted.where("line_no > 0"))
+            out.append(_quoted_files(spark, left, fields, delim, blocks))
         if zips:
             options = {"paths": "\n".join(p for _, p in zips), "numbers": ",".join(str(n) for n, _ in zips), "delim": delim, "quotes": str(quotes).lower()}
-            parts.append(spark.read.format("quoted_cells").options(**options).load())
-        out += [settled(CellFile(",".join(p for _, p in left + zips), fields, union_cells(parts)))] if parts else []
+            out.append(settled(CellFile(",".join(p for _, p in zips), fields, spark.read.format("quoted_cells").options(**options).load())))
     return out
 
 
@@ -423,7 +508,3 @@ def cells_from_table(table: DataFrame, columns: list[str | Column], order: str,
     """A table's columns rendered as cells; ``order`` gives line_no, which must tell the rows' order but need not be dense."""
     cells = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
     return table.select(F.lit(file_no).cast("int").alias("file_no"), F.col(order).cast("bigint").alias("line_no"), F.array(*cells).alias("cells"))
-
-
-def union_cells(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
