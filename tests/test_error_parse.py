@@ -69,6 +69,38 @@ def test_very_long_record():
     assert parse_record("a\t" * 50_000, "nodes", NODES, "\t").rule == "count"
 
 
+def test_memory_of_a_record_of_quotes():
+    """A megabyte of quotes inside plain cells, each of which has to go; and many columns."""
+    import tracemalloc
+
+    tracemalloc.start()
+    cost, edits = cheapest('a"' * 150_000 + ",b", ",", frozenset({2}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cost == len(edits) and cost <= 150_000 and peak < 90e6, peak
+    cost, edits = cheapest(",".join(["a"] * 250), ",", frozenset({500}))
+    assert (cost, set(edits)) == (250, {f"insert delimiter@{e.split('@')[1]}" for e in edits})
+
+
+def test_records_without_quotes_are_judged_as_those_with(spark):
+    """The expressions against the parse of one record."""
+    import random
+
+    rng = random.Random(5)
+    heads = [("nodes", NODES, "\t"), ("nodes2", "name|age:long|score:double|w:float|k:LONG", "|"), ("rels", RELS, "\t"), ("rels", "a,b", ","), ("nodes", "age", "."), (None, "x:int,y", ","), ("nodes", None, ","), ("nodes", "x", "")]
+    cells = ["1", "-7", "+0", "2147483648", "9223372036854775808", "00000000000000000000012", "1.5", "1e5", ".5", "x", "", " 1", "１", "a\x7f", "  ", "\ufffd", "é", "\r", '"q"', '"']
+    files = spark.createDataFrame([(i, *h) for i, h in enumerate(heads)], "file_no int, series string, header string, delim string")
+    rows = []
+    for i in range(3000):
+        k = rng.randrange(len(heads))
+        n = len((heads[k][1] or "a").split(heads[k][2] or ",")) + rng.choice([0, 0, 0, 0, -1, 1])
+        rows.append((i, k, i, (heads[k][2] or ",").join(rng.choice(cells) for _ in range(max(n, 1))) + rng.choice(["", "", "\r"])))
+    got = {r.line_id: r for r in parse_records(spark.createDataFrame(rows, "line_id bigint, file_no int, line_no bigint, line string"), files).collect()}
+    for i, k, _, line in rows:
+        want = parse_record(line, *heads[k])
+        assert (got[i].rule, got[i].cost, got[i].edits, got[i].cells) == (want.rule, want.cost, want.edits, want.cells), (heads[k], line)
+
+
 def test_frames(spark):
     files = spark.createDataFrame([(1, "nodes", NODES, "\t", "clash"), (2, "rels", RELS.replace("\t", "|"), "|", "clash")], "file_no int, series string, header string, delim string, line string")
     lines = spark.createDataFrame(

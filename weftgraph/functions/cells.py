@@ -21,6 +21,11 @@ def as_int(cell: Column) -> Column:
     return F.when(cell.rlike(INT_FORM), cell.try_cast("bigint").try_cast("int"))
 
 
+def as_long(cell: Column) -> Column:
+    """The 64-bit number a cell holds, else null."""
+    return F.when(cell.rlike(INT_FORM), cell.try_cast("bigint"))
+
+
 def as_day(cell: Column) -> Column:
     """The date of a yyyy-mm-dd cell, else null; there is no year 0."""
     return F.when(cell.rlike(DAY_FORM) & ~cell.startswith("0000"), cell.try_cast("date"))

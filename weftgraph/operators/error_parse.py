@@ -3,15 +3,17 @@
 A record is read by a grammar of cells: a quoted cell runs to the quote that stands before a delimiter or the end (a backslash takes
 the next character, a doubled quote is one quote), any other cell holds no quote. The parse may insert or delete quotes and
 delimiters at a cost of one each. The states of the dynamic program are (token, cell number, mode); costs are settled in layers 0, 1,
-2, ... Layer 0 is the grammar itself and has one path at most, so it runs as a plain scan; only records that it can't accept go on to
-the layers above. Cost 0 with type-valid cells loads; otherwise the edits, or the cells of a wrong type, are the reason.
+2, ... Layer 0 is the grammar itself and has one path at most: of records without quotes it is a split, done by built-in expressions, of others a
+plain scan. Only records that it can't accept go on to the layers above. Cost 0 with type-valid cells loads; otherwise the edits, or the cells of a
+wrong type, are the reason. Cells of tables that are loaded already have been read at cost 0: the same test of types and keys judges them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
@@ -19,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.cells import FLOAT_FORM, INT_FORM, as_int, is_blank, is_key
+from weftgraph.functions.cells import FLOAT_FORM, as_int, as_long, is_key
 
 _INT = re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _BAD_KEY = re.compile(r"[\x00-\x1f\x7f�]")
 _BITS = {"int": 32, "long": 64}
-_START, _PLAIN, _QUOTED, _ESCAPE, _CLOSED = range(5)
+_START, _PLAIN, _QUOTED, _ESCAPE, _CLOSED = _MODES = range(5)
+_TEXT, _QUOTE, _BACKSLASH, _DELIM = range(4)
+_KEEP, _DELETE, _PUT_QUOTE, _PUT_DELIM = range(4)
+_EDITS = {(_DELETE, _QUOTE): "delete quote", (_DELETE, _DELIM): "delete delimiter", _PUT_QUOTE: "insert quote", _PUT_DELIM: "insert delimiter"}
 
 
 class Parse(NamedTuple):
@@ -87,7 +92,7 @@ def _scanner(delim: str) -> re.Pattern:
     return re.compile(rf'(?:"((?:[^"\\]|\\.|"")*+)"|([^"{d}]*+))(?:({d})|\Z)', re.DOTALL)
 
 
-_ESCAPE = re.compile(r'\\(.)|""', re.DOTALL)
+_TAKEN = re.compile(r'\\(.)|""', re.DOTALL)
 
 
 def scan(record: str, delim: str) -> list[str] | None:
@@ -97,7 +102,7 @@ def scan(record: str, delim: str) -> list[str] | None:
     cells, at, cell = [], 0, _scanner(delim)
     while m := cell.match(record, at):
         quoted = m.group(1)
-        cells.append(m.group(2) if quoted is None else _ESCAPE.sub(lambda e: e.group(1) or '"', quoted))
+        cells.append(m.group(2) if quoted is None else _TAKEN.sub(lambda e: e.group(1) or '"', quoted))
         if m.group(3) is None:
             return cells
         at = m.end()
@@ -107,71 +112,84 @@ def scan(record: str, delim: str) -> list[str] | None:
 @lru_cache(maxsize=64)
 def _tokens(delim: str) -> re.Pattern:
     d = re.escape(delim)
-    return re.compile(rf'["\\{d}]|[^"\\{d}]+', re.DOTALL)
+    return re.compile(rf'(")|(\\)|({d})|[^"\\{d}]+', re.DOTALL)
 
 
 def cheapest(record: str, delim: str, counts: frozenset[int]) -> tuple[int, list[str]]:
-    """The lowest cost at which the record has one of ``counts`` cells, and the edits of one such parse with their offsets."""
-    found = list(_tokens(delim).finditer(record))
-    toks = [m.group() for m in found]
-    offset = [m.start() for m in found] + [len(record)]
-    n, most = len(toks), max(counts)
-    begin = (0, 0, _START)
-    cost: dict[tuple[int, int, int], int] = {begin: 0}
-    came: dict[tuple[int, int, int], tuple[tuple[int, int, int], str | None]] = {}
-    queue: deque[tuple[int, int, int]] = deque([begin])
-    done: set[tuple[int, int, int]] = set()
-
-    def step(old: tuple[int, int, int], new: tuple[int, int, int], edit: str | None) -> None:
-        c = cost[old] + (edit is not None)
-        if new[1] < most and c < cost.get(new, 1 << 30):
-            cost[new], came[new] = c, (old, edit)
-            queue.append(new) if edit else queue.appendleft(new)
-
-    while queue:
-        s = queue.popleft()
-        if s in done:
-            continue
-        done.add(s)
-        i, k, mode = s
-        if i == n and mode not in (_QUOTED, _ESCAPE) and k + 1 in counts:
-            edits, at = [], s
-            while at != begin:
-                at, edit = came[at]
-                if edit:
-                    edits.append(edit)
-            return cost[s], edits[::-1]
-        here = f"@{offset[i]}"
-        if mode == _ESCAPE:  # the backslash takes whatever comes next once the edits are done
-            if i < n:
-                step(s, (i + 1, k, _QUOTED), None)
-                if toks[i] in ('"', delim):
-                    step(s, (i + 1, k, _ESCAPE), f"delete {'quote' if toks[i] == '"' else 'delimiter'}{here}")
-            step(s, (i, k, _QUOTED), f"insert quote{here}")
-            continue
-        if mode == _QUOTED:
-            if i < n:
-                tok = toks[i]
-                step(s, (i + 1, k, {'"': _CLOSED, "\\": _ESCAPE}.get(tok, _QUOTED)), None)
-                if tok == '"':
-                    step(s, (i + 1, k, _QUOTED), f"delete quote{here}")
-            step(s, (i, k, _CLOSED), f"insert quote{here}")
-            continue
-        if i < n:
-            tok = toks[i]
-            if tok == delim:
-                step(s, (i + 1, k + 1, _START), None)
-                step(s, (i + 1, k, mode), f"delete delimiter{here}")
-            elif tok == '"':
-                if mode != _PLAIN:  # at the beginning it opens, after a closing quote the two are one quote
-                    step(s, (i + 1, k, _QUOTED), None)
-                step(s, (i + 1, k, mode), f"delete quote{here}")
-            elif mode != _CLOSED:
-                step(s, (i + 1, k, _PLAIN), None)
-        if mode != _PLAIN:
-            step(s, (i, k, _QUOTED), f"insert quote{here}")
-        step(s, (i, k + 1, _START), f"insert delimiter{here}")
-    raise AssertionError("a parse always exists: every quote and delimiter can be deleted, every delimiter inserted")
+    """The lowest cost at which the record has one of ``counts`` cells, and the edits of one such parse with their offsets.
+
+    A state takes one byte, its way back; a layer is what the one before reaches with one edit, and all that these reach without. Memory: five bytes for each
+    token and cell, and a layer's states.
+    """
+    kinds, offset = bytearray(), array("q")
+    for m in _tokens(delim).finditer(record):
+        kinds.append(m.lastindex or _TEXT)
+        offset.append(m.start())
+    offset.append(len(record))
+    n, most = len(kinds), max(counts)
+    way = bytearray((n + 1) * most * 5)  # 0: not reached; else 1 + 5 * move + the mode it was reached from
+    ends = {(n * most + k - 1) * 5 + mode for k in counts if k for mode in (_START, _PLAIN, _CLOSED)}
+    here, ahead = array("q", [_START, 1]), array("q")  # pairs of a state and its way back
+    cost = 0
+    while True:
+        while here:
+            back = here.pop()
+            s = here.pop()
+            if way[s]:
+                continue
+            way[s] = back
+            if s in ends:
+                return cost, _edits(way, s, kinds, offset, most)
+            at, mode = divmod(s, 5)
+            i, k = divmod(at, most)
+            kind = kinds[i] if i < n else None
+            stay, on = 1 + mode, (at + most) * 5  # on: the same cell at the next token
+            if mode == _ESCAPE:  # the backslash takes whatever comes next once the edits are done
+                if kind is not None:
+                    here.extend((on + _QUOTED, stay))
+                    if kind in (_QUOTE, _DELIM):
+                        ahead.extend((on + _ESCAPE, stay + 5 * _DELETE))
+                ahead.extend((at * 5 + _QUOTED, stay + 5 * _PUT_QUOTE))
+            elif mode == _QUOTED:
+                if kind is not None:
+                    here.extend((on + (_CLOSED if kind == _QUOTE else _ESCAPE if kind == _BACKSLASH else _QUOTED), stay))
+                    if kind == _QUOTE:
+                        ahead.extend((on + _QUOTED, stay + 5 * _DELETE))
+                ahead.extend((at * 5 + _CLOSED, stay + 5 * _PUT_QUOTE))
+            else:
+                if kind == _DELIM:
+                    if k + 1 < most:
+                        here.extend((on + 5 + _START, stay))
+                    ahead.extend((on + mode, stay + 5 * _DELETE))
+                elif kind == _QUOTE:
+                    if mode != _PLAIN:  # at the beginning it opens, after a closing quote the two are one quote
+                        here.extend((on + _QUOTED, stay))
+                    ahead.extend((on + mode, stay + 5 * _DELETE))
+                elif kind is not None and mode != _CLOSED:
+                    here.extend((on + _PLAIN, stay))
+                if mode != _PLAIN:
+                    ahead.extend((at * 5 + _QUOTED, stay + 5 * _PUT_QUOTE))
+                if k + 1 < most:
+                    ahead.extend(((at + 1) * 5 + _START, stay + 5 * _PUT_DELIM))
+        here, ahead, cost = ahead, array("q"), cost + 1
+        if not here:
+            raise AssertionError("a parse always exists: every quote and delimiter can be deleted, every delimiter inserted")
+
+
+def _edits(way: bytearray, s: int, kinds: bytearray, offset: array, most: int) -> list[str]:
+    edits = []
+    while s != _START:
+        at, mode = divmod(s, 5)
+        move, was = divmod(way[s] - 1, 5)
+        if move == _PUT_DELIM or (move == _KEEP and mode == _START):
+            at -= 1
+        if move in (_KEEP, _DELETE):
+            at -= most
+        if move != _KEEP:
+            i = at // most
+            edits.append(f"{_EDITS[(move, kinds[i]) if move == _DELETE else move]}@{offset[i]}")
+        s = at * 5 + was
+    return edits[::-1]
 
 
 def parse_record(line: str | None, series: str | None, header: str | None, delim: str | None) -> Parse:
@@ -213,58 +231,98 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], failed: bool, loaded: bool
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, kinds, strict=True)], names=names)
 
 
+def _is_bad(cell: Column, kind: Column | str) -> Column:
+    """Whether a cell that isn't null doesn't convert to ``kind``; an empty one always does."""
+    bad = {"int": as_int(cell).isNull(), "long": as_long(cell).isNull(), "double": ~cell.rlike(FLOAT_FORM), "float": ~cell.rlike(FLOAT_FORM)}
+    if isinstance(kind, str):
+        return (cell != "") & bad[kind] if kind in bad else F.lit(False)
+    return (cell != "") & reduce(lambda w, k: w.when(kind == k, bad[k]), bad, F.when(F.lit(False), F.lit(False))).otherwise(False)
+
+
+def _reasons(*reasons: Column) -> Column:
+    return F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
+
+
 def parse_records(lines: DataFrame, files: DataFrame, failed: bool = True, loaded: bool = True) -> DataFrame:
     """Parse ``lines`` (line_id, file_no, line_no, line) by the headers of ``files`` (file_no, series, header, delim).
 
     One row per record, see ``PARSED``; ``failed`` and ``loaded`` choose which come out. The headers join by file_no; Catalyst broadcasts
-    them where their size is under its limit and else shuffles, with adaptive skew handling for a file that holds most lines. Other
-    columns of either input are ignored. Empty tables give no rows.
+    them where their size is under its limit and else shuffles, with adaptive skew handling for a file that holds most lines. Records without a quote
+    whose count of cells is right don't leave the JVM. Other columns of either input are ignored. Empty tables give no rows.
     """
-    heads = files.select("file_no", "series", "header", "delim")
+    parts = F.transform(F.split("header", F.concat(F.lit(r"\Q"), "delim", F.lit(r"\E")), -1), lambda h: F.split(h, ":"))
+    kind = lambda p: F.when(F.get(p, F.lit(0)) == "age", "int").otherwise(F.coalesce(F.nullif(F.lower(F.get(p, F.lit(1))), F.lit("")), F.lit("string")))
+    heads = files.select("file_no", "series", "header", "delim", F.transform(parts, lambda p: F.get(p, F.lit(0))).alias("fields"), F.transform(parts, kind).alias("kinds"))
     joined = lines.select("line_id", "file_no", "line_no", "line").join(heads, "file_no", "left")
-    return joined.mapInArrow(lambda batches: _parse_batches(batches, failed, loaded), PARSED)
-
-
-def failed_cells(table: DataFrame, row_key: str, tbl: str, checks: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Records of an already loaded table one of whose cells doesn't convert: (tbl, row_key, cells, edits), the failing cells and the reason of each.
-
-    ``checks`` maps a cell to the condition under which it fails, which is never null, and to what it isn't.
-    """
-    faults = F.filter(
-        F.array(*[F.struct(F.col(c).alias("cell"), F.when(bad, F.lit(f"{c} is no {what}")).alias("reason")) for c, (bad, what) in checks.items()]),
-        lambda x: x["reason"].isNotNull(),
-    )
-    key = F.col(row_key).cast("bigint").alias("row_key")
-    return table.where(_fails(checks)).select(F.lit(tbl).alias("tbl"), key, F.transform(faults, lambda x: x["cell"]).alias("cells"), F.transform(faults, lambda x: x["reason"]).alias("edits"))
-
-
-def _fails(checks: dict[str, tuple[Column, str]]) -> Column:
-    return reduce(lambda x, y: x | y, [bad for bad, _ in checks.values()])
-
-
-def node_checks() -> dict[str, tuple[Column, str]]:
-    """What ``failed_cells`` asks of the table nodes."""
-    return {"age": (~is_blank(F.col("age")) & as_int(F.col("age")).isNull(), "int")}
-
-
-def rel_checks() -> dict[str, tuple[Column, str]]:
-    """What ``failed_cells`` asks of the table rels."""
-    return {c: (~is_key(F.col(c)), "key") for c in ("c0", "c1")}
-
-
-def loaded_cells(table: DataFrame, row_key: str, tbl: str, checks: dict[str, tuple[Column, str]], kinds: dict[str, tuple[str, str]]) -> DataFrame:
-    """The other records of an already loaded table: (tbl, row_key, cells), cells as those of ``typed_cells``.
-
-    ``kinds`` maps a column to the field and the type of its header cell. A cell that no check is made of and that isn't of its type keeps its
-    text and has no number.
+    record = F.when(F.col("line").endswith("\r"), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
+    plain = (F.col("delim") != "") & ~F.col("line").contains('"') & F.col("header").isNotNull()
+    short = F.col("series").isin("nodes", "nodes2") & (F.size("cells") == F.size("fields") - 1)
+    cut = joined.withColumn("cells", F.when(plain, F.split(record, F.concat(F.lit(r"\Q"), "delim", F.lit(r"\E")), -1)))
+    simple = F.coalesce((F.size("cells") == F.size("fields")) | short, F.lit(False)) & F.col("cells").isNotNull()
+    values = F.transform("cells", lambda c, i: F.when(_is_bad(c, F.get("kinds", i)), F.concat(F.get("fields", i), F.lit(" is no "), F.get("kinds", i))))
+    keys = _reasons(*[F.when((F.col("series") == "rels") & ~is_key(F.get("cells", F.lit(i))), F.lit(f"cell {i} is no key")) for i in (0, 1)])
+    easy = cut.where(simple).withColumn("edits", F.concat(F.array_compact(values), keys)).withColumn("rule", F.when(F.size("edits") > 0, "value"))
+    if not (failed and loaded):
+        easy = easy.where(F.col("rule").isNotNull() if failed else F.col("rule").isNull() if loaded else F.lit(False))
+    ok = F.col("rule").isNull()
+    easy = easy.select("line_id", "file_no", "line_no", "series", F.lit(0).alias("cost"), "rule", "edits", F.when(ok, F.col("fields")).alias("fields"), F.when(ok, F.col("kinds")).alias("kinds"), "cells")
+    hard = cut.where(~simple).select("line_id", "file_no", "line_no", "series", "header", "delim", "line")
+    return easy.unionByName(hard.mapInArrow(lambda batches: _parse_batches(batches, failed, loaded), PARSED))
+
+
+@dataclass(frozen=True)
+class CellTable:
+    """Records of a table whose cells are read already. ``fields``: name and type of a column's header cell, by column; ``checked``: the columns whose cells must convert; ``keys``: those that must be keys."""
+
+    tbl: str
+    table: DataFrame
+    row_key: str
+    fields: dict[str, tuple[str, str]]
+    checked: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()
+
+    def reasons(self) -> list[tuple[str, Column]]:
+        """Per column that is tested the reason why its cell fails, null where it doesn't."""
+        values = [(c, F.when(_is_bad(F.col(f"`{c}`"), self.fields[c][1]), F.lit(f"{c} is no {self.fields[c][1]}"))) for c in self.checked]
+        return values + [(c, F.when(~is_key(F.col(f"`{c}`")), F.lit(f"{c} is no key"))) for c in self.keys]
+
+    def fails(self) -> Column:
+        return reduce(lambda x, y: x | y, [r.isNotNull() for _, r in self.reasons()], F.lit(False))
+
+
+JUDGED = ("tbl", "row_key", "series", "file_no", "line_no", "rule", "cost", "edits", "cells")
+
+
+def failed_records(lines: DataFrame, files: DataFrame, tables: list[CellTable]) -> DataFrame:
+    """Every record that fails, of raw lines and of tables alike: see ``JUDGED``. ``rule`` and ``edits`` are the reason; ``cells`` the cells, of tables those that fail, null where a line can't be cut into cells."""
+    out = parse_records(lines, files, loaded=False).select(F.lit("raw_lines").alias("tbl"), F.col("line_id").alias("row_key"), *JUDGED[2:])
+    for t in tables:
+        faults = F.filter(F.array(*[F.struct(F.col(f"`{c}`").alias("cell"), r.alias("reason")) for c, r in t.reasons()]), lambda x: x["reason"].isNotNull())
+        made = {"tbl": F.lit(t.tbl), "row_key": F.col(t.row_key).cast("bigint"), "series": F.lit(t.tbl), "file_no": F.lit(None).cast("int"), "line_no": F.lit(None).cast("bigint"), "rule": F.lit("value"), "cost": F.lit(0)}
+        made |= {"edits": F.transform(faults, lambda x: x["reason"]), "cells": F.transform(faults, lambda x: x["cell"])}
+        out = out.unionByName(t.table.where(t.fails()).select(*[made[c].alias(c) for c in JUDGED]))
+    return out
+
+
+def loaded_records(lines: DataFrame, files: DataFrame, tables: list[CellTable], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every other record as typed cells (see ``typed_cells``): tbl, row_key, series, file_no, line_no, cells, and the columns ``keep`` of tables that have them, null elsewhere.
+
+    A cell of a table that isn't tested and isn't of its type keeps its text and has no number.
     """
-    cells = []
-    for column, (name, kind) in kinds.items():
-        cell = F.col(f"`{column}`")
-        whole = F.when(cell.rlike(INT_FORM), cell.try_cast("bigint")) if kind in ("int", "long") else F.lit(None).cast("bigint")
-        real = F.when(cell.rlike(FLOAT_FORM), cell.try_cast("double")) if kind in ("double", "float") else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.nullif(cell, F.lit("")).alias("text"), whole.alias("whole"), real.alias("real")))
-    return table.where(~_fails(checks)).withColumns({"tbl": F.lit(tbl), "row_key": F.col(row_key).cast("bigint"), "cells": F.array(*cells)})
+    columns = ["tbl", "row_key", "series", "file_no", "line_no", "cells"]
+    parts = [typed_cells(parse_records(lines, files, failed=False)).withColumn("tbl", F.lit("raw_lines")).withColumnRenamed("line_id", "row_key").select(*columns)]
+    for t in tables:
+        cells = [_typed_cell(F.col(f"`{c}`"), name, kind) for c, (name, kind) in t.fields.items()]
+        more = [c for c in keep if c in t.table.columns]
+        parts.append(t.table.where(~t.fails()).select(F.lit(t.tbl).alias("tbl"), F.col(t.row_key).cast("bigint").alias("row_key"), F.lit(t.tbl).alias("series"), *more, F.array(*cells).alias("cells")))
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return every.select(*columns[:-1], *[c for c in keep if c in every.columns], "cells")
+
+
+def _typed_cell(cell: Column, name: str, kind: str) -> Column:
+    whole = as_long(cell) if kind in ("int", "long") else F.lit(None).cast("bigint")
+    real = F.when(cell.rlike(FLOAT_FORM), cell.try_cast("double")) if kind in ("double", "float") else F.lit(None).cast("double")
+    return F.struct(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.nullif(cell, F.lit("")).alias("text"), whole.alias("whole"), real.alias("real"))
 
 
 def typed_cells(parsed: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.functions.cells import DAY_FORM, INT_FORM, NAME_FORM, as_day, as_int, is_blank, is_key
+from weftgraph.functions.cells import DAY_FORM, NAME_FORM, as_day, as_int, as_long, is_blank, is_key
 from weftgraph.session import stored
 
 
@@ -61,11 +61,7 @@ SINCE = Check(
     value=as_day,
 )
 ENDS = [Check(c, is_key) for c in ("c0", "c1")]
-COUNTER = Check("c4", lambda c: as_long(c).isNotNull(), number=lambda c: as_long(c), kind="whole", value=lambda c: as_long(c))
-
-
-def as_long(cell: Column) -> Column:
-    return F.when(cell.rlike(INT_FORM), cell.try_cast("bigint"))
+COUNTER = Check("c4", lambda c: as_long(c).isNotNull(), number=as_long, kind="whole", value=as_long)
 
 
 def check_of(column: T.StructField) -> Check:

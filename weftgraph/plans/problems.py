@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,39 +13,39 @@ from weftgraph.session import read_table, stored
 NAME = "name:string:users"
 
 
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[error_parse.CellTable]]:
+    """Raw lines, their files, and the tables of loaded cells with what is asked of them."""
+    ends = {"c0": ("name", "string"), "c1": ("name", "string"), "c2": ("type", "string"), "c3": ("since", "string"), "c4": ("counter", "long")}
+    tables = [
+        error_parse.CellTable("nodes", read_table(spark, d, "nodes"), "row_id", {NAME: ("name", "string"), "age": ("age", "int"), "works_on": ("works_on", "string")}, checked=("age",)),
+        error_parse.CellTable("rels", read_table(spark, d, "rels"), "row_id", ends, keys=("c0", "c1")),
+    ]
+    return read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), tables
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parsed = error_parse.parse_records(read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), loaded=False)
-    nodes, rels = read_table(spark, d, "nodes"), read_table(spark, d, "rels")
-    lines = parsed.select(F.lit("raw_lines").alias("tbl"), F.col("line_id").alias("row_key"))
-    cells = [c.select("tbl", "row_key") for c in _failed_cells(spark, d)]
-    return lines.unionByName(cells[0]).unionByName(cells[1])
+    return error_parse.failed_records(*_records(spark, d)).select("tbl", "row_key")
 
 
-def _failed_cells(spark: SparkSession, d: str) -> list[DataFrame]:
-    checks = {"nodes": error_parse.node_checks(), "rels": error_parse.rel_checks()}
-    return [error_parse.failed_cells(read_table(spark, d, t), "row_id", t, c) for t, c in checks.items()]
+def p1_rules(spark: SparkSession, d: str) -> DataFrame:
+    """p1_found with the rule that fails."""
+    return error_parse.failed_records(*_records(spark, d)).select("tbl", "row_key", "rule")
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Every record of p1_found with its reason: the edits of a line, or what its cells or those of a row of nodes or rels aren't."""
-    parsed = error_parse.parse_records(read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), loaded=False)
-    lines = parsed.select(F.lit("raw_lines").alias("tbl"), F.col("line_id").alias("row_key"), "file_no", "line_no", "rule", "cost", "cells", "edits")
-    none = {"file_no": F.lit(None).cast("int"), "line_no": F.lit(None).cast("bigint"), "rule": F.lit("value"), "cost": F.lit(0)}
-    every = reduce(DataFrame.unionByName, [lines, *[c.withColumns(none) for c in _failed_cells(spark, d)]])
-    return every.withColumn("edits", F.array_join("edits", "; "))
+    return error_parse.failed_records(*_records(spark, d)).select("tbl", "row_key", "file_no", "line_no", "rule", "cost", "cells", F.array_join("edits", "; ").alias("edits"))
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     """Every other record of the same tables as typed cells, with the load and the times that only rows of nodes and rels have."""
-    parsed = error_parse.parse_records(read_table(spark, d, "raw_lines"), read_table(spark, d, "raw_files"), failed=False)
-    lines = error_parse.typed_cells(parsed).withColumn("tbl", F.lit("raw_lines")).withColumnRenamed("line_id", "row_key")
-    nodes = error_parse.loaded_cells(read_table(spark, d, "nodes"), "row_id", "nodes", error_parse.node_checks(), {NAME: ("name", "string"), "age": ("age", "int"), "works_on": ("works_on", "string")})
-    ends = {"c0": ("name", "string"), "c1": ("name", "string"), "c2": ("type", "string"), "c3": ("since", "string"), "c4": ("counter", "long")}
-    rels = error_parse.loaded_cells(read_table(spark, d, "rels"), "row_id", "rels", error_parse.rel_checks(), ends)
-    columns = ["tbl", "row_key", "file_no", "line_no", "series", "load_no", "loaded_at", "deleted_at", "cells"]
-    nodes = nodes.select("tbl", "row_key", F.lit("nodes").alias("series"), "load_no", "loaded_at", "deleted_at", "cells")
-    rels = rels.select("tbl", "row_key", F.lit("rels").alias("series"), "load_no", "loaded_at", "cells")
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [lines, nodes, rels]).select(*columns)
+    return error_parse.loaded_records(*_records(spark, d), keep=("load_no", "loaded_at", "deleted_at"))
+
+
+def p1_cells(spark: SparkSession, d: str) -> DataFrame:
+    """p1_loaded with a row for each cell."""
+    each = p1_loaded(spark, d).select("tbl", "row_key", F.posexplode("cells").alias("position", "c"))
+    return each.select("tbl", "row_key", "position", "c.field", "c.kind", "c.text", "c.whole", "c.real")
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +117,7 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_columns, p5_found, p5_lifespans, p5_nodes)
+    f.__name__: f for f in (p1_found, p1_rules, p1_reasons, p1_loaded, p1_cells, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_columns, p5_found, p5_lifespans, p5_nodes)
 }
 
 _IS_KEY = "({c} is not null and not regexp_full_match({c}, ' *') and not regexp_matches({c}, '[\\x00-\\x1f\\x7f\\x{{fffd}}]') and (length({c}) - length(replace({c}, '\"', ''))) % 2 = 0)"
@@ -159,6 +158,19 @@ bad_lines as (
   select line_id from checked where series = 'rels' and c.i in (1, 2) and not """ + _key("c.v") + r""")
 """
 
+_RULES = f"""
+rules as (
+  select line_id, 'quoting' as rule from whole where not quoting_ok
+  union
+  select line_id, case when count_ok then 'value' else 'count' end from checked where line_id in (select line_id from bad_lines)),
+bad_rels as (select row_id from rels where not {_key('c0')} or not {_key('c1')}),
+bad_nodes as (select row_id from nodes where age <> '' and not {_INT.format(c='age', t='int')})
+"""
+_REL_CELLS = "(select row_id, unnest([{'i': 0, 'f': 'name', 'k': 'string', 'v': c0}, {'i': 1, 'f': 'name', 'k': 'string', 'v': c1}, {'i': 2, 'f': 'type', 'k': 'string', 'v': c2}, {'i': 3, 'f': 'since', 'k': 'string', 'v': c3}, {'i': 4, 'f': 'counter', 'k': 'long', 'v': c4}]) as c from rels where row_id not in (select row_id from bad_rels))"
+_NODE_CELLS = f"(select row_id, unnest([{{'i': 0, 'f': 'name', 'k': 'string', 'v': \"{NAME}\"}}, {{'i': 1, 'f': 'age', 'k': 'int', 'v': age}}, {{'i': 2, 'f': 'works_on', 'k': 'string', 'v': works_on}}]) as c from nodes where row_id not in (select row_id from bad_nodes))"
+_LINE_CELLS = """(select line_id, unnest(list_transform(range(1, len(cells) + 1), lambda i: {'i': i - 1, 'f': string_split(hd[i], ':')[1],
+  'k': case when string_split(hd[i], ':')[1] = 'age' then 'int' else coalesce(nullif(lower(string_split(hd[i], ':')[2]), ''), 'string') end, 'v': cells[i]})) as c from typed where line_id not in (select line_id from bad_lines))"""
+
 _STANDING = f"""
 refs as (
   select row_id, 'c0' as side, c0 as name, loaded_at from rels where {_key('c0')}
@@ -200,6 +212,12 @@ SQL: dict[str, str] = {
 select 'raw_lines' as tbl, line_id as row_key from bad_lines
 union all select 'nodes', row_id from nodes where age <> '' and not {_INT.format(c='age', t='int')}
 union all select 'rels', row_id from rels where not {_key('c0')} or not {_key('c1')}""",
+    "p1_rules": "with " + _PARSE_SQL + "," + _RULES + """
+select 'raw_lines' as tbl, line_id as row_key, rule from rules union all select 'nodes', row_id, 'value' from bad_nodes union all select 'rels', row_id, 'value' from bad_rels""",
+    "p1_cells": "with " + _PARSE_SQL + "," + _RULES + f""",
+cells_of(tbl, row_key, c) as (select 'raw_lines', line_id, c from {_LINE_CELLS} union all select 'nodes', row_id, c from {_NODE_CELLS} union all select 'rels', row_id, c from {_REL_CELLS})
+select tbl, row_key, c.i as position, c.f as field, c.k as kind, nullif(c.v, '') as text, case when c.k in ('int', 'long') and {_INT.format(c='c.v', t='bigint')} then try_cast(c.v as bigint) end as whole,
+  case when c.k in ('double', 'float') and regexp_full_match(c.v, '[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?') then try_cast(c.v as double) end as "real" from cells_of""",
     "p2_found": f"with {_STANDING} select row_id, side from missing",
     "p2_report": f"""with {_STANDING},
 n as (select side, strftime(loaded_at, '%Y-%m') as month, count(*) as n_refs from refs group by all),
