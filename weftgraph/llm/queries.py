@@ -23,13 +23,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, d), read_table(spark, d, "mix_targets"))
 
 
+def _classifier(spark: SparkSession, d: str) -> subjects.Classifier:
+    return subjects.train(*(read_table(spark, d, t) for t in ("documents", "subject_labels", "subjects")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents")
-    return subjects.assign(docs, subjects.train(docs, read_table(spark, d, "subject_labels"), read_table(spark, d, "subjects")))
+    return subjects.assign(read_table(spark, d, "documents"), _classifier(spark, d))
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.composition(read_table(spark, d, "documents"), p8_found(spark, d))
+    return subjects.composition(subjects.areas(read_table(spark, d, "documents"), _classifier(spark, d)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_composition)}

@@ -9,7 +9,9 @@ calibrated on pages that the models did not see: a page gets every subject whose
 
 from __future__ import annotations
 
+import json
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +31,18 @@ MISREAD = str.maketrans({"0": "o", "1": "l", "5": "s", "4": "a", "9": "g", "6":
 
 _BROKEN = re.compile(r"[-­‐‑–—¬]+[ \t\r]*\n\s*")
 _WORD = re.compile(r"[^\W\d_]+")
-_WINDOW = 8
-_BLOCK = 150  # lines; a longer page is judged block by block and has what any block has
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``pages``: about as many labelled pages are collected for training, chosen by a hash of doc_id. The other bounds are of the models' size."""
+    """``pages``: the models are fitted on about as many labelled pages, chosen by a hash of doc_id; there is no other bound. ``least``: a word counts from so many
+    of these pages on, a pair from one more. ``stretch`` and ``window``: the lines over which evidence is summed up, on pages of any length; ``near``: the lines before and after that tell a line's language."""
 
     pages: int = 4000
-    words: int = 30_000
-    pairs: int = 60_000
     least: int = 2
+    stretch: int = 150
+    window: int = 8
+    near: int = 20
     rounds: int = 5
     pair_weight: float = 0.5
     word_weight: float = 0.9
@@ -56,13 +59,12 @@ def lines_of(text: str | None) -> list[list[str]]:
 
 @dataclass
 class Batch:
-    """Pages as flat arrays: word ids (-1: unknown), the pair id of each word with the one before it, where lines and blocks begin, and each block's page."""
+    """Pages as flat arrays: word ids (-1: unknown), the pair id of each word with the one before it, and where lines and pages begin."""
 
     words: np.ndarray
     pairs: np.ndarray
     line_at: np.ndarray
     page_at: np.ndarray
-    owner: np.ndarray
 
 
 @dataclass
@@ -71,12 +73,7 @@ class Vocabulary:
     pairs: np.ndarray  # sorted keys: first * len(words) + second
 
     def batch(self, texts: list[str | None]) -> Batch:
-        pages, owner = [], []
-        for i, t in enumerate(texts):
-            lines = lines_of(t) or [[""]]
-            for at in range(0, len(lines), _BLOCK):
-                pages.append(lines[at : at + _BLOCK])
-                owner.append(i)
+        pages = [lines_of(t) or [[""]] for t in texts]
         lines = list(chain.from_iterable(pages))
         get = self.words.get
         words = np.fromiter((get(w, -1) for w in chain.from_iterable(lines)), np.int64)
@@ -90,26 +87,39 @@ class Vocabulary:
         if len(self.pairs):
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             pairs = np.where(self.pairs[at] == key, at, -1)
-        return Batch(words, pairs, line_at, page_at, np.array(owner, np.int64))
+        return Batch(words, pairs, line_at, page_at)
 
 
 def vocabulary(texts: list[str], cfg: Settings) -> Vocabulary:
     pages = [[w for line in lines_of(t) for w in line] for t in texts]
     counts = Counter(chain.from_iterable(map(set, pages)))
-    kept = sorted((w for w, n in counts.items() if n >= cfg.least), key=lambda w: (-counts[w], w))[: cfg.words]
+    kept = sorted(w for w, n in counts.items() if n >= cfg.least)
     ids = {w: i for i, w in enumerate(kept)}
     pairs: Counter = Counter()
     for page in pages:
         known = [ids.get(w, -1) for w in page]
         pairs.update({a * len(ids) + b for a, b in zip(known, known[1:], strict=False) if a >= 0 and b >= 0})
-    often = sorted((k for k, n in pairs.items() if n > cfg.least), key=lambda k: (-pairs[k], k))[: cfg.pairs]
-    return Vocabulary(ids, np.array(sorted(often), np.int64))
+    return Vocabulary(ids, np.array(sorted(k for k, n in pairs.items() if n > cfg.least), np.int64))
 
 
 def _rowsum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, at, axis=0) if len(at) else values[:0]
 
 
+def _page_bounds(page_at: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the page of each line begins and ends."""
+    sizes = np.diff(np.append(page_at, lines))
+    return np.repeat(page_at, sizes), np.repeat(page_at + sizes, sizes)
+
+
+def _around(values: np.ndarray, page_at: np.ndarray, near: int) -> np.ndarray:
+    """Per line the sum over the lines of its page that are at most ``near`` lines off."""
+    at = np.arange(len(values))
+    begin, end = _page_bounds(page_at, len(values))
+    sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0, dtype=np.float64)])
+    return sums[np.minimum(at + near + 1, end)] - sums[np.maximum(at - near, begin)]
+
+
 @dataclass
 class Models:
     """``word``, ``pair``: [language, id + 1, subject] log ratios to the background; row 0 is for what is unknown. ``lang``: [id + 1, language] log probabilities."""
@@ -117,14 +127,16 @@ class Models:
     word: np.ndarray
     pair: np.ndarray
     lang: np.ndarray
+    near: int
 
     def languages(self, b: Batch) -> np.ndarray:
-        return _rowsum(_rowsum(self.lang[b.words + 1], b.line_at), b.page_at).argmax(1)
+        """The language of each line, by the words of the lines around it: a page may change its language."""
+        near = _around(_rowsum(self.lang[b.words + 1], b.line_at), b.page_at, self.near)
+        return near.argmax(1)
 
     def evidence(self, b: Batch, language: np.ndarray) -> np.ndarray:
         """Per line and subject: background cross-entropy less the subject's, in nats, summed over the line's words."""
-        per_line = np.repeat(language, np.diff(np.append(b.page_at, len(b.line_at))))
-        g = np.repeat(per_line, np.diff(np.append(b.line_at, len(b.words))))
+        g = np.repeat(language, np.diff(np.append(b.line_at, len(b.words))))
         token = np.where((b.pairs >= 0)[:, None], self.pair[g, b.pairs + 1], self.word[g, b.words + 1])
         return _rowsum(token, b.line_at)
 
@@ -133,7 +145,7 @@ def _logs(b: Batch, share: np.ndarray, language: np.ndarray, n_lang: int, vocab:
     """[language, id + 1, class] log probabilities of words and of pairs, from each line's shares among the classes (the last is the background)."""
     classes, v, p = share.shape[1], len(vocab.words), len(vocab.pairs)
     line_of = np.repeat(np.arange(len(b.line_at)), np.diff(np.append(b.line_at, len(b.words))))
-    lang_of = np.repeat(language, np.diff(np.append(b.page_at, len(b.line_at))))[line_of]
+    lang_of = language[line_of]
     word = np.zeros((n_lang, v + 1, classes), np.float32)
     pair = np.zeros((n_lang, p + 1, classes), np.float32)
     first = vocab.pairs // max(v, 1)
@@ -159,12 +171,12 @@ def train_models(texts: list[str], langs: list[str | None], labels: list[set[int
     names = sorted(set(LANGUAGES.values()))
     per_page = np.append(b.page_at, len(b.line_at))
     known = np.array([names.index(LANGUAGES[x.lower()]) if x and x.lower() in LANGUAGES else -1 for x in langs], np.int64)
-    line_page = np.repeat(b.owner, np.diff(per_page))
+    line_page = np.repeat(np.arange(len(texts)), np.diff(per_page))
     word_page = np.repeat(line_page, np.diff(np.append(b.line_at, len(b.words))))
     counts = np.stack([np.bincount(b.words[known[word_page] == g] + 1, minlength=len(vocab.words) + 1) for g in range(len(names))], 1) + 0.1
     counts[0] = 1
     lang = np.log(counts / counts.sum(0)).astype(np.float32)
-    models = Models(np.empty(0), np.empty(0), lang)
+    models = Models(np.empty(0), np.empty(0), lang, cfg.near)
     language = models.languages(b)
     allowed = np.zeros((len(texts), subjects + 1))
     for i, s in enumerate(labels):
@@ -174,28 +186,33 @@ def train_models(texts: list[str], langs: list[str | None], labels: list[set[int
     share = prior
     for _ in range(cfg.rounds):
         word, pair = _logs(b, share, language, len(names), vocab, cfg)
-        scored = Models(word, pair, lang).evidence(b, language)
+        scored = Models(word, pair, lang, cfg.near).evidence(b, language)
         scored -= scored.max(1, keepdims=True)
         share = np.exp(np.maximum(scored, -60)) * prior
         share /= share.sum(1, keepdims=True)
     word, pair = _logs(b, share, language, len(names), vocab, cfg)
-    return Models(word[:, :, :-1] - word[:, :, -1:], pair[:, :, :-1] - pair[:, :, -1:], lang)
+    return Models(word[:, :, :-1] - word[:, :, -1:], pair[:, :, :-1] - pair[:, :, -1:], lang, cfg.near)
+
 
+def features(models: Models, b: Batch, cfg: Settings) -> np.ndarray:
+    """[page, subject, 5]: of the best stretch of lines the expected and the clear lines of the subject, their part of the stretch and the evidence; and the best window's evidence.
 
-def features(models: Models, b: Batch) -> np.ndarray:
-    """[block, subject, 5]: expected and clear lines of the subject, their part of the page, the strongest window of lines, the evidence per line."""
+    Every stretch of a page is looked at, wherever it begins, so what is measured of an article doesn't depend on its place or on how much else stands on the page. A
+    page shorter than a stretch has one.
+    """
     evidence = models.evidence(b, models.languages(b))
     odds = np.exp(np.clip(evidence, -30, 30))
     share = odds / (1 + odds.sum(1, keepdims=True))
-    expected = _rowsum(share, b.page_at)
-    n = np.diff(np.append(b.page_at, len(b.line_at)))
-    clear = _rowsum((share > 0.5).astype(np.float64), b.page_at)
-    sums = np.concatenate([np.zeros((1, evidence.shape[1])), np.cumsum(np.clip(evidence, -4, 8), 0)])
-    ends = np.repeat(np.append(b.page_at[1:], len(b.line_at)), n)
-    start = np.arange(len(b.line_at))
-    window = np.maximum.reduceat(sums[np.minimum(start + _WINDOW, ends)] - sums[start], b.page_at, axis=0)
-    total = _rowsum(np.clip(evidence, 0, 8) * (share > 0.3), b.page_at)
-    return np.stack([np.log1p(expected), np.log1p(clear), expected / n[:, None], window / 10, np.log1p(total)], 2)
+    sizes = np.diff(np.append(b.page_at, len(b.line_at)))
+    start, ends = np.arange(len(b.line_at)), _page_bounds(b.page_at, len(b.line_at))[1]
+
+    def best(values: np.ndarray, lines: int) -> np.ndarray:
+        sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0)])
+        return np.maximum.reduceat(sums[np.minimum(start + lines, ends)] - sums[start], b.page_at, axis=0)
+
+    expected, clear = best(share, cfg.stretch), best((share > 0.5).astype(np.float64), cfg.stretch)
+    total, window = best(np.clip(evidence, 0, 8) * (share > 0.3), cfg.stretch), best(np.clip(evidence, -4, 8), cfg.window)
+    return np.stack([np.log1p(expected), np.log1p(clear), expected / np.minimum(sizes, cfg.stretch)[:, None], window / 10, np.log1p(total)], 2)
 
 
 @dataclass
@@ -205,12 +222,11 @@ class Classifier:
     models: Models | None
     weights: np.ndarray
     threshold: float
+    cfg: Settings
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        b = self.vocab.batch(texts)
-        score = features(self.models, b) @ self.weights[:-1] + self.weights[-1]
-        best = np.maximum.reduceat(score, np.flatnonzero(np.diff(b.owner, prepend=-1)), axis=0)
-        return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
+        score = features(self.models, self.vocab.batch(texts), self.cfg) @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(score, -60, 60)))
 
     def accepted(self, texts: list[str | None]) -> np.ndarray:
         """[page, subject]; blank pages have none."""
@@ -232,57 +248,76 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(out, w[-1] - out @ mean)
 
 
-def fit(texts: list[str], langs: list[str | None], votes: list[dict[str, float]], subjects: list[str], cfg: Settings | None = None) -> Classifier:
-    """``votes``: per page the share of its annotators that gave each subject. Half or more counts as a label for calibration, any for training. Without labels nothing is accepted."""
-    cfg = cfg or Settings()
+def fit_part(part: int, texts: list[str], langs: list[str | None], votes: list[dict[str, float]], subjects: list[str], cfg: Settings) -> tuple | None:
+    """One of cfg.folds + 1 independent parts of fitting: of a fold the features and labels of its pages under models that did not see them, and last the vocabulary and the models of all pages."""
     if not any(votes):
-        return Classifier(subjects, Vocabulary({}, np.empty(0, np.int64)), None, np.zeros(6), 1.0)
+        return None
     place = {s: i for i, s in enumerate(subjects)}
     labels = [{place[s] for s in v if s in place} for v in votes]
-    truth = np.zeros((len(texts), len(subjects)))
-    for i, v in enumerate(votes):
-        for s, part in v.items():
-            if s in place and part >= 0.5:
-                truth[i, place[s]] = 1
     vocab = vocabulary(texts, cfg)
-    x = np.zeros((len(texts), len(subjects), 5))
     fold = np.arange(len(texts)) % cfg.folds
-    for k in range(cfg.folds):
-        seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(seen) and len(unseen):
-            part = train_models([texts[i] for i in seen], [langs[i] for i in seen], [labels[i] for i in seen], len(subjects), vocab, cfg)
-            b = vocab.batch([texts[i] for i in unseen])
-            x[unseen] = features(part, b)[np.flatnonzero(np.diff(b.owner, prepend=-1))]  # a page's first block stands for it
-    flat, y = x.reshape(-1, x.shape[2]), truth.reshape(-1)
+    seen, unseen = np.flatnonzero(fold != part), np.flatnonzero(fold == part)
+    if part < cfg.folds and not (len(seen) and len(unseen)):
+        return None
+    models = train_models([texts[i] for i in seen], [langs[i] for i in seen], [labels[i] for i in seen], len(subjects), vocab, cfg)
+    if part == cfg.folds:
+        return vocab, models
+    truth = np.array([[votes[i].get(s, 0.0) >= 0.5 for s in subjects] for i in unseen], float)
+    return features(models, vocab.batch([texts[i] for i in unseen]), cfg), truth
+
+
+def finish(parts: list[tuple | None], subjects: list[str], cfg: Settings) -> Classifier:
+    """The classifier of all parts of a fit: weights and threshold come of the folds, models of the last part. Without labels nothing is accepted."""
+    folds, last = [p for p in parts[:-1] if p], parts[-1] if parts else None
+    if last is None:
+        return Classifier(subjects, Vocabulary({}, np.empty(0, np.int64)), None, np.zeros(1), 1.0, cfg)
+    flat = np.concatenate([x.reshape(-1, x.shape[2]) for x, _ in folds]) if folds else np.zeros((1, 5))
+    y = np.concatenate([t.reshape(-1) for _, t in folds]) if folds else np.zeros(1)
     weights = _logistic(flat, y)
     p = 1 / (1 + np.exp(-(flat @ weights[:-1] + weights[-1])))
     grid = np.arange(0.2, 0.71, 0.02)
     score = [2 * (y * (p >= t)).sum() / max(1e-9, y.sum() + (p >= t).sum()) for t in grid]
-    models = train_models(texts, langs, labels, len(subjects), vocab, cfg)
-    return Classifier(subjects, vocab, models, weights, float(grid[int(np.argmax(score))]))
+    return Classifier(subjects, *last, weights, float(grid[int(np.argmax(score))]), cfg)
+
+
+def fit(texts: list[str], langs: list[str | None], votes: list[dict[str, float]], subjects: list[str], cfg: Settings | None = None) -> Classifier:
+    """``votes``: per page the share of its annotators that gave each subject. Half or more counts as a label for calibration, any for training."""
+    cfg = cfg or Settings()
+    return finish([fit_part(k, texts, langs, votes, subjects, cfg) for k in range(cfg.folds + 1)], subjects, cfg)
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, cfg: Settings | None = None) -> Classifier:
-    """Fit on about ``cfg.pages`` labelled pages at most. Collects these and the subject list (a table that people write).
+    """Fit on about ``cfg.pages`` labelled pages at most.
 
-    Pages are chosen by a hash of doc_id before any text is moved, so what reaches the driver doesn't grow with the corpus or with the number of tasks.
+    Pages are chosen by a hash of doc_id before any text is moved, so neither the tasks nor the driver see more with a larger corpus. Each part of the fit is a task that gets
+    all chosen pages; the driver collects what the parts come to (models, and features of the pages) and the subject list, a table that people write.
     """
     cfg = cfg or Settings()
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
     labelled = labels.select("doc_id").distinct().count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     chosen = labels.where(draw < math.ceil((1 << 20) * min(1.0, cfg.pages / max(labelled, 1))))
-    per = chosen.groupBy("doc_id").agg(F.count_distinct("annotator").alias("annotators"), F.collect_set(F.struct("subject", "annotator")).alias("given"))
-    pages = docs.select("doc_id", "text", "lang").where(F.trim("text") != "").join(per, "doc_id").collect()
-    pages.sort(key=lambda r: (r.doc_id, r.text))
-    votes = [{s: n / max(r.annotators, 1) for s, n in Counter(g.subject for g in r.given if g.subject is not None).items()} for r in pages]
-    return fit([r.text for r in pages], [r.lang for r in pages], votes, names, cfg)
+    per = chosen.groupBy("doc_id").agg(F.count_distinct("annotator").alias("annotators"), F.to_json(F.collect_set(F.struct("subject", "annotator"))).alias("given"))
+    pages = docs.select("doc_id", "text", "lang").where(F.trim("text") != "").join(per, "doc_id")
+    parts = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cfg.folds))))
 
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values(["doc_id", "text"])
+        votes = []
+        for annotators, given in zip(rows["annotators"], rows["given"], strict=True):
+            counts = Counter(g["subject"] for g in json.loads(given) if g.get("subject") is not None)
+            votes.append({s: n / max(annotators, 1) for s, n in counts.items()})
+        made = fit_part(int(key[0]), list(rows["text"]), [x if isinstance(x, str) else None for x in rows["lang"]], votes, names, cfg)
+        return pd.DataFrame({"part": [int(key[0])], "made": [pickle.dumps(made)]})
 
-def assign(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """(doc_id, subject): every subject area of every page, none for null, empty and blank texts; repeated rows repeat.
+    done = {r.part: pickle.loads(r.made) for r in parts.groupBy("part").applyInPandas(run, "part int, made binary").collect()}
+    return finish([done.get(k) for k in range(cfg.folds + 1)], names, cfg)
 
-    The models travel as one broadcast whose size the Settings bound. No shuffle.
+
+def areas(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """(doc_id, chars, subjects): the characters and the subject areas of every page, none for null, empty and blank texts; repeated rows repeat.
+
+    The models travel as one broadcast whose size the pages of the fit bound. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
@@ -291,13 +326,20 @@ def assign(docs: DataFrame, classifier: Classifier) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                page, subject = np.nonzero(c.accepted(part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(page)), pa.array([c.subjects[s] for s in subject], pa.string())], names=["doc_id", "subject"])
+                found = c.accepted(part.column("text").to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(found.sum(1))]).astype(np.int32))
+                subjects = pa.ListArray.from_arrays(offsets, pa.array([c.subjects[s] for s in np.nonzero(found)[1]], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("chars"), subjects], names=["doc_id", "chars", "subjects"])
+
+    sized = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars"), "text")
+    return sized.mapInArrow(run, "doc_id bigint, chars bigint, subjects array<string>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, subject string")
+
+def assign(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """(doc_id, subject): a row for every subject area of every page."""
+    return areas(docs, classifier).select("doc_id", F.explode("subjects").alias("subject"))
 
 
-def composition(docs: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Per subject (null: pages without any): pages and characters; a page counts in each of its subjects."""
-    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
-    return sizes.join(assigned, "doc_id", "left").groupBy("subject").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
+def composition(pages: DataFrame) -> DataFrame:
+    """Per subject (null: pages without any) of ``areas``: pages and characters; a page counts in each of its subjects."""
+    return pages.select("chars", F.explode_outer("subjects").alias("subject")).groupBy("subject").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
