@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from weftgraph.operators import profile as pr
 from weftgraph.operators.drift import alias_table, catalogue, lifespans, one_table, schema_changes
 
@@ -37,10 +39,43 @@ def test_sketch_states_merge(spark):
     assert (word.form_shift, word.changed) == (0.0, False) and done[("name:string:users", 2)].changed  # all null
 
 
+def test_history_reads_only_new_loads(spark, tmp_path):
+    rows = [(k, f"Ab C{'abcdefgh'[i % (k + 2)]}", str(i)) for k in (1, 2, 3) for i in range(8)] + [(None, "Ab Cd", "1")]
+    table, checks = nodes(spark, rows), [pr.AGE, pr.NAME]
+    show = lambda s: sorted(map(tuple, s.selectExpr("coalesce(load_no, -1)", "field_name", "n_rows", "n_good", "total", "n_distinct").collect()))
+    kept = pr.History(spark, str(tmp_path), "nodes", checks)
+    kept.refresh(table.where("load_no < 3"))
+    again = pr.History(spark, str(tmp_path), "nodes", checks)
+    read_again = F.when(F.col("load_no") < 3, F.raise_error(F.lit("read again")).cast("string")).otherwise(F.col("age"))
+    again.refresh(table.where("load_no is not null").withColumn("age", read_again))  # of rows of known loads no cell is looked at
+    assert show(again.states()) == show(pr.scan_states(table.where("load_no is not null"), "nodes", checks))
+    late = pr.History(spark, str(tmp_path / "late"), "nodes", checks).add(table.where("row_id % 2 = 0")).add(table.where("row_id % 2 = 1"))  # each load in two parts
+    assert show(late.states()) == show(pr.scan_states(table, "nodes", checks))
+    folder = str(tmp_path / "files")
+    table.where("load_no < 3").write.parquet(folder)
+    table.where("load_no = 3").write.mode("append").parquet(folder)
+    plan = pr.wide_states(spark.read.parquet(folder).where("load_no < 1 or load_no > 2"), checks)._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(LessThan(load_no,1),GreaterThan(load_no,2))]" in plan
+
+
+def test_one_scan_for_all_checks(spark, tmp_path):
+    table = nodes(spark, [(1, "Ab Cd", "10"), (2, "Ab Cd", "90")])
+    table.write.parquet(str(tmp_path / "t"))
+    kept = pr.History(spark, str(tmp_path / "s"), "nodes", [pr.AGE, pr.NAME]).refresh(spark.read.parquet(str(tmp_path / "t")))
+    measured = pr.metrics(kept.states())
+    plan = pr.changes(measured, pr.limits_table(measured, "nodes", [pr.AGE, pr.NAME]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    scan = pr.wide_states(spark.read.parquet(str(tmp_path / "t")), [pr.AGE, pr.NAME])._jdf.queryExecution().executedPlan().toString()
+    assert scan.count("Scan parquet") == 1
+
+
 def test_control_limits(spark):
     values = [(i, 10.0 + i % 2) for i in range(1, 9)] + [(9, 30.0)]
     measured = spark.createDataFrame([("n", "a", i, "mean", v) for i, v in values], "tbl string, field_name string, load_no int, measure_name string, value double")
     assert {r.load_no for r in pr.control_limits(measured).where("outside").collect()} == {9}
+    rows = [(k, str((40 + i % 3) if k < 7 else 60)) for k in range(1, 9) for i in range(30)]
+    done = {r.load_no: r for r in pr.profile(spark.createDataFrame(rows, "load_no int, age string"), "n", ("load_no",)).collect()}
+    assert "mean" in done[7].outside and done[7].changed and not done[6].outside and not done[6].changed
 
 
 FILES = "file_no int, file_name string, series string, delim string, header string, arrived_at timestamp_ntz"

@@ -1,17 +1,19 @@
 """Column profiles: declared checks compiled into one aggregate scan, mergeable states per load, and limits on how metrics move.
 
 A state is a row per (table, field, load) of counts, sums, extremes and a distinct sketch; states of parts of a load, or of loads
-scanned at other times, merge by the same aggregates. Metrics are computed of states, never of rows.
+scanned at other times, merge by the same aggregates. Where a column's distinct values are to be counted exactly, its states are kept per value, which
+merge too. Metrics are computed of states, never of rows; ``History`` keeps states in a folder, so that a new load costs a scan of that load.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +84,8 @@ def check_of(column: T.StructField) -> Check:
 # The classes that the form of a cell is counted in, and their patterns.
 FORMS = {"whole": r"\A[+-]?[0-9]+\z", "real": r"\A[+-]?[0-9]*[.,][0-9]+\z", "day": DAY_FORM, "name": NAME_FORM, "word": r"\A[\p{L}_]+\z", "spaces": r"\A\s+\z"}
 _SUMS = ("n_rows", "n_blank", "n_good", "n_in", "total", "squares")
+# How states merge that aren't sums.
+_MERGES = {f"{side}_{k}": f for k in ("whole", "real", "day", "time") for side, f in (("low", F.min), ("high", F.max))} | {"lowest": F.min, "highest": F.max, "sketch": F.hll_union_agg}
 # The types of the extremes of well-formed values, by kind; texts have those of all filled cells.
 EXTREMES = {"whole": "bigint", "real": "double", "day": "date", "time": "timestamp_ntz"}
 # Bins of texts (by hash), bins of numbers in a doubling, and the precision of sketches (standard error below 1 percent).
@@ -131,8 +135,6 @@ def _states_of(check: Check, sketch: bool, at: str) -> dict[str, Column]:
         "n_in": F.count_if(F.col(f"{at}within")),
         "total": F.sum(f"{at}number"),
     }
-    if check.exact_distinct:
-        aggs["n_distinct"] = F.count_distinct(cell)
     if sketch:
         aggs |= {"lowest": F.min(cell), "highest": F.max(cell)}
         if check.kind in EXTREMES:
@@ -143,27 +145,88 @@ def _states_of(check: Check, sketch: bool, at: str) -> dict[str, Column]:
     return aggs
 
 
-def scan_states(table: DataFrame, tbl: str, checks: list[Check], by: str = "load_no", sketch: bool = False) -> DataFrame:
-    """The states of all ``checks`` in one scan: one row per field and load. ``sketch`` adds extremes, form counts and a distinct sketch.
+def wide_states(table: DataFrame, checks: list[Check], by: str = "load_no", sketch: bool = False) -> DataFrame:
+    """The states of all ``checks`` in one scan: one row per load (load, value, s0_n_rows, ...), or per load and value of the column that asks for an exact distinct count.
 
-    At most one column may ask for an exact distinct count, which adds a shuffle of its different values; sketches need none. Rows
-    without load have the load null. An empty table has no states.
+    ``sketch`` adds extremes, form counts and a distinct sketch. At most one column may ask for an exact count: its different values are shuffled, after
+    counting in each task. Rows without load have the load null. An empty table has no states.
     """
-    exact = any(c.exact_distinct for c in checks)
-    facts, every, packed = [], [], []
+    exact = [i for i, c in enumerate(checks) if c.exact_distinct]
+    if len(exact) > 1:
+        raise ValueError("only one column can have an exact distinct count")
+    facts, aggs = [], []
     for i, check in enumerate(checks):
         facts += [c.alias(f"f{i}_{n}") for n, c in _facts_of(check, sketch).items()]
-        aggs = _states_of(check, sketch, f"f{i}_")
-        every += [a.alias(f"s{i}_{n}") for n, a in aggs.items()]
-        cells = {n: F.col(f"s{i}_{n}") for n in aggs}
+        aggs += [a.alias(f"s{i}_{n}") for n, a in _states_of(check, sketch, f"f{i}_").items()]
+    value = F.col(f"f{exact[0]}_cell") if exact else F.lit(None).cast("string")
+    return table.select(F.col(by).alias("load"), *facts).withColumn("value", value).groupBy("load", "value").agg(*aggs)
+
+
+def merge_wide(states: DataFrame, *keys: str) -> DataFrame:
+    """States of parts into one per load, or per ``keys``; ``values`` counts the different values of all parts."""
+    keys = keys or ("load",)
+    state = re.compile(r"s\d+_(.+)")
+    aggs = [_MERGES.get(state.fullmatch(c).group(1), F.sum)(c).alias(c) for c in states.columns if state.fullmatch(c)]
+    return states.groupBy(*keys).agg(*aggs, *([] if "value" in keys else [F.count("value").alias("values")]))
+
+
+def long_states(merged: DataFrame, tbl: str, checks: list[Check], sketch: bool = False) -> DataFrame:
+    """``merge_wide`` as a row per field and load: (load_no, tbl, field_name, n_rows, ...)."""
+    exact = any(c.exact_distinct for c in checks)
+    packed = []
+    for i, check in enumerate(checks):
+        cells = {n: F.col(f"s{i}_{n}") for n in _states_of(check, sketch, f"f{i}_")}
         if exact:
-            cells.setdefault("n_distinct", F.lit(None).cast("bigint"))
+            cells["n_distinct"] = F.col("values") if check.exact_distinct else F.lit(None).cast("bigint")
         for kind, ddl in EXTREMES.items() if sketch else ():
             cells.setdefault(f"low_{kind}", F.lit(None).cast(ddl))
             cells.setdefault(f"high_{kind}", F.lit(None).cast(ddl))
         packed.append(F.struct(F.lit(tbl).alias("tbl"), F.lit(check.field).alias("field_name"), *[cells[n].alias(n) for n in sorted(cells)]))
-    one = table.select(F.col(by).alias("load"), *facts).groupBy("load").agg(*every)
-    return one.select(F.col("load").alias("load_no"), F.explode(F.array(*packed)).alias("s")).select("load_no", "s.*")
+    return merged.select(F.col("load").alias("load_no"), F.explode(F.array(*packed)).alias("s")).select("load_no", "s.*")
+
+
+def scan_states(table: DataFrame, tbl: str, checks: list[Check], by: str = "load_no", sketch: bool = False) -> DataFrame:
+    """``wide_states`` merged, as a row per field and load."""
+    return long_states(merge_wide(wide_states(table, checks, by, sketch)), tbl, checks, sketch)
+
+
+class History:
+    """The states of a table's loads, kept in a folder as one Parquet part a scan."""
+
+    def __init__(self, spark: SparkSession, folder: str, tbl: str, checks: list[Check], by: str = "load_no", sketch: bool = False) -> None:
+        self.spark, self.path, self.tbl, self.checks, self.by, self.sketch = spark, f"{folder.rstrip('/')}/{tbl}", tbl, checks, by, sketch
+        self.parts = 0
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/part=*")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        self.parts = len(found) if found else 0
+
+    def add(self, table: DataFrame) -> History:
+        """Scan all rows of ``table``, loads or parts of loads that no scan has seen, and keep their states."""
+        wide_states(table, self.checks, self.by, self.sketch).write.parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+        return self
+
+    def refresh(self, table: DataFrame) -> History:
+        """Scan the loads of ``table`` that aren't known. Known loads aren't read again where files or row groups tell loads apart; rows that came late to one want ``add``."""
+        if not self.parts:
+            return self.add(table)
+        known = sorted(r.load for r in self._read().select("load").where("load is not null").distinct().collect())  # one row per load
+        load = F.col(self.by)
+        if known and known[-1] - known[0] + 1 == len(known):
+            new = (load < known[0]) | (load > known[-1])  # a range prunes row groups
+        else:
+            new = ~load.isin(known)
+        return self.add(table.where(new))
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("part")
+
+    def states(self) -> DataFrame:
+        """The states of all scans, merged: a row per field and load."""
+        kept = self._read()
+        if self.parts > 1 and any(c.exact_distinct for c in self.checks):
+            kept = merge_wide(kept, "load", "value")
+        return long_states(merge_wide(kept), self.tbl, self.checks, self.sketch)
 
 
 def scan_bins(table: DataFrame, tbl: str, checks: list[Check], by: str = "load_no") -> DataFrame:
@@ -226,27 +289,26 @@ def limits_table(measured: DataFrame, tbl: str, checks: list[Check]) -> DataFram
 
 
 def changes(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Measures of a load that differ from those of the load before it (load_no - 1, if there is one) by more than their limit."""
-    watched = measured.join(F.broadcast(limits), ["tbl", "field_name", "measure_name"])
-    keys = ["tbl", "field_name", "measure_name", "load_no"]
-    before = measured.select("tbl", "field_name", "measure_name", (F.col("load_no") + 1).alias("load_no"), F.col("value").alias("before"))
-    return watched.join(before, keys).where(F.abs(F.col("value") - F.col("before")) > F.col("most"))
+    """Measures of a load that differ from those of the load before it (load_no - 1, if there is one) by more than their limit. ``limits`` has a row per declared measure."""
+    run = Window.partitionBy("tbl", "field_name", "measure_name").orderBy("load_no")  # one row per load
+    known = measured.where("load_no is not null").withColumn("before", F.when(F.lag("load_no").over(run) == F.col("load_no") - 1, F.lag("value").over(run)))
+    return known.join(F.broadcast(limits), ["tbl", "field_name", "measure_name"]).where(F.abs(F.col("value") - F.col("before")) > F.col("most"))
+
+
+def _outside(value: str, past: Window, sigmas: float, least: int) -> tuple[Column, Column, Column, Column]:
+    """(n_before, centre, deviation, outside) of a measure against its values in the window ``past``; rows without load count for no other."""
+    seen = F.when(F.col("load_no").isNotNull(), F.col(value))
+    n, centre, deviation = F.count(seen).over(past), F.avg(seen).over(past), F.stddev_samp(seen).over(past)
+    return n, centre, deviation, F.coalesce((n >= least) & (F.abs(F.col(value) - centre) > sigmas * deviation + 1e-9), F.lit(False))
 
 
 def control_limits(measured: DataFrame, sigmas: float = 3.0, least: int = 3) -> DataFrame:
     """Shewhart limits: a measure against mean and deviation of the loads before it; fewer than ``least`` of them give no verdict.
 
-    The history of a measure is one value per load, joined load by load, and never the rows of a load.
+    The history of a measure is one value per load, over which the limits run once.
     """
-    keys = ["tbl", "field_name", "measure_name"]
-    now, past = measured.alias("now"), measured.alias("past")
-    same = [F.col(f"now.{k}") == F.col(f"past.{k}") for k in keys]
-    joined = now.join(past, [*same, F.col("past.load_no") < F.col("now.load_no")], "left")
-    stats = joined.groupBy(*[F.col(f"now.{k}").alias(k) for k in keys], F.col("now.load_no").alias("load_no"), F.col("now.value").alias("value")).agg(
-        F.count("past.value").alias("n_before"), F.avg("past.value").alias("centre"), F.stddev_samp("past.value").alias("deviation")
-    )
-    outside = (F.col("n_before") >= least) & (F.abs(F.col("value") - F.col("centre")) > sigmas * F.col("deviation") + 1e-9)
-    return stats.withColumn("outside", F.coalesce(outside, F.lit(False)))
+    past = Window.partitionBy("tbl", "field_name", "measure_name").orderBy("load_no").rowsBetween(Window.unboundedPreceding, -1)
+    return measured.withColumns(dict(zip(("n_before", "centre", "deviation", "outside"), _outside("value", past, sigmas, least), strict=True)))
 
 
 FORM_COLUMNS = [f"form_{f}" for f in (*FORMS, "other")]
@@ -254,13 +316,18 @@ DECLARED = {c.field: c for c in (AGE, NAME, SINCE, *ENDS, COUNTER)}
 MEASURES = ("null_rate", "bad_rate", "out_rate", "mean", "distinct_rate", "form_shift", "value_shift")
 
 
+def checks_of(table: DataFrame, skip: tuple[str, ...] = ()) -> list[Check]:
+    """The check of every column but ``skip``, arrays, maps and structs: the declared one, else that of its type; distinct values are estimated."""
+    columns = [c for c in table.schema.fields if c.name not in skip and not isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return [replace(DECLARED.get(c.name, check_of(c)), exact_distinct=False) for c in columns]
+
+
 def column_measures(table: DataFrame, tbl: str, skip: tuple[str, ...] = ()) -> DataFrame:
     """The merged states and histograms of every column but ``skip``, one row per column and load, with their measures.
 
     Arrays, maps and structs have none. form_shift and value_shift are against load_no - 1, null without it.
     """
-    columns = [c for c in table.schema.fields if c.name not in skip and not isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    checks = [replace(DECLARED.get(c.name, check_of(c)), exact_distinct=False) for c in columns]
+    checks = checks_of(table, skip)
     states = merge_states(stored(scan_states(table, tbl, checks, sketch=True), "states"))
     bins = stored(merge_bins(scan_bins(table, tbl, checks)), "bins")  # one row per column, load and bin
     keys = ["tbl", "field_name", "load_no"]
@@ -317,13 +384,15 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float
 
     form_shift and value_shift: half the sum of the differences of the shares of forms and of bins from those of the load before (null without it). moved: rates beyond
     the limits of their check, or ``limit``; means beyond theirs, or a quarter of the deviation and four standard errors; shifts beyond ``limit``, that of values besides what chance
-    makes. changed: whether anything moved. lowest and highest are texts, of ill-formed cells too; low_whole to high_time are the extremes of the
+    makes. outside: the measures outside the control limits that the loads before set (see ``control_limits``). changed: whether there is any of either. lowest and highest are texts, of ill-formed cells too; low_whole to high_time are the extremes of the
     well-formed values in the type that the column has or is declared to have, null in the columns of the other types.
     """
     run = Window.partitionBy("tbl", "field_name").orderBy("load_no")
     follows = F.lag("load_no").over(run) == F.col("load_no") - 1
     names = F.array(*[F.when(follows & m, F.lit(n)) for n, m in _moves(run, limit).items()])
-    return column_measures(table, tbl, skip).withColumn("moved", F.array_compact(names)).select(
+    past = run.rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.array(*[F.when(_outside(m, past, 3.0, 3)[3], F.lit(m)) for m in MEASURES])
+    return column_measures(table, tbl, skip).withColumns({"moved": F.array_compact(names), "outside": F.array_compact(beyond)}).select(
         "tbl",
         "field_name",
         "load_no",
@@ -340,5 +409,6 @@ def profile(table: DataFrame, tbl: str, skip: tuple[str, ...] = (), limit: float
         "about_distinct",
         *[F.round(c, 6).alias(c) for c in ("distinct_rate", "form_shift", "value_shift")],
         "moved",
-        (F.size("moved") > 0).alias("changed"),
+        "outside",
+        ((F.size("moved") > 0) | (F.size("outside") > 0)).alias("changed"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import drift, error_parse, profile, references, skew
-from weftgraph.session import read_table, stored
+from weftgraph.session import read_table, shared_path, stored
 
 NAME = "name:string:users"
 
@@ -70,8 +70,10 @@ def p3_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics and limits of the declared columns, of states that are kept in a folder of their own: no other run's are known here."""
+    folder = shared_path(spark, "states")
     parts = [("nodes", [profile.AGE, profile.NAME]), ("rels", [profile.SINCE])]
-    every = [profile.metrics(profile.scan_states(read_table(spark, d, t), t, checks)) for t, checks in parts]
+    every = [profile.metrics(profile.History(spark, folder, t, checks).refresh(read_table(spark, d, t)).states()) for t, checks in parts]
     measured = every[0].unionByName(every[1])
     limits = [profile.limits_table(measured, t, checks) for t, checks in parts]
     return measured, limits[0].unionByName(limits[1])
@@ -91,6 +93,19 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return nodes.unionByName(rels)
 
 
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What p4_profile has that is exact: counts, ranges and forms."""
+    out = None
+    for t in ("nodes", "rels"):
+        table = read_table(spark, d, t)
+        states = profile.scan_states(table, t, profile.checks_of(table, ("load_no",)), sketch=True)
+        text = F.col("field_name").isin(*[f.name for f in table.schema if f.dataType.simpleString() == "string"])
+        ranges = [F.when(text, F.col(c)).alias(c) for c in ("lowest", "highest")] + [f"{side}_{k}" for k in ("whole", "day", "time") for side in ("low", "high")]
+        part = states.select("tbl", "field_name", "load_no", "n_rows", "n_blank", "n_good", *ranges, *profile.FORM_COLUMNS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p4_columns(spark: SparkSession, d: str) -> DataFrame:
     """The control limits of p4_limits, whose SQL has three columns, for the measures of every column of p4_profile."""
     every = [profile.long_measures(profile.column_measures(read_table(spark, d, t), t, ("load_no",))) for t in ("nodes", "rels")]
@@ -117,7 +132,7 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rules, p1_reasons, p1_loaded, p1_cells, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_columns, p5_found, p5_lifespans, p5_nodes)
+    f.__name__: f for f in (p1_found, p1_rules, p1_reasons, p1_loaded, p1_cells, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_counts, p4_columns, p5_found, p5_lifespans, p5_nodes)
 }
 
 _IS_KEY = "({c} is not null and not regexp_full_match({c}, ' *') and not regexp_matches({c}, '[\\x00-\\x1f\\x7f\\x{{fffd}}]') and (length({c}) - length(replace({c}, '\"', ''))) % 2 = 0)"
@@ -207,6 +222,33 @@ measured as (
   where m.value is not null)
 """
 
+_FORM = {"whole": r"[+-]?[0-9]+", "real": r"[+-]?[0-9]*[.,][0-9]+", "day": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "name": r"\p{Lu}[\p{L}''\-]*( \p{Lu}[\p{L}''\-]*)+", "word": r"[\p{L}_]+", "spaces": r"[ \t\n\x0B\f\r]+"}
+_FORM_CASE = "case " + " ".join(f"when regexp_full_match(v, '{f}') then '{n}'" for n, f in _FORM.items()) + " else 'other' end"
+
+
+def _column_sql(tbl: str, column: str, good: str = "true", whole: str = "null::bigint", day: str = "null::date", time: str = "null::timestamp", text: bool = True) -> str:
+    return f"""select '{tbl}' as tbl, '{column}' as field_name, load_no, v, {str(text).lower()} as is_text, coalesce(v <> '' and ({good}), false) as good, {whole} as w, {day} as dy, {time} as tm from (select *, "{column}"::varchar as v from {tbl})"""
+
+
+_WHOLE_64 = "case when regexp_full_match(v, '[+-]?[0-9]+') then try_cast(v as bigint) end"
+_COUNTS = "with cells as (" + " union all ".join(
+    [
+        *[_column_sql(t, "row_id", whole="row_id", text=False) for t in ("nodes", "rels")],
+        *[_column_sql(t, c, time=c, text=False) for t, c in (("nodes", "loaded_at"), ("nodes", "deleted_at"), ("rels", "loaded_at"))],
+        _column_sql("nodes", "age", _WELL["age"], "try_cast(v as int)"),
+        _column_sql("nodes", NAME, _WELL["name"]),
+        _column_sql("nodes", "works_on"),
+        *[_column_sql("rels", c, _key("v")) for c in ("c0", "c1")],
+        _column_sql("rels", "c2"),
+        _column_sql("rels", "c3", _WELL["c3"], day="try_cast(v as date)"),
+        _column_sql("rels", "c4", f"{_WHOLE_64} is not null", _WHOLE_64),
+    ]
+) + f"""), formed as (select *, case when v <> '' then {_FORM_CASE} end as form from cells)
+select tbl, field_name, load_no, count(*) as n_rows, count(*) filter (v is null or v = '') as n_blank, count(*) filter (good) as n_good,
+  case when any_value(is_text) then min(nullif(v, '')) end as lowest, case when any_value(is_text) then max(nullif(v, '')) end as highest,
+  min(w) filter (good) as low_whole, max(w) filter (good) as high_whole, min(dy) filter (good) as low_day, max(dy) filter (good) as high_day, min(tm) filter (good) as low_time, max(tm) filter (good) as high_time,
+  {', '.join(f"count(*) filter (form = '{n}') as form_{n}" for n in (*_FORM, 'other'))} from formed group by tbl, field_name, load_no"""
+
 SQL: dict[str, str] = {
     "p1_found": "with " + _PARSE_SQL + f"""
 select 'raw_lines' as tbl, line_id as row_key from bad_lines
@@ -237,6 +279,7 @@ join limits l on a.tbl = l.tbl and a.field_name = l.field_name and a.measure_nam
 h as (select a.tbl, a.field_name, a.measure_name, a.load_no, a.value, count(b.value) as n_before, avg(b.value) as centre, stddev_samp(b.value) as deviation
   from measured a left join measured b on a.tbl = b.tbl and a.field_name = b.field_name and a.measure_name = b.measure_name and b.load_no < a.load_no group by all)
 select tbl, field_name, measure_name, load_no, n_before, coalesce(n_before >= 3 and abs(value - centre) > 3 * deviation + 1e-9, false) as outside, round(value, 6) as value, round(centre, 6) as centre, round(deviation, 6) as deviation from h""",
+    "p4_counts": _COUNTS,
     "p5_lifespans": r"""with f as (select *, row_number() over (partition by series order by arrived_at, file_no) as seq from raw_files),
 c as (select series, seq, string_split(unnest(string_split(header, delim)), ':') as p from f),
 g as (select series, seq, p[1] as field, coalesce(nullif(lower(p[2]), ''), 'string') as t from c),
