@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from weftgraph.operators import profile as pr
-from weftgraph.operators.drift import alias_table, catalogue, lifespans, one_table, schema_changes
+from weftgraph.operators.drift import alias_table, catalogue, header_cells, lifespans, one_table, schema_changes
 
 NODES = "row_id bigint, load_no int, `name:string:users` string, age string, f0_cell string, load string"
 
@@ -126,17 +126,21 @@ def test_schema_changes(spark):
         (2, "age", "retyped"), (2, "born", "added"), (2, "firm", "renamed"), (2, "firm", "retyped"), (2, "person", "renamed"),
         (3, "firm", "removed"), (3, "since", "renamed"), (3, "town", "added"), (4, "since", "removed"), (4, "town", "removed"),
     ]
-    spans = {(r.field, r.type, r.first_seq, r.last_seq) for r in lifespans(catalogue(files[0])).collect()}
+    spans = {(r.field, r.type, r.first_seq, r.last_seq) for r in lifespans(catalogue(header_cells(files[0]))).collect()}
     assert ("age", "string", 1, 2) in spans and ("age", "int", 3, 5) in spans and ("town", "string", 4, 4) in spans
 
 
 def test_one_table(spark):
     files = corpus(spark, [(["name", "age", "works_on"], [name, str, firm], "\t"), (["person", "age:int", "works_on:string_array"], [name, str, lambda i: "Buvu Works,Zoke Lab"], "\t")], 5)
     table = spark.createDataFrame([(1, "Cy Ta", "x", "Lebe Press")], "row_id bigint, n string, age string, firm string")
-    got = one_table(*files, {"old": (table, {"n": "name", "age": "age", "firm": "works_on"})}, ("nodes",))
+    got = one_table(*files, {"old": (table, {"n": "name", "age": "age", "firm": "works_on"})}, ("nodes",), {"age": "int"})
     assert dict(got.dtypes) == {"origin": "string", "row_key": "bigint", "name": "string", "age": "int", "works_on": "array<string>"}
     rows = {(r.origin, r.row_key): r for r in got.collect()}
     assert len(rows) == 11 and rows[("nodes", 1000)].works_on == ["Buvu Works", "Zoke Lab"] and rows[("nodes", 1000)].name == name(7)
+    cells = one_table(*files, {"old": (table, {"n": "name", "age": "age", "firm": "works_on"})}, ("nodes",), {"age": "int"}, unread=True).where("size(unread) > 0").collect()
+    assert [(r.origin, r.row_key, [tuple(u) for u in r.unread]) for r in cells] == [("old", 1, [("age", "x")])]
+    free = one_table(*files, {}, ("nodes",))
+    assert dict(free.dtypes)["age"] == "string" and free.count() == 10  # of a text and an int only a text holds all
     assert rows[("old", 1)].age is None and rows[("old", 1)].works_on == ["Lebe Press"] and rows[("nodes", 2)].age == 2
 
 
@@ -144,8 +148,8 @@ def test_no_values_no_rename_and_empty_tables(spark):
     files, lines = corpus(spark, [(["a", "b"], [str, day], "\t"), (["a", "c"], [str, day], "\t")])
     assert changes(spark, (files, lines.where("false"))) == [(1, "b", "removed"), (1, "c", "added")]
     assert schema_changes(files.where("false"), lines).count() == 0
-    alias, types = alias_table(files, lines, ("nodes",), {})
-    assert alias[(99, "c")] == "b" and types == {"a": "string", "b": "string"}
+    alias, types = alias_table(files, lines, {})
+    assert {r.file_no: r.columns for r in alias.collect()} == {100: ["a", "b"], 99: ["a", "b"]} and types == {"a": "string", "b": "string"}
 
 
 def test_every_measure_of_every_column_moves(spark):
@@ -187,7 +191,7 @@ def test_one_table_keeps_columns_of_loaded_tables(spark):
     at = datetime(2025, 1, 1)
     nodes = spark.createDataFrame([(1, "A", 3, at, None), (2, "B", 4, at, at)], "row_id bigint, n string, load_no int, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
     other = spark.createDataFrame([(1, "C", at)], "row_id bigint, n string, loaded_at timestamp_ntz")
-    got = one_table(*files, {"old": (nodes, {"n": "name", "load_no": "load_no", "loaded_at": "loaded_at", "deleted_at": "deleted_at"}), "older": (other, {"n": "name", "loaded_at": "loaded_at"})}, ("nodes",))
+    got = one_table(*files, {"old": (nodes, {"n": "name", "load_no": "load_no", "loaded_at": "loaded_at", "deleted_at": "deleted_at"}), "older": (other, {"n": "name", "loaded_at": "loaded_at"})}, ("nodes",), {"age": "int"})
     assert got.dtypes[2:] == [("age", "int"), ("name", "string"), ("load_no", "int"), ("loaded_at", "timestamp_ntz"), ("deleted_at", "timestamp_ntz")]
     rows = {(r.origin, r.row_key): (r.load_no, r.loaded_at, r.deleted_at) for r in got.collect()}
     assert rows == {("nodes", 0): (None, None, None), ("nodes", 1): (None, None, None), ("old", 1): (3, at, None), ("old", 2): (4, at, at), ("older", 1): (None, at, None)}
@@ -200,4 +204,18 @@ def test_two_like_fields_renamed_in_one_file(spark):
     a, b, d = pick(*range(10)), pick(*range(9), 10), pick(*range(7), 10, 11, 12)
     files = corpus(spark, [(["id", "a", "b"], [str, a, b], "\t"), (["id", "c", "d"], [str, a, d], "\t")])
     assert changes(spark, files) == [(1, "c", "renamed"), (1, "d", "renamed")]
-    assert alias_table(*files, ("nodes",), {})[0][99, "d"] == "b"
+    assert {r.file_no: r.columns for r in alias_table(*files, {})[0].collect()}[99] == ["id", "a", "b"]
+
+
+def test_whole_numbers_that_a_double_loses(spark):
+    files = corpus(spark, [(["n:long"], [lambda i: str(9007199254740992 + i)], "\t"), (["n:double"], [lambda i: f"{i}.5"], "\t")], 3)
+    got = one_table(*files, {}, ("nodes",), unread=True)
+    assert dict(got.dtypes)["n"] == "double"
+    assert sorted((r.row_key, r.unread[0].text) for r in got.where("size(unread) > 0").collect()) == [(1, "9007199254740993"), (2, "9007199254740994")]
+
+
+def test_renamed_back_and_broken_lives(spark):
+    """A field that is renamed and renamed back is one column; one that goes and comes again with other values is too, by its name."""
+    files = corpus(spark, [(["id", "name"], [str, name], "\t"), (["id", "person"], [str, name], "\t"), (["id", "name"], [str, name], "\t"), (["id"], [str], "\t"), (["id", "name"], [str, town], "\t")])
+    assert changes(spark, files) == [(1, "person", "renamed"), (2, "name", "renamed"), (3, "name", "removed"), (4, "name", "added")]
+    assert [r.columns for r in alias_table(*files, {})[0].orderBy("file_no", ascending=False).collect()] == [["id", "name"], ["id", "name"], ["id", "name"], ["id"], ["id", "name"]]

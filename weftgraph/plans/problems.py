@@ -119,20 +119,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
-    return drift.lifespans(drift.catalogue(read_table(spark, d, "raw_files")))
+    return drift.lifespans(drift.catalogue(drift.header_cells(read_table(spark, d, "raw_files"))))
 
 
-def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+def _all_nodes(spark: SparkSession, d: str, unread: bool) -> DataFrame:
     times = {"loaded_at": "loaded_at", "deleted_at": "deleted_at"}
     loaded = {
         "nodes": (read_table(spark, d, "nodes"), {NAME: "name", "age": "age", "works_on": "works_on", "load_no": "load_no"} | times),
         "nodes2": (read_table(spark, d, "nodes2"), {NAME: "name", "age": "age", "employer": "works_on"} | times),
     }
-    return drift.one_table(read_table(spark, d, "raw_files"), read_table(spark, d, "raw_lines"), loaded)
+    # what the problems say of fields: names are texts, an age is an int whatever its header says
+    return drift.one_table(read_table(spark, d, "raw_files"), read_table(spark, d, "raw_lines"), loaded, fixed={"name": "string", "age": "int"}, unread=unread)
+
+
+def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _all_nodes(spark, d, False)
+
+
+def p5_unread(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of the records in p5_nodes that aren't of their column's type and are null there."""
+    return _all_nodes(spark, d, True).select("origin", "row_key", F.explode("unread").alias("u")).select("origin", "row_key", "u.column", "u.text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rules, p1_reasons, p1_loaded, p1_cells, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_counts, p4_columns, p5_found, p5_lifespans, p5_nodes)
+    f.__name__: f for f in (p1_found, p1_rules, p1_reasons, p1_loaded, p1_cells, p2_found, p2_report, p3_found, p3_stats, p4_found, p4_limits, p4_profile, p4_counts, p4_columns, p5_found, p5_lifespans, p5_nodes, p5_unread)
 }
 
 _IS_KEY = "({c} is not null and not regexp_full_match({c}, ' *') and not regexp_matches({c}, '[\\x00-\\x1f\\x7f\\x{{fffd}}]') and (length({c}) - length(replace({c}, '\"', ''))) % 2 = 0)"
@@ -280,6 +290,7 @@ h as (select a.tbl, a.field_name, a.measure_name, a.load_no, a.value, count(b.va
   from measured a left join measured b on a.tbl = b.tbl and a.field_name = b.field_name and a.measure_name = b.measure_name and b.load_no < a.load_no group by all)
 select tbl, field_name, measure_name, load_no, n_before, coalesce(n_before >= 3 and abs(value - centre) > 3 * deviation + 1e-9, false) as outside, round(value, 6) as value, round(centre, 6) as centre, round(deviation, 6) as deviation from h""",
     "p4_counts": _COUNTS,
+    "p5_unread": f"select 'nodes' as origin, row_id as row_key, 'age' as \"column\", age as text from nodes where age <> '' and not {_INT.format(c='age', t='int')}",
     "p5_lifespans": r"""with f as (select *, row_number() over (partition by series order by arrived_at, file_no) as seq from raw_files),
 c as (select series, seq, string_split(unnest(string_split(header, delim)), ':') as p from f),
 g as (select series, seq, p[1] as field, coalesce(nullif(lower(p[2]), ''), 'string') as t from c),
