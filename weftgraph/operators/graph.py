@@ -58,7 +58,7 @@ def with_ids(rows: DataFrame, files: list[CellFile], base: int = 0, earlier: Dat
     columns = ["id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "props", "file_no"]
     implicit = [f for f in files if not has_explicit_ids(f.fields)]
     if len(implicit) < len(files):
-        base = max(base, check_ids(rows.where("own"), earlier))
+        base = max(base, check_ids(rows.where("own") if implicit else rows, earlier))
     if not implicit:
         return rows.select(*columns)
     if all(f.kept is not None for f in implicit):
