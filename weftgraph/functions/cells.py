@@ -37,5 +37,5 @@ def is_key(cell: Column) -> Column:
     Not a key: null, empty, only spaces, a control character, U+FFFD, or an odd number of quotes.
     """
     quotes = F.length(cell) - F.length(F.replace(cell, F.lit('"'), F.lit("")))
-    good = ~cell.rlike(r"\A *\z") & ~cell.rlike(r"[\x00-\x1f\x7f\x{fffd}]") & (quotes % 2 == 0)
+    good = (F.trim(cell) != "") & ~cell.rlike(r"[\x00-\x1f\x7f\x{fffd}]") & (~cell.contains('"') | (quotes % 2 == 0))
     return F.coalesce(good, F.lit(False))

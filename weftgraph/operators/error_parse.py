@@ -253,13 +253,15 @@ def parse_records(lines: DataFrame, files: DataFrame, failed: bool = True, loade
     parts = F.transform(F.split("header", F.concat(F.lit(r"\Q"), "delim", F.lit(r"\E")), -1), lambda h: F.split(h, ":"))
     kind = lambda p: F.when(F.get(p, F.lit(0)) == "age", "int").otherwise(F.coalesce(F.nullif(F.lower(F.get(p, F.lit(1))), F.lit("")), F.lit("string")))
     heads = files.select("file_no", "series", "header", "delim", F.transform(parts, lambda p: F.get(p, F.lit(0))).alias("fields"), F.transform(parts, kind).alias("kinds"))
+    tested = F.filter(F.transform("kinds", lambda k, i: F.struct(i.alias("at"), k.alias("kind"))), lambda x: x["kind"].isin("int", "long", "double", "float"))
+    heads = heads.withColumn("tested", tested)  # once a file: most columns are texts
     joined = lines.select("line_id", "file_no", "line_no", "line").join(heads, "file_no", "left")
     record = F.when(F.col("line").endswith("\r"), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
     plain = (F.col("delim") != "") & ~F.col("line").contains('"') & F.col("header").isNotNull()
     short = F.col("series").isin("nodes", "nodes2") & (F.size("cells") == F.size("fields") - 1)
     cut = joined.withColumn("cells", F.when(plain, F.split(record, F.concat(F.lit(r"\Q"), "delim", F.lit(r"\E")), -1)))
     simple = F.coalesce((F.size("cells") == F.size("fields")) | short, F.lit(False)) & F.col("cells").isNotNull()
-    values = F.transform("cells", lambda c, i: F.when(_is_bad(c, F.get("kinds", i)), F.concat(F.get("fields", i), F.lit(" is no "), F.get("kinds", i))))
+    values = F.transform("tested", lambda t: F.when(_is_bad(F.get("cells", t["at"]), t["kind"]), F.concat(F.get("fields", t["at"]), F.lit(" is no "), t["kind"])))
     keys = _reasons(*[F.when((F.col("series") == "rels") & ~is_key(F.get("cells", F.lit(i))), F.lit(f"cell {i} is no key")) for i in (0, 1)])
     easy = cut.where(simple).withColumn("edits", F.concat(F.array_compact(values), keys)).withColumn("rule", F.when(F.size("edits") > 0, "value"))
     if not (failed and loaded):

@@ -132,7 +132,7 @@ def orphans(rels: DataFrame, tables: list[DataFrame], name: str = "name:string:u
         .where("kind = 'miss' or carried is null or carried <= t")
         .select("row_id", "side", "t")
     )
-    missing = settled.unionByName(refs.where("t is null").select("row_id", "side", "t"))
+    missing = settled.unionByName(references(rels.where("loaded_at is null")).select("row_id", "side", "t"))  # a filter that the scan takes
     return missing.select("row_id", F.when(F.col("side") == 1, "c0").otherwise("c1").alias("side"), "t")
 
 
