@@ -259,11 +259,12 @@ def parse_records(lines: DataFrame, files: DataFrame, failed: bool = True, loade
     record = F.when(F.col("line").endswith("\r"), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
     plain = (F.col("delim") != "") & ~F.col("line").contains('"') & F.col("header").isNotNull()
     short = F.col("series").isin("nodes", "nodes2") & (F.size("cells") == F.size("fields") - 1)
-    cut = joined.withColumn("cells", F.when(plain, F.split(record, F.concat(F.lit(r"\Q"), "delim", F.lit(r"\E")), -1)))
+    once = F.monotonically_increasing_id() >= 0  # true of every row; keeps Catalyst from copying what is worked out into each expression that reads it
+    cut = joined.withColumn("cells", F.when(plain & once, F.split(record, F.concat(F.lit(r"\Q"), "delim", F.lit(r"\E")), -1)))
     simple = F.coalesce((F.size("cells") == F.size("fields")) | short, F.lit(False)) & F.col("cells").isNotNull()
     values = F.transform("tested", lambda t: F.when(_is_bad(F.get("cells", t["at"]), t["kind"]), F.concat(F.get("fields", t["at"]), F.lit(" is no "), t["kind"])))
     keys = _reasons(*[F.when((F.col("series") == "rels") & ~is_key(F.get("cells", F.lit(i))), F.lit(f"cell {i} is no key")) for i in (0, 1)])
-    easy = cut.where(simple).withColumn("edits", F.concat(F.array_compact(values), keys)).withColumn("rule", F.when(F.size("edits") > 0, "value"))
+    easy = cut.where(simple).withColumn("edits", F.when(once, F.concat(F.array_compact(values), keys))).withColumn("rule", F.when(F.size("edits") > 0, "value"))
     if not (failed and loaded):
         easy = easy.where(F.col("rule").isNotNull() if failed else F.col("rule").isNull() if loaded else F.lit(False))
     ok = F.col("rule").isNull()
