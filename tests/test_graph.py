@@ -8,13 +8,13 @@ from weftgraph.cli import run
 from weftgraph.config import LoadConfig
 from weftgraph.operators.graph import Graph, dangling, load
 from weftgraph.operators.index import IndexSpec, distinct_entries, index_get, search
-from weftgraph.operators.ids import assign_ids, next_id
+from weftgraph.operators.ids import assign_ids, next_id, number_by_line
 from weftgraph.operators.sorting import sort_file
 from weftgraph.report import Phases
 from weftgraph.sources import generate
 from weftgraph.sources.cells import CellFile, read_cells
 from weftgraph.schema import header_of
-from weftgraph.streaming.append import append_stream, stream_rows
+from weftgraph.streaming.append import append_nodes, append_stream, stream_rows
 
 CELLS = "file_no int, line_no bigint, cells array<string>"
 USERS = [IndexSpec("node_index", "users")]
@@ -201,6 +201,15 @@ def test_ids_are_dense_in_order(spark):
     assert assign_ids(df.where("false"), ["k"]).count() == 0 and next_id(spark.createDataFrame([], "id bigint")) == 0
 
 
+@pytest.mark.parametrize("left_out,shuffles", [("false", 0), ("line_no % 3000 between 7 and 9", 0), ("file_no = 2 or line_no between 1 and 5000", 0), ("line_no % 3 = 0", 1), ("true", 0)])
+def test_ids_by_line_number(spark, left_out, shuffles):
+    lines = spark.range(1, 20_001).selectExpr("cast(1 + id % 3 as int) as file_no", "cast((id + 2) div 3 as bigint) as line_no").where(f"not ({left_out})")
+    got = number_by_line(lines, 6667, 5, unique=True)
+    rows = [tuple(r) for r in got.orderBy("id").select("id", "file_no", "line_no").collect()]
+    assert [r[0] for r in rows] == list(range(5, 5 + lines.count())) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
+
+
 def test_sort_file(spark, tmp_path):
     src = tmp_path / "r.csv"
     src.write_text("start\tend\t\n" + "".join(f"{i}\t{j}\t\n" for i in range(9, -1, -1) for j in range(9, -1, -1)))
@@ -234,3 +243,16 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"{k}.txt").write_text(f"{k}\tx\n\n{k + 10}\n")
         append_stream(stream_rows(spark, str(tmp_path / "in"), fields), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.a, r.b) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, "x"), (1, "x"), (10, None), (11, None)]
+
+
+def test_stream_into_a_graph(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    fields, path = header_of("name:string:users\tage:int"), str(tmp_path / "g")
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"A{k}\t{k}\n\nB{k}\t\n")
+        append_nodes(spark, str(tmp_path / "in"), fields, USERS, path, str(tmp_path / "cp")).awaitTermination()
+    g = Graph.read(spark, path)
+    assert sorted(r.id for r in g.nodes.collect()) == [0, 1, 2, 3] and sorted(r.props.name for r in g.nodes.collect()) == ["A0", "A1", "B0", "B1"]
+    assert index_get(g.index, "users", "name", "B1").count() == 1
+    build(spark, ["name:string:users\nX"], NO_RELS)[0].write(path, keep=True, name="batch1")  # a batch that is run again
+    assert Graph.read(spark, path).nodes.count() == 4

@@ -125,13 +125,13 @@ def is_resolved() -> Column:
     return (F.col("start") != ix.UNRESOLVED) & (F.col("end") != ix.UNRESOLVED)
 
 
-def relationships_of(rows: DataFrame, base: int = 0, total: int | None = None) -> DataFrame:
+def relationships_of(rows: DataFrame, base: int = 0, total: int | None = None, unique: bool = False) -> DataFrame:
     """(id, start, end, type, props) of the resolved rows, ids in file order after the skips. A resolved row without type aborts.
 
-    ``total``: the number of rows, where line numbers count them without gaps.
+    ``total``: the number of rows, or somewhat more, where line numbers count them; ``unique``: no line number stands twice in a file.
     """
     kept = rows.where(is_resolved())
-    kept = assign_ids(kept, ["file_no", "line_no"], base) if total is None else number_by_line(kept, total, base)
+    kept = assign_ids(kept, ["file_no", "line_no"], base) if total is None else number_by_line(kept, total, base, unique=unique)
     kind = F.coalesce("type", F.raise_error(F.concat(F.lit("relationship without type, row "), F.col("line_no").cast("string"))))
     return kept.select("id", "start", "end", kind.alias("type"), "props")
 
@@ -186,15 +186,17 @@ class Graph:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def write(self, path: str, keep: bool = False, phase: Phase = _silent) -> None:
+    def write(self, path: str, keep: bool = False, phase: Phase = _silent, name: str | None = None) -> None:
         """Write the tables beside the target and move them there when all are complete, so a failed load leaves the graph as it was.
 
         ``keep`` adds a load to those there are, in one rename; else the old graph stands aside until the new one is in place. ``phase`` surrounds the
-        writing of each table.
+        writing of each table. ``name``: of the load; with ``keep`` a load of that name that is there already stays, and nothing is written.
         """
         spark = self.nodes.sparkSession
-        name = uuid.uuid4().hex
-        beside = f"{path.rstrip('/')}-{name}"
+        name = name or uuid.uuid4().hex
+        if keep and self.exists(spark, f"{path.rstrip('/')}/load-{name}"):
+            return
+        beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
         fresh = f"{beside}/load-{name}"
         for label, table in (("nodes", self.nodes), ("relationships", self.relationships)):
             with phase(label):
@@ -205,7 +207,7 @@ class Graph:
             ix.tokens(written).write.partitionBy("index_name").parquet(f"{fresh}/tokens")
         jvm = spark.sparkContext._jvm
         fs_path = jvm.org.apache.hadoop.fs.Path
-        target, new, old = fs_path(path), fs_path(beside), fs_path(f"{path.rstrip('/')}-{name}-old")
+        target, new, old = fs_path(path), fs_path(beside), fs_path(f"{beside}-old")
         fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
         def move(source, to) -> None:
@@ -262,7 +264,7 @@ def load(
     probed = index.unionByName(earlier.index.select(*ix.ENTRY)) if earlier else index
     rows = [resolved_rows(f.rows, f.fields, probed, separator, regex, f.kept is not None) for f in rel_files]
     united = union_rows(rows, clash) if rows else spark.createDataFrame([], _REL_ROWS)
-    rels = relationships_of(united, next_id(earlier.relationships) if earlier else 0, known_rows(rel_files))
+    rels = relationships_of(united, next_id(earlier.relationships) if earlier else 0, known_rows(rel_files), True)
     marked = [f for f in rel_files if any(c.index for c in f.fields[REL_OFFSET:])]
     for f in marked:
         index = index.unionByName(ix.entries(rels, [c for c in f.fields if c.position < REL_OFFSET or c.name in prop_names(rels)], "relationship_index", REL_OFFSET, named))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import small_table, stored
 
+GAPS_A_BUCKET = 8  # missing lines for each bucket up to which they are looked up, row by row
 _SHIFT = 33  # monotonically_increasing_id: partition number above, place in the partition below
 
 
@@ -29,23 +30,40 @@ def assign_ids(rows: DataFrame, order: list[str], base: int = 0, name: str = "id
     return kept.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start", "_at")
 
 
-def number_by_line(rows: DataFrame, total: int, base: int = 0, name: str = "id") -> DataFrame:
+def number_by_line(rows: DataFrame, total: int, base: int = 0, name: str = "id", unique: bool = False) -> DataFrame:
     """As ``assign_ids`` over (file_no, line_no), for rows whose line numbers lie in 1 to about ``total`` per file, some of them left out.
 
-    Lines fall into buckets of equal width; one count per bucket comes to the driver, ranks are counted inside a bucket. One hash shuffle, no sampling
-    and nothing stored; the rows before it are evaluated twice, for counting only as far as that needs them.
+    Lines fall into buckets of equal width; one count per bucket comes to the driver. Nothing is sampled or stored; the rows before it are evaluated twice, for
+    counting only as far as that needs them. ``unique``: no line number stands twice in a file. Then an id follows from the line number and the lines missing before it
+    in its bucket, without a shuffle, as long as there are few of these for a bucket; otherwise ranks are counted inside a bucket, after one hash shuffle.
     """
     spark = rows.sparkSession
     width = min(1 << 20, max(4096, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1))
     bucket = F.floor(F.col("line_no") / width).cast("bigint")
-    counts = rows.groupBy("file_no", bucket.alias("_bucket")).agg(F.count("*").alias("n")).collect()
-    starts, at = [], base
+    keys = ["file_no", "_bucket"]
+    placed = rows.withColumn("_bucket", bucket)
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).collect()
+    starts, at, gaps = [], base, {}
     for r in sorted(counts, key=lambda r: (r.file_no, r._bucket)):
-        starts.append((r.file_no, r._bucket, at))
+        starts.append((r.file_no, r._bucket, at, r.lo))
         at += r.n
-    offsets = small_table(spark, starts, "file_no int, _bucket bigint, _start bigint")
-    place = F.row_number().over(Window.partitionBy("file_no", "_bucket").orderBy("line_no"))
-    return rows.withColumn("_bucket", bucket).withColumn("_place", place).join(offsets, ["file_no", "_bucket"]).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_bucket", "_place", "_start")
+        if r.hi - r.lo + 1 != r.n:
+            gaps[r.file_no, r._bucket] = r.hi - r.lo + 1 - r.n
+    if not unique or sum(gaps.values()) > GAPS_A_BUCKET * len(counts):
+        offsets = small_table(spark, [x[:3] for x in starts], "file_no int, _bucket bigint, _start bigint")
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))
+        return placed.withColumn("_place", place).join(offsets, keys).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_bucket", "_place", "_start")
+    runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    if gaps:
+        before = F.lag("line_no").over(Window.partitionBy(*keys).orderBy("line_no"))
+        near = placed.join(small_table(spark, list(gaps), "file_no int, _bucket bigint"), keys, "left_semi").select(*keys, "line_no", (F.col("line_no") - before - 1).alias("missing"))
+        for r in near.where("missing > 0").collect():  # no more rows than there are missing lines
+            runs.setdefault((r.file_no, r._bucket), []).append((r.line_no, r.missing))
+    known = [(*x, runs.get(x[:2], [])) for x in starts]
+    offsets = small_table(spark, known, "file_no int, _bucket bigint, _start bigint, _lo bigint, _runs array<struct<after: bigint, missing: bigint>>")
+    passed = F.aggregate(F.col("_runs"), F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["after"] <= F.col("line_no"), x["missing"]).otherwise(0))
+    missing = F.when(F.size("_runs") > 0, passed).otherwise(0)
+    return placed.join(offsets, keys).withColumn(name, F.col("_start") + F.col("line_no") - F.col("_lo") - missing).drop("_bucket", "_start", "_lo", "_runs")
 
 
 def next_id(entities: DataFrame) -> int:

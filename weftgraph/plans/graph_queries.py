@@ -75,7 +75,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def relationships(spark: SparkSession, d: str) -> DataFrame:
     fields = parse_header(["start", "end", "kind:label", "price:double"])
     cells = cells_from_table(read_table(spark, d, "orders"), ["o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice"], "o_orderkey")
-    made = graph.relationships_of(graph.resolved_rows(cells, fields, None), total=_last(spark, d, "orders", "o_orderkey"))
+    made = graph.relationships_of(graph.resolved_rows(cells, fields, None), total=_last(spark, d, "orders", "o_orderkey"), unique=True)
     return made.select("id", "start", "end", "type", "props.price")
 
 
@@ -135,7 +135,7 @@ def import_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rel_ids(spark: SparkSession, d: str) -> DataFrame:
-    return graph.relationships_of(_order_rows(spark, d, RICH), total=_last(spark, d, "orders", "o_orderkey")).select("id", "start", "end")
+    return graph.relationships_of(_order_rows(spark, d, RICH), total=_last(spark, d, "orders", "o_orderkey"), unique=True).select("id", "start", "end")
 
 
 def index_hit_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,7 @@ def auto_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def auto_index_rels(spark: SparkSession, d: str) -> DataFrame:
-    made = graph.relationships_of(_order_rows(spark, d), total=_last(spark, d, "orders", "o_orderkey"))
+    made = graph.relationships_of(_order_rows(spark, d), total=_last(spark, d, "orders", "o_orderkey"), unique=True)
     return index.entries(made, ORDER, "relationship_index", graph.REL_OFFSET).select(*index.ENTRY)
 
 
