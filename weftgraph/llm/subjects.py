@@ -301,18 +301,23 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, cfg: Settings
     chosen = labels.where(draw < math.ceil((1 << 20) * min(1.0, cfg.pages / max(labelled, 1))))
     per = chosen.groupBy("doc_id").agg(F.count_distinct("annotator").alias("annotators"), F.to_json(F.collect_set(F.struct("subject", "annotator"))).alias("given"))
     pages = docs.select("doc_id", "text", "lang").where(F.trim("text") != "").join(per, "doc_id")
-    parts = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cfg.folds))))
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["doc_id", "text"])
+    parts = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cfg.folds)))).repartitionById(cfg.folds + 1, F.col("part"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task has the pages of one part: about cfg.pages of them."""
+        groups = list(batches)
+        if not sum(map(len, groups)):
+            return
+        rows = pd.concat(groups).sort_values(["doc_id", "text"])
         votes = []
         for annotators, given in zip(rows["annotators"], rows["given"], strict=True):
             counts = Counter(g["subject"] for g in json.loads(given) if g.get("subject") is not None)
             votes.append({s: n / max(annotators, 1) for s, n in counts.items()})
-        made = fit_part(int(key[0]), list(rows["text"]), [x if isinstance(x, str) else None for x in rows["lang"]], votes, names, cfg)
-        return pd.DataFrame({"part": [int(key[0])], "made": [pickle.dumps(made)]})
+        part = int(rows["part"].iloc[0])
+        made = fit_part(part, list(rows["text"]), [x if isinstance(x, str) else None for x in rows["lang"]], votes, names, cfg)
+        yield pd.DataFrame({"part": [part], "made": [pickle.dumps(made)]})
 
-    done = {r.part: pickle.loads(r.made) for r in parts.groupBy("part").applyInPandas(run, "part int, made binary").collect()}
+    done = {r.part: pickle.loads(r.made) for r in parts.mapInPandas(run, "part int, made binary").collect()}
     return finish([done.get(k) for k in range(cfg.folds + 1)], names, cfg)
 
 
