@@ -17,70 +17,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.functions.cells import DAY_FORM, NAME_FORM, as_day, as_int, as_long, is_blank, is_key
+from weftgraph.functions.cells import DAY_FORM, NAME_FORM, as_day, as_int, as_long, is_key
 from weftgraph.session import stored
 
 
 @dataclass(frozen=True)
 class Check:
-    """What is declared of a column: its form, its range, the number its mean is of, and the measures that are watched with their limits.
+    """What is declared of a column: the value of a well-formed cell (null of any other), its range, the number its mean is of, and the measures that are watched with their limits.
 
-    ``kind`` (whole, real, day, time or text) and ``value``, the typed value of a well-formed cell, say how its values are binned.
+    ``value`` is of the cell's text, ``in_range`` and ``number`` are of the value; ``kind`` (whole, real, day, time or text) says what it is.
     """
 
     field: str
-    well_formed: Callable[[Column], Column] = lambda c: F.lit(True)
-    in_range: Callable[[Column], Column] = lambda c: F.lit(True)
-    number: Callable[[Column], Column] = lambda c: F.char_length(c)
+    value: Callable[[Column], Column] = lambda c: c
+    in_range: Callable[[Column], Column] = lambda v: F.lit(True)
+    number: Callable[[Column], Column] = lambda v: F.char_length(v)
     limits: dict[str, float] = field(default_factory=dict)
     exact_distinct: bool = False
     kind: str = "text"
-    value: Callable[[Column], Column] = lambda c: c
 
 
-AGE = Check(
-    "age",
-    lambda c: as_int(c).isNotNull(),
-    lambda c: as_int(c).between(0, 120),
-    as_int,
-    {"null_rate": 0.06, "bad_rate": 0.06, "out_rate": 0.04, "mean": 4.0},
-    kind="whole",
-    value=as_int,
-)
+AGE = Check("age", as_int, lambda v: v.between(0, 120), lambda v: v, {"null_rate": 0.06, "bad_rate": 0.06, "out_rate": 0.04, "mean": 4.0}, kind="whole")
 NAME = Check(
     "name:string:users",
-    lambda c: c.rlike(NAME_FORM),
+    lambda c: F.when(c.rlike(NAME_FORM), c),
     limits={"null_rate": 0.06, "bad_rate": 0.06, "mean": 2.0, "distinct_rate": 0.06},
     exact_distinct=True,
 )
-SINCE = Check(
-    "c3",
-    lambda c: c.rlike(DAY_FORM) & as_day(c).isNotNull(),
-    lambda c: as_day(c).between("1950-01-01", "2025-12-31"),
-    lambda c: F.year(as_day(c)),
-    {"null_rate": 0.06, "bad_rate": 0.06, "out_rate": 0.04, "mean": 3.0},
-    kind="day",
-    value=as_day,
-)
-ENDS = [Check(c, is_key) for c in ("c0", "c1")]
-COUNTER = Check("c4", lambda c: as_long(c).isNotNull(), number=as_long, kind="whole", value=as_long)
+SINCE = Check("c3", as_day, lambda v: v.between("1950-01-01", "2025-12-31"), F.year, {"null_rate": 0.06, "bad_rate": 0.06, "out_rate": 0.04, "mean": 3.0}, kind="day")
+ENDS = [Check(c, lambda c: F.when(is_key(c), c)) for c in ("c0", "c1")]
+COUNTER = Check("c4", as_long, number=lambda v: v, kind="whole")
 
 
 def check_of(column: T.StructField) -> Check:
     """The check of a column that nothing is declared of: of its type, all cells well-formed and in range, with the mean of its numbers, days since 1970 or text lengths."""
     own, kind = F.col(f"`{column.name}`"), column.dataType
     if isinstance(kind, T.IntegralType):
-        return Check(column.name, number=lambda c: own, kind="whole", value=lambda c: own)
+        return Check(column.name, lambda c: own, number=lambda v: v, kind="whole")
     if isinstance(kind, T.NumericType):
-        return Check(column.name, number=lambda c: own, kind="real", value=lambda c: own.cast("double"))
+        return Check(column.name, lambda c: own.cast("double"), number=lambda v: v, kind="real")
     if isinstance(kind, T.DateType):
-        return Check(column.name, number=lambda c: F.unix_date(own), kind="day", value=lambda c: own)
+        return Check(column.name, lambda c: own, number=F.unix_date, kind="day")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return Check(column.name, number=lambda c: F.unix_date(own.cast("date")), kind="time", value=lambda c: own)
+        return Check(column.name, lambda c: own, number=lambda v: F.unix_date(v.cast("date")), kind="time")
     return Check(column.name)
 
 
-
 # The classes that the form of a cell is counted in, and their patterns.
 FORMS = {"whole": r"\A[+-]?[0-9]+\z", "real": r"\A[+-]?[0-9]*[.,][0-9]+\z", "day": DAY_FORM, "name": NAME_FORM, "word": r"\A[\p{L}_]+\z", "spaces": r"\A\s+\z"}
 _SUMS = ("n_rows", "n_blank", "n_good", "n_in", "total", "squares")
@@ -93,36 +75,42 @@ TEXT_BINS, BINS_A_DOUBLING, SKETCH_LOG2 = 64, 4, 14
 MEAN_SPREADS = 0.25  # a mean without a limit of its own moves by this part of the deviation
 
 
-def _bin_of(check: Check, cell: Column) -> Column:
-    """The bin of a cell: fixed before any row is seen, so that counts of bins merge. Null where it is blank or ill-formed.
+def _bin_of(check: Check, value: Column) -> Column:
+    """The bin of a value: fixed before any row is seen, so that counts of bins merge. Null where there is none.
 
     Whole and real numbers: quarters of a doubling of 1 + its size, with its sign; days: years; times: months (12 * year + month); texts: one of TEXT_BINS by hash.
     """
-    value = check.value(cell)
     if check.kind in ("whole", "real"):
         size = F.least(BINS_A_DOUBLING * F.log2(1 + F.abs(value.cast("double"))), F.lit(1e5))  # also of infinities and NaN
-        at = F.ceil(F.when(value < 0, -size).otherwise(size))
+        at = F.ceil(size * F.when(value < 0, -1).otherwise(1))
     elif check.kind == "day":
         at = F.year(value)
     elif check.kind == "time":
         at = 12 * F.year(value) + F.month(value)
     else:
         at = F.pmod(F.xxhash64(value), F.lit(TEXT_BINS))
-    return F.when(~is_blank(cell) & F.coalesce(check.well_formed(cell), F.lit(False)), at.cast("int"))
+    return F.when(value.isNotNull(), at.cast("int"))
+
+
+def _read(table: DataFrame, checks: list[Check], by: str) -> DataFrame:
+    """(load, c0, v0, c1, v1, ...): the text of each filled cell and its value, worked out once: what follows reads them many times."""
+    once = F.monotonically_increasing_id() >= 0  # true of every row; keeps Catalyst from copying a conversion into each expression that reads it
+    columns = []
+    for i, check in enumerate(checks):
+        cell = F.col(f"`{check.field}`").cast("string")
+        columns += [F.when(once & (cell != ""), cell).alias(f"c{i}"), F.when(once & (cell != ""), check.value(cell)).alias(f"v{i}")]
+    return table.select(F.col(by).alias("load"), *columns)
 
 
-def _facts_of(check: Check, sketch: bool) -> dict[str, Column]:
-    """What the aggregates need to know of a cell, worked out once per cell. ``number`` is null outside the range."""
-    cell = F.col(f"`{check.field}`").cast("string")
-    filled = ~is_blank(cell)
-    good = filled & F.coalesce(check.well_formed(cell), F.lit(False))
-    within = good & F.coalesce(check.in_range(cell), F.lit(False))
-    number = F.when(within, check.number(cell).cast("double" if sketch else "bigint"))
-    facts = {"cell": F.when(filled, cell), "good": good, "within": within, "number": number}
+def _facts_of(check: Check, sketch: bool, i: int) -> dict[str, Column]:
+    """What the aggregates need to know of a cell. ``number`` is null outside the range."""
+    cell, value = F.col(f"c{i}"), F.col(f"v{i}")
+    within = value.isNotNull() & F.coalesce(check.in_range(value), F.lit(False))
+    facts = {"cell": cell, "good": value.isNotNull(), "within": within, "number": F.when(within, check.number(value).cast("double" if sketch else "bigint"))}
     if sketch:
-        facts["form"] = reduce(lambda w, f: w.when(cell.rlike(f[1][1]), f[0]), enumerate(FORMS.items()), F.when(~filled, None)).otherwise(len(FORMS))
+        facts["form"] = reduce(lambda w, f: w.when(cell.rlike(f[1][1]), f[0]), enumerate(FORMS.items()), F.when(cell.isNull(), None)).otherwise(len(FORMS))
         if check.kind in EXTREMES:
-            facts["value"] = F.when(good, check.value(cell).cast(EXTREMES[check.kind]))
+            facts["value"] = value.cast(EXTREMES[check.kind])
     return facts
 
 
@@ -156,10 +144,10 @@ def wide_states(table: DataFrame, checks: list[Check], by: str = "load_no", sket
         raise ValueError("only one column can have an exact distinct count")
     facts, aggs = [], []
     for i, check in enumerate(checks):
-        facts += [c.alias(f"f{i}_{n}") for n, c in _facts_of(check, sketch).items()]
+        facts += [c.alias(f"f{i}_{n}") for n, c in _facts_of(check, sketch, i).items()]
         aggs += [a.alias(f"s{i}_{n}") for n, a in _states_of(check, sketch, f"f{i}_").items()]
     value = F.col(f"f{exact[0]}_cell") if exact else F.lit(None).cast("string")
-    return table.select(F.col(by).alias("load"), *facts).withColumn("value", value).groupBy("load", "value").agg(*aggs)
+    return _read(table, checks, by).select("load", *facts).withColumn("value", value).groupBy("load", "value").agg(*aggs)
 
 
 def merge_wide(states: DataFrame, *keys: str) -> DataFrame:
@@ -231,8 +219,8 @@ class History:
 
 def scan_bins(table: DataFrame, tbl: str, checks: list[Check], by: str = "load_no") -> DataFrame:
     """(tbl, field_name, load_no, bin, n): the histogram of the well-formed values of every check and load, in one scan."""
-    bins = F.array(*[_bin_of(c, F.col(f"`{c.field}`").cast("string")) for c in checks])
-    counted = table.select(F.col(by).alias("load_no"), F.posexplode(bins).alias("at", "bin")).where("bin is not null").groupBy("load_no", "at", "bin").agg(F.count("*").alias("n"))
+    bins = F.array(*[_bin_of(c, F.col(f"v{i}")) for i, c in enumerate(checks)])
+    counted = _read(table, checks, by).select(F.col("load").alias("load_no"), F.posexplode(bins).alias("at", "bin")).where("bin is not null").groupBy("load_no", "at", "bin").agg(F.count("*").alias("n"))
     names = F.array(*[F.lit(c.field) for c in checks])
     return counted.select(F.lit(tbl).alias("tbl"), F.get(names, F.col("at")).alias("field_name"), "load_no", "bin", "n")
 
