@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions.cells import DAY_FORM, NAME_FORM, as_day, as_int, as_long, is_key
+from weftgraph.functions.util import apart
 from weftgraph.session import stored
 
 
@@ -102,13 +103,20 @@ def _read(table: DataFrame, checks: list[Check], by: str) -> DataFrame:
     return table.select(F.col(by).alias("load"), *columns)
 
 
+def _form_of(cell: Column) -> Column:
+    """The place of a cell's form in FORMS, or their number where it has none of them. Its first character parts numbers and days from words, so that few patterns are tried."""
+    forms = list(FORMS)
+    chain = lambda names: reduce(lambda w, n: w.when(cell.rlike(FORMS[n]), forms.index(n)), names, F.when(F.lit(False), 0)).otherwise(len(forms))
+    return F.when(F.substring(cell, 1, 1).isin(*"+-.,0123456789"), chain(("whole", "real", "day"))).otherwise(chain(("name", "word", "spaces")))
+
+
 def _facts_of(check: Check, sketch: bool, i: int) -> dict[str, Column]:
     """What the aggregates need to know of a cell. ``number`` is null outside the range."""
     cell, value = F.col(f"c{i}"), F.col(f"v{i}")
     within = value.isNotNull() & F.coalesce(check.in_range(value), F.lit(False))
     facts = {"cell": cell, "good": value.isNotNull(), "within": within, "number": F.when(within, check.number(value).cast("double" if sketch else "bigint"))}
     if sketch:
-        facts["form"] = reduce(lambda w, f: w.when(cell.rlike(f[1][1]), f[0]), enumerate(FORMS.items()), F.when(cell.isNull(), None)).otherwise(len(FORMS))
+        facts["form"] = F.when(cell.isNotNull(), _form_of(cell))
         if check.kind in EXTREMES:
             facts["value"] = value.cast(EXTREMES[check.kind])
     return facts
@@ -147,7 +155,8 @@ def wide_states(table: DataFrame, checks: list[Check], by: str = "load_no", sket
         facts += [c.alias(f"f{i}_{n}") for n, c in _facts_of(check, sketch, i).items()]
         aggs += [a.alias(f"s{i}_{n}") for n, a in _states_of(check, sketch, f"f{i}_").items()]
     value = F.col(f"f{exact[0]}_cell") if exact else F.lit(None).cast("string")
-    return _read(table, checks, by).select("load", *facts).withColumn("value", value).groupBy("load", "value").agg(*aggs)
+    load = apart(F.col("load")).alias("load") if sketch else F.col("load")
+    return _read(table, checks, by).select(load, *facts).withColumn("value", value).groupBy("load", "value").agg(*aggs)
 
 
 def merge_wide(states: DataFrame, *keys: str) -> DataFrame:
