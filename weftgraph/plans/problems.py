@@ -84,7 +84,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_limits(spark: SparkSession, d: str) -> DataFrame:
-    rounded = [F.round(c, 6).alias(c) for c in ("value", "centre", "deviation")]
+    # a mean whose seventh digit is a 5 and the last would be rounded up or down by the order in which its numbers are added: a billionth more settles it
+    rounded = [F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("value", "centre", "deviation")]
     return profile.control_limits(_measured(spark, d)[0]).select("tbl", "field_name", "measure_name", "load_no", "n_before", "outside", *rounded)
 
 
@@ -288,7 +289,7 @@ join limits l on a.tbl = l.tbl and a.field_name = l.field_name and a.measure_nam
     "p4_limits": f"""with {_CELLS},
 h as (select a.tbl, a.field_name, a.measure_name, a.load_no, a.value, count(b.value) as n_before, avg(b.value) as centre, stddev_samp(b.value) as deviation
   from measured a left join measured b on a.tbl = b.tbl and a.field_name = b.field_name and a.measure_name = b.measure_name and b.load_no < a.load_no group by all)
-select tbl, field_name, measure_name, load_no, n_before, coalesce(n_before >= 3 and abs(value - centre) > 3 * deviation + 1e-9, false) as outside, round(value, 6) as value, round(centre, 6) as centre, round(deviation, 6) as deviation from h""",
+select tbl, field_name, measure_name, load_no, n_before, coalesce(n_before >= 3 and abs(value - centre) > 3 * deviation + 1e-9, false) as outside, round(value + 1e-9, 6) as value, round(centre + 1e-9, 6) as centre, round(deviation + 1e-9, 6) as deviation from h""",
     "p4_counts": _COUNTS,
     "p5_unread": f"select 'nodes' as origin, row_id as row_key, 'age' as \"column\", age as text from nodes where age <> '' and not {_INT.format(c='age', t='int')}",
     "p5_lifespans": r"""with f as (select *, row_number() over (partition by series order by arrived_at, file_no) as seq from raw_files),
